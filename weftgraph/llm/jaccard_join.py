@@ -28,18 +28,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .links import bit_of, components, cross_pairs, grouped, hub_pairs, id_filter, in_filter, verify
+from .links import bit_of, grouped, id_filter, in_filter, resolve, verify
 from .runtime import cut
 from .textnp import blocks, mix64, set_ids, shingle_sets, text_bytes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4  # similarity of 3/4 or more
-_LOW_LEVEL = 7
+_LOW_LEVEL = 2
 _SKETCH_SHIFT = 3  # a bit sketch has 8 bits for each block
 
 
 def band(n: np.ndarray) -> np.ndarray:
-    """The size band: 2**band blocks, at least half as many as members."""
-    return np.maximum(_LOW_LEVEL, np.ceil(np.log2(np.maximum(n, 1) / 2)).astype(np.int64))
+    """The size band: 2**band blocks, at least 0.4 times as many as members.
+
+    So many blocks are enough: n members fill 2**band * (1 - exp(-n / 2**band)) of
+    them, over a third of n, and a third of n is the most that can differ.
+    """
+    return np.maximum(_LOW_LEVEL, np.ceil(np.log2(np.maximum(n, 1) * 0.4)).astype(np.int64))
 
 
 def _batches(batches, k):
@@ -138,14 +142,11 @@ def bit_sketch(values: np.ndarray, level: int) -> bytes:
     return len(values).to_bytes(8, "little") + np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def sketch_test(left: list[bytes], right: list[bytes]) -> list[bool]:
-    """False where sizes or the Hamming distance prove the similarity to be too small."""
-    out = []
+def sketch_test(left: list[bytes], right: list[bytes]):
+    """(can be linked, least distance, 1): sizes and the Hamming distance bound the Jaccard distance from below."""
+    ok, low = [], []
     for x, y in zip(left, right, strict=True):
         a, b = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
-        if a * DENOMINATOR < NUMERATOR * b or b * DENOMINATOR < NUMERATOR * a:
-            out.append(False)
-            continue
         p, q = np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8)
         if len(p) != len(q):  # fold the finer sketch: neighbouring bits have one block in the coarser one
             p, q = (p, q) if len(p) > len(q) else (q, p)
@@ -153,20 +154,23 @@ def sketch_test(left: list[bytes], right: list[bytes]) -> list[bool]:
             while len(bits) > 8 * len(q):
                 bits = bits[0::2] ^ bits[1::2]
             p = np.packbits(bits)
-        out.append(int(np.bitwise_count(p ^ q).sum()) * (DENOMINATOR + NUMERATOR) <= (a + b) * (DENOMINATOR - NUMERATOR))
-    return out
+        least = max(abs(a - b), int(np.bitwise_count(p ^ q).sum()))
+        ok.append(least * (DENOMINATOR + NUMERATOR) <= (a + b) * (DENOMINATOR - NUMERATOR))
+        low.append(2 * least / max(1, a + b + least))
+    return ok, low, [1.0] * len(ok)
 
 
-def exact_test(left: list[bytes], right: list[bytes]) -> list[bool]:
-    """Whether 4 * |A and B| >= 3 * |A or B|, of sorted sets."""
-    out = []
+def exact_test(left: list[bytes], right: list[bytes]):
+    """(4 * |A and B| >= 3 * |A or B|, distance, distance), of sorted sets."""
+    ok, far = [], []
     for x, y in zip(left, right, strict=True):
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = np.concatenate((a, b))
         both.sort(kind="stable")
         common = int((both[1:] == both[:-1]).sum())
-        out.append(DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common) and common > 0)
-    return out
+        ok.append(DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common) and common > 0)
+        far.append(1 - common / max(1, len(a) + len(b) - common))
+    return ok, far, far
 
 
 def _payloads(docs: DataFrame, k: int, wanted: np.ndarray, sketches: bool) -> DataFrame:
@@ -202,20 +206,18 @@ def join(docs: DataFrame, k: int = SHINGLE, frequent: int = 64) -> DataFrame:
     classes = documents.groupBy("cls", "n").agg(F.min("doc_id").alias("first_doc"))
     groups = cut(grouped(_signature_rows(docs, k, frequent_bits)))
 
-    def linked(pairs):
-        """The pairs that pass the sketches, then those that pass exactly."""
-        for sketches, test in ((True, sketch_test), (False, exact_test)):
-            pairs = cut(pairs)
+    def compare(pairs):
+        """By the sketches, then, where they leave it open, exactly."""
+
+        def by(pairs, sketches, test):
             nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
             wanted = id_filter(classes.join(nodes, "cls", "left_semi").select(bit_of("first_doc").alias("bit")))
-            pairs = verify(pairs, _payloads(docs, k, wanted, sketches), test)
-        return cut(pairs.distinct())
-
-    edges = linked(hub_pairs(groups))
-    labels = components(edges)
-    more = linked(cross_pairs(groups, labels))
-    if not more.isEmpty():
-        labels = components(edges.unionByName(more))
+            return verify(pairs, _payloads(docs, k, wanted, sketches), test).dropDuplicates(["a", "b"])
+
+        rough = cut(by(cut(pairs), True, sketch_test))
+        return rough.where("NOT ok").unionByName(by(rough.where("ok").select("a", "b"), False, exact_test))
+
+    labels = resolve(groups, compare, 1 - NUMERATOR / DENOMINATOR)
     labelled = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = labelled.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
     of_class = labelled.join(least, "comp").select("cls", "component_id")

@@ -2,8 +2,9 @@
 
 Nodes are classes (64-bit integers) that stand for groups of equal items.
 Signature rows (sig, cls) are grouped by a sort; within a group every class is
-first compared with one hub. Only classes of a group that are still in
-different components after that are compared with each other.
+first compared with one hub. Classes that are not in the hub's component after
+that are compared with the rest of the group, as far as their distances to the
+hub allow a link.
 """
 
 from __future__ import annotations
@@ -64,14 +65,28 @@ def hub_pairs(groups: DataFrame) -> DataFrame:
     return groups.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
 
-def cross_pairs(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b), a < b: classes that share a group but no component yet, other than with the group's hub."""
-    labelled = groups.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    rows = labelled.where("cls != hub").join(mixed, "sig", "left_semi").select("sig", "cls", "comp")
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")))
-    return pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+def cross_pairs(groups: DataFrame, labels: DataFrame, distances: DataFrame, most: float) -> DataFrame:
+    """(a, b), a < b: classes that share a group but no component yet, and can be within distance ``most``.
+
+    Only classes outside the component of their group's hub are compared, with
+    the rest of the group. ``distances`` (a, b, lo, hi) bounds each class's
+    distance to the hub; by the triangle inequality of a metric distance, pairs
+    whose distances to the hub differ by more than ``most`` are apart.
+    """
+    hubs = labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    labelled = groups.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").join(hubs, "hub", "left")
+    labelled = labelled.select("sig", "hub", "cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
+    apart = labelled.where("comp != hub_comp")
+    rows = labelled.where("cls != hub").join(apart.select("sig").distinct(), "sig", "left_semi")
+    near = distances.select(F.col("a").alias("hub"), F.col("b").alias("cls"), "lo", "hi")
+    rows = cut(rows.join(near, ["hub", "cls"]).select("sig", "cls", "comp", "lo", "hi", (F.col("comp") != F.col("hub_comp")).alias("out")))
+    x, y = rows.where("out").alias("x"), rows.alias("y")
+    pairs = x.join(
+        y,
+        (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.out") | (F.col("x.cls") < F.col("y.cls")))
+        & (F.col("x.lo") - F.col("y.hi") <= most) & (F.col("y.lo") - F.col("x.hi") <= most),
+    )
+    return pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -93,7 +108,7 @@ def in_filter(table: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, payloads: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) whose payloads pass ``test(left list of bytes, right list of bytes) -> bool array``.
+    """(a, b, ok, lo, hi): ``test`` takes two lists of payloads and returns whether each pair passes and bounds of its distance.
 
     ``payloads`` is (cls, payload binary). A class with many partners makes a
     large join partition, which adaptive execution splits.
@@ -105,14 +120,24 @@ def verify(pairs: DataFrame, payloads: DataFrame, test) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                ok = np.asarray(test(part.column("pa").to_pylist(), part.column("pb").to_pylist()), bool)
-                keep = np.flatnonzero(ok)
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+                ok, lo, hi = test(part.column("pa").to_pylist(), part.column("pb").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_()), pa.array(lo, pa.float64()), pa.array(hi, pa.float64())], names=["a", "b", "ok", "lo", "hi"])
 
     left = payloads.select(F.col("cls").alias("a"), F.col("payload").alias("pa"))
     right = payloads.select(F.col("cls").alias("b"), F.col("payload").alias("pb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long, ok boolean, lo double, hi double")
+
+
+def resolve(groups: DataFrame, compare, most: float) -> DataFrame:
+    """(node, comp): the components of the classes that ``compare(pairs)`` links.
+
+    ``compare`` returns (a, b, ok, lo, hi) for pairs (a, b).
+    """
+    first = cut(compare(hub_pairs(groups)))
+    edges = first.where("ok").select("a", "b")
+    labels = components(edges)
+    more = cut(compare(cross_pairs(groups, labels, first, most)).where("ok").select("a", "b"))
+    return labels if more.isEmpty() else components(edges.unionByName(more))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
