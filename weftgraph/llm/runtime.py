@@ -38,3 +38,8 @@ def worker_cache() -> dict:
 def crc_mod(doc_id: str, modulus: int):
     """crc32 of an id's decimal text, modulo ``modulus``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
+
+
+def let(value, body):
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

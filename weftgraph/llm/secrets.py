@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import let
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run of fewer characters fails anyway, and matches of these two cannot hide others: they end where their run ends.
@@ -49,7 +51,7 @@ def _starts(text: Column, pattern: str, ends_of: Column) -> Column:
         s = acc["p"] + x["g"]
         return F.struct((s + x["m"]).alias("p"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + x["m"]).alias("e")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(ends_of)), ends_of, lambda g, m: F.struct(g.alias("g"), F.length(m).alias("m")))
+    pairs = F.filter(F.zip_with(gaps, ends_of, lambda g, m: F.struct(g.alias("g"), F.length(m).alias("m"))), lambda x: x["m"].isNotNull())
     return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
 
@@ -142,5 +144,5 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
     merged = F.aggregate(spans, F.array().cast(kept), merge)
     bounds = F.concat(F.array(F.lit(0)), F.flatten(F.transform(merged, lambda x: F.array(x["s"], x["e"]))), F.array(F.length(text)))
-    pieces = F.transform(F.sequence(F.lit(1), F.size(bounds), F.lit(2)), lambda i: F.substring(text, F.element_at(bounds, i) + 1, F.element_at(bounds, i + 1) - F.element_at(bounds, i)))
+    pieces = let(bounds, lambda b: F.transform(F.sequence(F.lit(1), F.size(b), F.lit(2)), lambda i: F.substring(text, F.element_at(b, i) + 1, F.element_at(b, i + 1) - F.element_at(b, i))))
     return F.when(F.size(spans) > 0, F.array_join(pieces, mark)).otherwise(text)
