@@ -47,11 +47,12 @@ def _tables(n: int):
     return cache["text_bytes"], cache["text_powers"]
 
 
-def words(texts: list[bytes], lower: bool = True, spans: bool = False):
+def words(texts: list[bytes], lower: bool = True, heads: tuple[int, ...] = ()):
     """Hashes of all words of ``texts`` in order, and where each text's words begin.
 
-    Returns (hashes uint64, first int64[len(texts) + 1]) and, with ``spans``,
-    the words' byte offsets within their own text (start, end).
+    Returns (hashes uint64, first int64[len(texts) + 1]) and, with ``heads``,
+    for each given number of bytes the hashes of the beginnings of the words
+    that are longer, and those words' indexes.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.zeros(len(texts) + 1, np.int64)
@@ -67,9 +68,10 @@ def words(texts: list[bytes], lower: bool = True, spans: bool = False):
     np.cumsum((value_lower if lower else value)[data] * power[: len(data)], out=prefix[1:])
     hashes = mix64((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
     first = np.searchsorted(start, begin)
-    if spans:
-        at = np.repeat(begin[:-1], np.diff(first))
-        return hashes, first, start - at, end - at
+    if heads:
+        longer = [np.flatnonzero(end - start > n) for n in heads]
+        begun = [mix64((prefix[start[at] + n] - prefix[start[at]]) * inverse[start[at]] + np.uint64(n << 32)) for n, at in zip(heads, longer, strict=True)]
+        return hashes, first, list(zip(begun, longer, strict=True))
     return hashes, first
 
 
@@ -143,7 +145,7 @@ def set_ids(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix64(total + n * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
 
-def blocks(batch, limit: int = 2_000_000):
+def blocks(batch, limit: int = 1_000_000):
     """Split rows of (…, bytes) columns into index ranges of about ``limit`` bytes of text."""
     size, begin = 0, 0
     for i, text in enumerate(batch):

@@ -1,7 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word features.
 
-A text's features are its words, word pairs and pairs with one word between,
-hashed to 2**bits coordinates and present or not. Training follows the
+A text's features are its words, their beginnings (inflected and compound words
+share them), word pairs and pairs with one word between, hashed to 2**bits
+coordinates and present or not. Training follows the
 per-coordinate rates and L1 sparsity of follow-the-regularised-leader; only the
 few coordinates whose weight is not zero are sent to the workers.
 
@@ -19,18 +20,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import worker_cache
+from .runtime import small_batches, worker_cache
 from .textnp import blocks, distinct, mix64, owners, text_bytes, words
 
 BITS = 20
+HEADS = (4, 5, 6, 7)
 _APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def _features(texts: list[bytes], bits: int):
-    """(coordinate, text index) of every word, pair and skip pair; repeated ones included."""
-    hashes, first = words([t.translate(_APART) for t in texts])
+    """(coordinate, text index) of every word, beginning, pair and skip pair; repeated ones included."""
+    hashes, first, begun = words([t.translate(_APART) for t in texts], heads=HEADS)
     of = owners(first)
-    found = [(hashes, of)]
+    found = [(hashes, of), *((h, of[at]) for h, at in begun)]
     for gap in (1, 2):
         if len(hashes) > gap:
             same = of[gap:] == of[:-gap]
@@ -75,7 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, sample: int = 12_000, bits
     if not picked:
         return {"bits": bits, "at": [], "w": [], "bias": 0.0}
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in picked], "doc_id long, toxic int")
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = small_batches(docs).where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def features(batches):
         import pyarrow as pa
@@ -91,13 +93,16 @@ def train(docs: DataFrame, labels: DataFrame, usable, sample: int = 12_000, bits
     def learn(batches):
         import pyarrow as pa
 
-        rows = [(np.frombuffer(x, np.int32).astype(np.int64), y) for batch in batches for x, y in zip(batch.column("at").to_pylist(), batch.column("toxic").to_pylist(), strict=True)]
+        rows = [(np.frombuffer(x, np.int32), y) for batch in batches for x, y in zip(batch.column("at").to_pylist(), batch.column("toxic").to_pylist(), strict=True)]
         at, w, bias = ftrl(rows, bits, alpha, beta, l1, l2, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["at", "w", "bias"])
 
     made = texts.mapInArrow(features, "doc_id long, toxic int, at binary")
     one = made.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "at")
-    r = one.mapInArrow(learn, "at binary, w binary, bias double").collect()[0]
+    learnt = one.mapInArrow(learn, "at binary, w binary, bias double").collect()
+    if not learnt:  # no labelled document is in the table
+        return {"bits": bits, "at": [], "w": [], "bias": 0.0}
+    r = learnt[0]
     return {"bits": bits, "at": np.frombuffer(r["at"], np.int64).tolist(), "w": np.frombuffer(r["w"], np.float64).tolist(), "bias": r["bias"]}
 
 
@@ -126,4 +131,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
