@@ -20,7 +20,7 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .runtime import worker_cache
+from .runtime import small_batches, worker_cache
 from .textnp import blocks
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -216,4 +216,4 @@ def encode_decode(docs: DataFrame, path: str = DEFAULT_VOCABULARY, decode: bool
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary" + ", decoded string" * decode)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary" + ", decoded string" * decode)

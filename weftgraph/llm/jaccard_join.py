@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import bit_of, grouped, id_filter, in_filter, resolve, verify
-from .runtime import cut
+from .runtime import cut, small_batches
 from .textnp import blocks, mix64, set_ids, shingle_sets, text_bytes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4  # similarity of 3/4 or more
@@ -199,6 +199,7 @@ def join(docs: DataFrame, k: int = SHINGLE, frequent: int = 64) -> DataFrame:
     Exact copies are one class from the start. ``frequent``: members that more
     documents than this repeat within single tasks stay out of the first blocks.
     """
+    docs = small_batches(docs)
     rows = cut(_classes(docs, k, local=4))
     documents = rows.where(~F.col("member")).select("doc_id", "n", "cls")
     hot = rows.where("member").groupBy("cls").agg(F.sum("n").alias("c")).where(F.col("c") >= frequent)

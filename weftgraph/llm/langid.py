@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import worker_cache
+from .runtime import small_batches, worker_cache
 from .textnp import blocks
 
 LANE = 256
@@ -203,6 +203,6 @@ def identify(docs: DataFrame, sample: dict[str, str], keep: tuple[str, ...] = ()
                 yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
 
     columns = ["doc_id", *keep]
-    selected = docs.select(*columns, "text")
+    selected = small_batches(docs).select(*columns, "text")
     kinds = ", ".join(f"`{c}` {selected.schema[c].dataType.simpleString()}" for c in columns)
     return selected.mapInArrow(run, f"{kinds}, lang_pred string, score double")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import exact_test
 from .links import bit_of, grouped, id_filter, in_filter, resolve, verify
-from .runtime import cut
+from .runtime import cut, small_batches
 from .textnp import blocks, mix64, set_ids, shingle_sets, text_bytes, words
 
 SHINGLE = 5
@@ -127,6 +127,7 @@ def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995) -> DataF
     first paragraph, by doc_id and then line; all but that one are removed.
     """
     bands, rows = tune(recall=recall)
+    docs = small_batches(docs)
     found = cut(paragraph_classes(docs, min_words))
     classes = found.groupBy("cls").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count("*").alias("members"))
     groups = cut(grouped(_band_rows(docs, min_words, bands, rows)))

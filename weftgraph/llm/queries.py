@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard_join, knn, langid, mixing, paragraphs, secrets, toxicity
+from . import bpe, fingerprints, jaccard_join, knn, langid, mixing, paragraphs, secrets, suffixes, toxicity
 from .runtime import crc_mod, table
 
 
@@ -35,6 +35,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.encode_decode(table(spark, sf_dir, "documents"))
     return tokens.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -77,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_document_fingerprints, op2_secret_scans, op3_mixing, op4_ngram_jaccard_join, op6_bpe,
+        op1_document_fingerprints, op2_secret_scans, op3_mixing, op4_ngram_jaccard_join, op5_suffix_dedup, op6_bpe,
         op7_language_id, op8_exact_topk, op9_substring_dedup, op10_toxicity,
     )
 }
