@@ -65,13 +65,26 @@ def hub_pairs(groups: DataFrame) -> DataFrame:
     return groups.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
 
-def cross_pairs(groups: DataFrame, labels: DataFrame, distances: DataFrame, most: float) -> DataFrame:
+def same_bytes(pairs: list[tuple]):
+    """How many bytes of the given pairs of long columns are equal."""
+
+    def equal(x, y):
+        some = x.bitwiseXOR(y)
+        for n, inside in ((1, 0x7F7F7F7F7F7F7F7F), (2, 0x3F3F3F3F3F3F3F3F), (4, 0x0F0F0F0F0F0F0F0F)):  # into each byte's last bit
+            some = some.bitwiseOR(F.shiftrightunsigned(some, n).bitwiseAND(F.lit(inside)))
+        return 8 - F.bit_count(some.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return sum(equal(x, y) for x, y in pairs)
+
+
+def cross_pairs(groups: DataFrame, labels: DataFrame, distances: DataFrame, most: float, hints=None) -> DataFrame:
     """(a, b), a < b: classes that share a group but no component yet, and can be within distance ``most``.
 
     Only classes outside the component of their group's hub are compared, with
     the rest of the group. ``distances`` (a, b, lo, hi) bounds each class's
     distance to the hub; by the triangle inequality of a metric distance, pairs
-    whose distances to the hub differ by more than ``most`` are apart.
+    whose distances to the hub differ by more than ``most`` are apart. ``hints``
+    is (rows of classes (cls) -> (cls, h0, h1, ...), least number of equal bytes).
     """
     hubs = labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
     labelled = groups.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").join(hubs, "hub", "left")
@@ -80,10 +93,15 @@ def cross_pairs(groups: DataFrame, labels: DataFrame, distances: DataFrame, most
     rows = labelled.where("cls != hub").join(apart.select("sig").distinct(), "sig", "left_semi")
     near = distances.select(F.col("a").alias("hub"), F.col("b").alias("cls"), "lo", "hi")
     rows = cut(rows.join(near, ["hub", "cls"]).select("sig", "cls", "comp", "lo", "hi", (F.col("comp") != F.col("hub_comp")).alias("out")))
+    alike = F.lit(True)
+    if hints is not None:
+        made = cut(hints[0](rows.select("cls").distinct()))
+        rows = rows.join(made, "cls")
+        alike = same_bytes([(F.col(f"x.{h}"), F.col(f"y.{h}")) for h in made.columns if h != "cls"]) >= hints[1]
     x, y = rows.where("out").alias("x"), rows.alias("y")
     pairs = x.join(
         y,
-        (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.out") | (F.col("x.cls") < F.col("y.cls")))
+        alike &         (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.out") | (F.col("x.cls") < F.col("y.cls")))
         & (F.col("x.lo") - F.col("y.hi") <= most) & (F.col("y.lo") - F.col("x.hi") <= most),
     )
     return pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
@@ -128,7 +146,7 @@ def verify(pairs: DataFrame, payloads: DataFrame, test) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long, ok boolean, lo double, hi double")
 
 
-def resolve(groups: DataFrame, compare, most: float) -> DataFrame:
+def resolve(groups: DataFrame, compare, most: float, hints=None) -> DataFrame:
     """(node, comp): the components of the classes that ``compare(pairs)`` links.
 
     ``compare`` returns (a, b, ok, lo, hi) for pairs (a, b).
@@ -136,7 +154,7 @@ def resolve(groups: DataFrame, compare, most: float) -> DataFrame:
     first = cut(compare(hub_pairs(groups)))
     edges = first.where("ok").select("a", "b")
     labels = components(edges)
-    more = cut(compare(cross_pairs(groups, labels, first, most)).where("ok").select("a", "b"))
+    more = cut(compare(cross_pairs(groups, labels, first, most, hints)).where("ok").select("a", "b"))
     return labels if more.isEmpty() else components(edges.unionByName(more))
 
 

@@ -101,7 +101,19 @@ def _band_rows(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFr
     return docs.select("text").mapInArrow(run, "sig long, cls long")
 
 
-def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes: np.ndarray) -> DataFrame:
+def min_bytes(values: np.ndarray, first: np.ndarray, longs: int) -> np.ndarray:
+    """uint64[longs, sets]: 8 * longs MinHash values of each non-empty set, one byte each."""
+    out = np.zeros((longs, len(first) - 1), np.uint64)
+    for i in range(8 * longs):
+        salt = mix64(np.array([i + 1000], np.uint64))[0]
+        least = mix64(np.minimum.reduceat((values ^ salt) * np.uint64(0xFF51AFD7ED558CCD), first[:-1]))
+        out[i // 8] |= (least & np.uint64(255)) << np.uint64(8 * (i % 8))
+    return out
+
+
+def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes: np.ndarray, longs: int = 0) -> DataFrame:
+    """(cls, payload): the sets of the wanted classes, or (cls, h0, h1, ...) with ``longs`` packed MinHash values."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -114,10 +126,17 @@ def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes:
                 ids = set_ids(values, first)
                 _, once = np.unique(ids, return_index=True)
                 at = once[in_filter(in_classes, ids[once].view(np.uint64) & np.uint64((1 << 23) - 1))]
+                if longs:
+                    n = np.diff(first)[at]
+                    sets = values[np.concatenate([np.arange(first[i], first[i + 1]) for i in at.tolist()])] if len(at) else values[:0]
+                    packed = min_bytes(sets, np.concatenate(([0], np.cumsum(n))), longs) if len(at) else np.zeros((longs, 0), np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *(pa.array(h.view(np.int64)) for h in packed)], names=["cls", *(f"h{i}" for i in range(longs))])
+                    continue
                 payload = [values[first[i] : first[i + 1]].tobytes() for i in at.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(payload, pa.binary())], names=["cls", "payload"])
 
-    return docs.select("text", bit_of("doc_id").alias("bit")).mapInArrow(run, "cls long, payload binary")
+    schema = "cls long, " + (", ".join(f"h{i} long" for i in range(longs)) if longs else "payload binary")
+    return docs.select("text", bit_of("doc_id").alias("bit")).mapInArrow(run, schema)
 
 
 def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995) -> DataFrame:
@@ -132,15 +151,19 @@ def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995) -> DataF
     classes = found.groupBy("cls").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count("*").alias("members"))
     groups = cut(grouped(_band_rows(docs, min_words, bands, rows)))
 
-    def compare(pairs):
-        pairs = cut(pairs)
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    def payloads(nodes, longs=0):
         need = cut(classes.join(nodes, "cls", "left_semi").select("cls", "first"))
         in_docs = id_filter(need.select(bit_of("first.doc_id").alias("bit")))
         in_classes = id_filter(need.select(F.col("cls").bitwiseAND(F.lit((1 << 23) - 1)).alias("bit")))
-        return verify(pairs, _payloads(docs, min_words, in_docs, in_classes), exact_test).dropDuplicates(["a", "b"])
+        return _payloads(docs, min_words, in_docs, in_classes, longs)
+
+    def compare(pairs):
+        pairs = cut(pairs)
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        return verify(pairs, payloads(nodes), exact_test).dropDuplicates(["a", "b"])
 
-    labels = resolve(groups, compare, 0.25)
+    # of 48 MinHash values, a pair at the threshold shares 36 +- 3
+    labels = resolve(groups, compare, 0.25, (lambda nodes: payloads(nodes, 6).dropDuplicates(["cls"]), 25))
     labelled = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     clusters = labelled.groupBy("comp").agg(F.min("first").alias("head"), F.sum("members").alias("cluster_size")).where("cluster_size > 1")
     of_class = labelled.select("cls", "comp").join(clusters, "comp").select("cls", "head", "cluster_size")
