@@ -162,8 +162,8 @@ def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995) -> DataF
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         return verify(pairs, payloads(nodes), exact_test).dropDuplicates(["a", "b"])
 
-    # of 48 MinHash values, a pair at the threshold shares 36 +- 3
-    labels = resolve(groups, compare, 0.25, (lambda nodes: payloads(nodes, 6).dropDuplicates(["cls"]), 25))
+    # of 128 MinHash values, a pair at the threshold shares 96 +- 5
+    labels = resolve(groups, compare, 0.25, (lambda nodes: payloads(nodes, 16).dropDuplicates(["cls"]), 83))
     labelled = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     clusters = labelled.groupBy("comp").agg(F.min("first").alias("head"), F.sum("members").alias("cluster_size")).where("cluster_size > 1")
     of_class = labelled.select("cls", "comp").join(clusters, "comp").select("cls", "head", "cluster_size")

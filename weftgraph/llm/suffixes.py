@@ -31,7 +31,7 @@ from .links import bit_of, id_filter, in_filter
 from .runtime import cut, small_batches
 from .textnp import _tables, mix64, text_bytes
 
-GRAM = 16
+GRAM = 32
 _NO_ID = -(1 << 63)
 _ANCHOR_BITS = 25
 
@@ -97,29 +97,31 @@ def _scan(texts: list[bytes], length: int):
         yield data, np.array([i for i, *_ in block])[piece], shift, h, at, s0, s1, prefix
 
 
-def _fresh(batch, seen: set):
-    """Rows of classes that this task meets for the first time."""
-    ids = batch.column("cls").to_pylist()
-    import pyarrow as pa
-
-    return batch.take(pa.array([i for i, c in enumerate(ids) if not (c in seen or seen.add(c))], pa.int64()))
-
-
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
+    """(h, cls, twice): each anchor of each text once; twice if it anchors more than one run there."""
+
     def run(batches):
         import pyarrow as pa
 
         seen: set[int] = set()
         for batch in batches:
-            batch = _fresh(batch, seen)
-            for _, _, _, h, *_ in _scan(text_bytes(batch.column("text")), length):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+            fresh = [i for i, c in enumerate(batch.column("cls").to_pylist()) if not (c in seen or seen.add(c))]  # a copy has its text's anchors
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            cls = batch.column("cls").to_numpy()
+            for _, text, _, h, *_ in _scan(text_bytes(batch.column("text")), length):
+                order = np.lexsort((h, text))
+                h, text = h[order], text[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+                first = np.flatnonzero(new)
+                twice = np.diff([*first, len(h)]) > 1
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(cls[text[first]]), pa.array(twice)], names=["h", "cls", "twice"])
 
-    return rows.mapInArrow(run, "h long")
+    return rows.select("cls", "text").mapInArrow(run, "h long, cls long, twice boolean")
 
 
 def _context_rows(rows: DataFrame, length: int, repeated: np.ndarray) -> DataFrame:
-    """(x, cls, s0, n, h, off, ctx): every run at an anchor that may repeat; ctx only where the task first meets x.
+    """(h, x, doc_id, cls, s0, n, off, ctx): every run at an anchor that may repeat; ctx only where the task first meets x.
 
     x identifies the bytes and the anchor's place in them; s0 is the first window's start, n the last one's distance from it.
     """
@@ -127,12 +129,10 @@ def _context_rows(rows: DataFrame, length: int, repeated: np.ndarray) -> DataFra
     def run(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()
         met: set[int] = set()
         mask = np.uint64((1 << _ANCHOR_BITS) - 1)
         for batch in batches:
-            batch = _fresh(batch, seen)
-            cls = batch.column("cls").to_numpy()
+            cls, ids = batch.column("cls").to_numpy(), batch.column("doc_id").to_numpy()
             for data, text, shift, h, at, s0, s1, prefix in _scan(text_bytes(batch.column("text")), length):
                 keep = np.flatnonzero(in_filter(repeated, h & mask))
                 if not len(keep):
@@ -143,10 +143,10 @@ def _context_rows(rows: DataFrame, length: int, repeated: np.ndarray) -> DataFra
                 x = mix64(mix64((prefix[s1 + length] - prefix[s0]) * inverse[s0]) + (off * 1000 + n).astype(np.uint64)).view(np.int64)
                 whole = data.tobytes()
                 ctx = [None if k in met or met.add(k) else whole[a : b + length] for k, a, b in zip(x.tolist(), s0.tolist(), s1.tolist(), strict=True)]
-                columns = [pa.array(x), pa.array(cls[text]), pa.array(s0 + shift), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(off.astype(np.int32)), pa.array(ctx, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["x", "cls", "s0", "n", "h", "off", "ctx"])
+                columns = [pa.array(h.view(np.int64)), pa.array(x), pa.array(ids[text]), pa.array(cls[text]), pa.array(s0 + shift), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(ctx, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "x", "doc_id", "cls", "s0", "n", "off", "ctx"])
 
-    return rows.mapInArrow(run, "x long, cls long, s0 long, n int, h long, off int, ctx binary")
+    return rows.mapInArrow(run, "h long, x long, doc_id long, cls long, s0 long, n int, off int, ctx binary")
 
 
 def refine(block: np.ndarray, column: np.ndarray) -> np.ndarray:
@@ -191,66 +191,96 @@ def repeated_windows(group: np.ndarray, order: np.ndarray, off: np.ndarray, n: n
     return np.concatenate(rows), np.concatenate(windows)
 
 
-def _repeats(contexts: DataFrame, length: int, many: int = 15_000) -> DataFrame:
-    """(x, lo, hi): runs of window starts, from s0, that an earlier distinct context of the anchor holds.
+def _repeats(runs: DataFrame, length: int, many: int = 15_000) -> DataFrame:
+    """(doc_id, cls, s, e): the parts of texts that repeated windows cover.
 
-    Input: (h, x, off, n, ctx, fd, fs), sorted by h within partitions; whole
-    groups are gathered up to about ``many`` contexts at a time.
+    Input: ``_context_rows``, sorted by (h, x, doc_id, s0) within partitions. Of
+    equal contexts the first is kept and the others are covered at once, so a
+    worker holds an anchor's distinct contexts, about ``many`` at a time.
     """
 
-    def solve(parts):
-        import pyarrow as pa
-
-        t = pa.Table.from_batches(parts)
-        x = t.column("x").to_numpy()
-        _, once = np.unique(x, return_index=True)
-        t = t.take(pa.array(once))
-        h, x, off, n, fd, fs = (t.column(c).to_numpy().astype(np.int64) for c in ("h", "x", "off", "n", "fd", "fs"))
+    def solve(first):
+        """Covered parts of the first occurrences of distinct contexts."""
+        h, x, doc, cls, s0, n, off, ctx = first
         _, group, count = np.unique(h, return_inverse=True, return_counts=True)
         keep = np.flatnonzero(count[group] > 1)
         if not len(keep):
             return None
-        contexts = t.column("ctx").take(pa.array(keep)).to_pylist()
         _, group = np.unique(group[keep], return_inverse=True)
-        x, off, n, fd, place = x[keep], off[keep], n[keep], fd[keep], (fs + off)[keep]
-        by = np.lexsort((place, fd))
+        doc, cls, s0, n, off = (v[keep] for v in (doc, cls, s0, n, off))
+        place = s0 + off
+        by = np.lexsort((place, doc))
         step = np.ones(len(by), np.int64)
-        step[1:] = (fd[by][1:] != fd[by][:-1]) | (place[by][1:] != place[by][:-1])
+        step[1:] = (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1])
         order = np.empty(len(by), np.int64)
         order[by] = np.cumsum(step)
-        row, window = repeated_windows(group, order, off, n, contexts, length)
+        row, window = repeated_windows(group, order, off, n, [ctx[i] for i in keep.tolist()], length)
         if not len(row):
             return None
         by = np.lexsort((window, row))
         row, window = row[by], window[by]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.concatenate((first[1:], [len(row)])) - 1
-        return pa.RecordBatch.from_arrays([pa.array(x[row[first]]), pa.array(window[first]), pa.array(window[last])], names=["x", "lo", "hi"])
+        begin = np.flatnonzero(new)
+        end = np.concatenate((begin[1:], [len(row)])) - 1
+        at = row[begin]
+        return doc[at], cls[at], s0[at] + window[begin], s0[at] + window[end] + length
+
+    def out(parts):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in parts], names=["doc_id", "cls", "s", "e"])
+
+    names = ("h", "x", "doc_id", "cls", "s0", "n", "off")
 
     def run(batches):
-        waiting, size = [], 0
+        held: list[list] = [[] for _ in range(8)]  # first occurrences of distinct contexts, columns as in ``names`` and ctx
+        size, tail = 0, None  # tail: (x, doc_id, s0) of the last first occurrence
         for batch in batches:
             if not batch.num_rows:
                 continue
-            waiting.append(batch)
-            size += batch.num_rows
-            if size >= many:
-                h = batch.column("h").to_numpy()
-                cut_at = int(np.searchsorted(h, h[-1]))  # the last group may go on
-                if cut_at == 0 and (len(waiting) == 1 or waiting[-2].column("h")[-1].as_py() == h[-1]):
-                    continue
-                out = solve([*waiting[:-1], batch.slice(0, cut_at)])
-                waiting, size = [batch.slice(cut_at)], batch.num_rows - cut_at
-                if out is not None:
-                    yield out
-        if waiting:
-            out = solve(waiting)
-            if out is not None:
-                yield out
-
-    return contexts.mapInArrow(run, "x long, lo long, hi long")
+            h, x, doc, cls, s0, n, off = (batch.column(c).to_numpy().astype(np.int64) for c in names)
+            ctx = batch.column("ctx").to_pylist()
+            new = np.ones(len(x), bool)
+            new[1:] = x[1:] != x[:-1]
+            if tail is not None and x[0] == tail[0]:
+                new[0] = False
+            at = np.flatnonzero(new)
+            lead = np.cumsum(new) - 1  # index into at, or -1: the context began in an earlier batch
+            first_doc = np.where(lead >= 0, doc[at[lead]] if len(at) else 0, tail[1] if tail else 0)
+            first_s0 = np.where(lead >= 0, s0[at[lead]] if len(at) else 0, tail[2] if tail else 0)
+            later = ~new & ((doc != first_doc) | (s0 != first_s0))
+            if later.any():
+                yield out((doc[later], cls[later], s0[later], s0[later] + n[later] + length))
+            same = ~new & ~later  # rows that share an id: not earlier than each other, so both are judged
+            keep = np.flatnonzero(new | same)
+            place = {}
+            for i in range(len(x)):  # the bytes of a context may come with any of its rows
+                if ctx[i] is not None:
+                    place.setdefault(int(x[i]), ctx[i])
+            if tail is not None and held[7] and held[7][-1] is None and int(tail[0]) in place:
+                held[7] = [place[int(tail[0])] if c is None and k == tail[0] else c for c, k in zip(held[7], held[1], strict=True)]
+            known = held[7][-1] if held[7] and tail is not None else None
+            for v, column in zip(held[:7], (h, x, doc, cls, s0, n, off), strict=True):
+                v.extend(column[keep].tolist())
+            held[7].extend(place.get(int(x[i]), known if tail is not None and x[i] == tail[0] else None) for i in keep.tolist())
+            size += len(keep)
+            if len(at):
+                tail = (x[at[-1]], doc[at[-1]], s0[at[-1]])
+            if size >= many and held[0][0] != held[0][-1]:
+                hs = np.array(held[0])
+                cut_at = int(np.flatnonzero(hs != hs[-1])[-1]) + 1  # the last anchor may go on
+                done = solve([np.array(v[:cut_at]) for v in held[:7]] + [held[7][:cut_at]])
+                held = [v[cut_at:] for v in held]
+                size = len(held[0])
+                if done is not None:
+                    yield out(done)
+        if size:
+            done = solve([np.array(v) for v in held[:7]] + [held[7]])
+            if done is not None:
+                yield out(done)
+
+    return runs.mapInArrow(run, "doc_id long, cls long, s long, e long")
 
 
 def _cover(rows: DataFrame) -> DataFrame:
@@ -293,22 +323,15 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     facts = cut(rows.select("doc_id", "cls", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
     key = F.coalesce("doc_id", F.lit(_NO_ID))
     classes = cut(facts.groupBy("cls").agg(F.min(key).alias("fd")))
-    long = rows.where(F.octet_length("text") >= length).select("cls", "text")
+    long = rows.where(F.octet_length("text") >= length)
 
-    seen = _anchor_rows(long, length).groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    seen = _anchor_rows(long, length).groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.bool_or("twice").alias("twice")).where("a != b OR twice")
     repeated = _gather(seen.select(F.col("h").bitwiseAND(F.lit((1 << _ANCHOR_BITS) - 1)).alias("bit")), _ANCHOR_BITS)
-    found = cut(_context_rows(long, length, repeated))
-    # a copy's task gives its class's rows again
-    runs = found.select("x", "cls", "s0", "n").distinct().join(classes, "cls")
-    least = cut(runs.groupBy("x").agg(F.min(F.struct("fd", "s0")).alias("least"), F.count("*").alias("c")))
-    contexts = found.where("ctx IS NOT NULL").select("x", "h", "off", "n", "ctx").join(least.select("x", F.col("least.fd").alias("fd"), F.col("least.s0").alias("fs")), "x")
-    part = cut(_repeats(contexts.repartition("h").sortWithinPartitions("h", "x"), length))
-
-    placed = runs.join(least.select("x", "least"), "x")
-    is_least = (F.col("fd") == F.col("least.fd")) & (F.col("s0") == F.col("least.s0"))
-    whole = placed.where(~is_least).select("cls", F.col("s0").alias("s"), (F.col("s0") + F.col("n") + length).alias("e"))
-    partly = placed.where(is_least).join(part, "x").select("cls", (F.col("s0") + F.col("lo")).alias("s"), (F.col("s0") + F.col("hi") + length).alias("e"))
-    spans = cut(whole.unionByName(partly).groupBy("cls").agg(F.collect_list(F.struct("s", "e")).alias("spans")).join(classes, "cls"))
+    runs = _context_rows(long.select(key.alias("doc_id"), "cls", "text"), length, repeated)
+    parts = _repeats(runs.repartition("h").sortWithinPartitions("h", "x", "doc_id", "s0"), length)
+    spans = parts.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # copies go whole, whatever their windows say
+    spans = cut(spans.join(classes, "cls").where("doc_id = fd"))
 
     wanted = id_filter(spans.select(bit_of("fd").alias("bit")))
     bits = bit_of(key)
@@ -320,6 +343,7 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
             yield batch.take(pa.array(np.flatnonzero(in_filter(wanted, batch.column("bit").to_numpy())))).select(["doc_id", "cls", "text"])
 
     texts = rows.select("doc_id", "cls", "text", bits.alias("bit")).mapInArrow(touched, "doc_id long, cls long, text string")
+    spans = spans.select("cls", "fd", "spans")
     covered = _cover(texts.join(spans, (texts["cls"] == spans["cls"]) & (F.coalesce(texts["doc_id"], F.lit(_NO_ID)) == spans["fd"])).select("doc_id", texts["cls"], "text", "spans"))
     covered = covered.dropDuplicates(["doc_id", "cls"]).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_key"), F.col("cls").alias("_cls"), "n_removed", "n_spans", "kept_sha256")
     all_rows = facts.join(classes, "cls").withColumn("_copy", (key > F.col("fd")) & (F.col("n_bytes") >= length))
