@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def collect() -> tuple[dict, dict]:
     """(queries, SQL) of all catalogue modules."""
-    from . import graph
+    from . import events, graph, knowledge, tables
 
     queries, sql = {}, {}
-    for module in (graph,):
+    for module in (graph, events, knowledge, tables):
         queries |= module.REGISTRY.queries
         sql |= module.REGISTRY.sql
     return queries, sql
