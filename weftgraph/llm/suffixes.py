@@ -31,27 +31,32 @@ from .links import bit_of, id_filter, in_filter
 from .runtime import cut, small_batches
 from .textnp import _tables, mix64, text_bytes
 
-GRAM = 32
+_GRAM = 32
 _NO_ID = -(1 << 63)
 _ANCHOR_BITS = 25
 
 
+def gram_size(length: int) -> int:
+    """The k of the anchors' k-grams for windows of ``length`` bytes."""
+    return min(_GRAM, max(1, length // 3))
+
+
 def anchors(data: np.ndarray, end: np.ndarray, length: int):
     """(anchor hash, anchor, first and last window start) of every run of windows with one anchor.
 
     ``end[i]`` is where the text of position i ends. Positions are in ``data``.
     """
-    n = len(data)
+    n, gram = len(data), gram_size(length)
     empty = np.zeros(0, np.int64)
     if n < length:
         return empty.view(np.uint64), empty, empty, empty, None
     (value, _, _), (power, inverse) = _tables(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(value[data] * power[:n], out=prefix[1:])
-    grams = mix64((prefix[GRAM:] - prefix[:-GRAM]) * inverse[: n - GRAM + 1])
+    grams = mix64((prefix[gram:] - prefix[:-gram]) * inverse[: n - gram + 1])
     place = np.uint64(max(1, int(n).bit_length()))
     least = ((grams >> place) << place) | np.arange(len(grams), dtype=np.uint64)
-    width, span = length - GRAM + 1, 1
+    width, span = length - gram + 1, 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
@@ -168,9 +173,10 @@ def repeated_windows(group: np.ndarray, order: np.ndarray, off: np.ndarray, n: n
         return out
 
     rows, windows = [], []
-    span = length - GRAM
-    rights = {GRAM: group.astype(np.int64)}
-    for depth in range(GRAM, length):
+    gram = gram_size(length)
+    span = length - gram
+    rights = {gram: group.astype(np.int64)}
+    for depth in range(gram, length):
         rights[depth + 1] = refine(rights[depth], columns(anchor + depth, right > depth)).astype(np.int32).astype(np.int64)
     lefts = group.astype(np.int64)
     for o in range(span + 1):  # windows that start o bytes before the anchor
