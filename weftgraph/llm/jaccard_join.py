@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import bit_of, grouped, id_filter, in_filter, resolve, verify
-from .runtime import cut, small_batches
-from .textnp import blocks, mix64, set_ids, shingle_sets, text_bytes
+from .runtime import cut, freed, small_batches
+from .textnp import Repeats, blocks, mix64, set_ids, shingle_sets, text_bytes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4  # similarity of 3/4 or more
 _LOW_LEVEL = 2
@@ -62,26 +62,22 @@ def _classes(docs: DataFrame, k: int, local: int) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
-        gathered, size = [], 0
+        counter = Repeats(local)
 
         def repeats():
-            members, n = np.unique(np.concatenate(gathered), return_counts=True)
-            often = n >= local
-            m = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(m, to_arrow_type(kind)), pa.array(n[often].astype(np.int64)), pa.array(members[often].view(np.int64)), pa.array(np.ones(m, bool))], names=["doc_id", "n", "cls", "member"])
+            members, n = counter.take()
+            m = len(n)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, to_arrow_type(kind)), pa.array(n), pa.array(members), pa.array(np.ones(m, bool))], names=["doc_id", "n", "cls", "member"])
 
         seen: set[int] = set()
         for part, values, first in _batches(batches, k):
             n, ids = np.diff(first), set_ids(values, first)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(ids), pa.array(np.zeros(len(n), bool))], names=["doc_id", "n", "cls", "member"])
             fresh = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()], bool)
-            gathered.append(values[np.repeat(fresh, n)])
-            size += len(gathered[-1])
-            if size > 3_000_000:
+            if counter.add(values[np.repeat(fresh, n)]):
                 yield repeats()
-                gathered, size, seen = [], 0, set()
-        if size:
-            yield repeats()
+                seen = set()
+        yield repeats()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n long, cls long, member boolean")
 
@@ -117,7 +113,34 @@ def signatures(values: np.ndarray, first: np.ndarray, rare: np.ndarray) -> tuple
     return np.concatenate(sigs), np.concatenate(texts)
 
 
+HASH_PART = (1 << 56) - 1
+
+
+def frequent_members(rows: DataFrame, least: int) -> np.ndarray:
+    """A bit set over the members (cls, n) whose counts reach ``least``."""
+    hot = rows.groupBy("cls").agg(F.sum("n").alias("c")).where(F.col("c") >= least)
+    return id_filter(hot.select(F.col("cls").bitwiseAND(F.lit((1 << 23) - 1)).alias("bit")))
+
+
+def rare_members(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    return ~in_filter(frequent, values & np.uint64((1 << 23) - 1))
+
+
+def node_ids(ids: np.ndarray, first: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """A class's id, led by the logarithm of its number of rare members.
+
+    The least id of a group, its hub, is then the one with fewest members of its
+    own: the middle of a cluster of edited copies.
+    """
+    total = np.concatenate(([0], np.cumsum(rare)))
+    own = total[first[1:]] - total[first[:-1]]
+    rank = np.minimum(126, (4 * np.log2(1 + own)).astype(np.int64)).astype(np.uint64)
+    return ((rank << np.uint64(56)) | (ids.view(np.uint64) >> np.uint64(8))).view(np.int64)
+
+
 def _signature_rows(docs: DataFrame, k: int, frequent: np.ndarray) -> DataFrame:
+    """(sig, cls) of every class, once in each task; cls as in ``node_ids``."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -128,8 +151,9 @@ def _signature_rows(docs: DataFrame, k: int, frequent: np.ndarray) -> DataFrame:
             n = np.where(fresh, np.diff(first), 0)
             values = values[np.repeat(fresh, np.diff(first))]
             first = np.concatenate(([0], np.cumsum(n)))
-            rare = ~in_filter(frequent, values & np.uint64((1 << 23) - 1))
+            rare = rare_members(values, frequent)
             sigs, of = signatures(values, first, rare)
+            ids = node_ids(ids, first, rare)
             for i in range(0, len(sigs), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(sigs[i : i + 200_000]), pa.array(ids[of[i : i + 200_000]])], names=["sig", "cls"])
 
@@ -173,7 +197,7 @@ def exact_test(left: list[bytes], right: list[bytes]):
     return ok, far, far
 
 
-def _payloads(docs: DataFrame, k: int, wanted: np.ndarray, sketches: bool) -> DataFrame:
+def _payloads(docs: DataFrame, k: int, wanted: np.ndarray, frequent: np.ndarray, sketches: bool) -> DataFrame:
     """(cls, payload): the sketch or the sorted set of the documents whose ids are in the filter."""
 
     def run(batches):
@@ -182,7 +206,7 @@ def _payloads(docs: DataFrame, k: int, wanted: np.ndarray, sketches: bool) -> Da
         for batch in batches:
             batch = batch.take(pa.array(np.flatnonzero(in_filter(wanted, batch.column("bit").to_numpy()))))
             for _, values, first in _batches([batch], k):
-                ids, n = set_ids(values, first), np.diff(first)
+                ids, n = node_ids(set_ids(values, first), first, rare_members(values, frequent)), np.diff(first)
                 if sketches:
                     level = band(n).tolist()
                     payload = [bit_sketch(values[a:b], h) for a, b, h in zip(first[:-1], first[1:], level, strict=True)]
@@ -202,24 +226,26 @@ def join(docs: DataFrame, k: int = SHINGLE, frequent: int = 64) -> DataFrame:
     docs = small_batches(docs)
     rows = cut(_classes(docs, k, local=4))
     documents = rows.where(~F.col("member")).select("doc_id", "n", "cls")
-    hot = rows.where("member").groupBy("cls").agg(F.sum("n").alias("c")).where(F.col("c") >= frequent)
-    frequent_bits = id_filter(hot.select(F.col("cls").bitwiseAND(F.lit((1 << 23) - 1)).alias("bit")))
-    classes = documents.groupBy("cls", "n").agg(F.min("doc_id").alias("first_doc"))
-    groups = cut(grouped(_signature_rows(docs, k, frequent_bits)))
+    frequent_bits = frequent_members(rows.where("member"), frequent)
+    hash_part = F.lit(HASH_PART)
+    classes = documents.groupBy("cls", "n").agg(F.min("doc_id").alias("first_doc")).withColumn("key", F.shiftrightunsigned("cls", 8))
+    groups = freed(cut(grouped(_signature_rows(docs, k, frequent_bits))))
 
     def compare(pairs):
         """By the sketches, then, where they leave it open, exactly."""
 
         def by(pairs, sketches, test):
-            nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-            wanted = id_filter(classes.join(nodes, "cls", "left_semi").select(bit_of("first_doc").alias("bit")))
-            return verify(pairs, _payloads(docs, k, wanted, sketches), test).dropDuplicates(["a", "b"])
+            nodes = pairs.select(F.explode(F.array(F.col("a").bitwiseAND(hash_part), F.col("b").bitwiseAND(hash_part))).alias("key")).distinct()
+            wanted = id_filter(classes.join(nodes, "key", "left_semi").select(bit_of("first_doc").alias("bit")))
+            return verify(pairs, _payloads(docs, k, wanted, frequent_bits, sketches), test).dropDuplicates(["a", "b"])
 
-        rough = cut(by(cut(pairs), True, sketch_test))
+        rough = freed(cut(by(cut(pairs), True, sketch_test)))
         return rough.where("NOT ok").unionByName(by(rough.where("ok").select("a", "b"), False, exact_test))
 
     labels = resolve(groups, compare, 1 - NUMERATOR / DENOMINATOR)
-    labelled = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    # a class that shares no signature is its own component; -1 - key cannot be a node
+    labels = labels.select(F.col("node").bitwiseAND(hash_part).alias("key"), "comp")
+    labelled = classes.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", -1 - F.col("key")))
     least = labelled.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
     of_class = labelled.join(least, "comp").select("cls", "component_id")
     full = documents.where("n > 0").join(of_class, "cls").select("doc_id", "n", "component_id")

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, freed
 
 FILTER_BITS = 23
 
@@ -151,10 +151,10 @@ def resolve(groups: DataFrame, compare, most: float, hints=None) -> DataFrame:
 
     ``compare`` returns (a, b, ok, lo, hi) for pairs (a, b).
     """
-    first = cut(compare(hub_pairs(groups)))
+    first = freed(cut(compare(hub_pairs(groups))))
     edges = first.where("ok").select("a", "b")
     labels = components(edges)
-    more = cut(compare(cross_pairs(groups, labels, first, most, hints)).where("ok").select("a", "b"))
+    more = freed(cut(compare(cross_pairs(groups, labels, first, most, hints)).where("ok").select("a", "b")))
     return labels if more.isEmpty() else components(edges.unionByName(more))
 
 

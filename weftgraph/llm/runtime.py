@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -37,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """``df``, after the driver has collected its garbage: shuffle files of plans that are gone go now, not at some later time."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across its tasks."""
     module = sys.modules.setdefault("_weft_worker_cache", types.ModuleType("_weft_worker_cache"))

@@ -145,6 +145,26 @@ def set_ids(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix64(total + n * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
 
+class Repeats:
+    """Counts the members of sets over about ``most`` members at a time; keeps those that ``local`` sets or more hold."""
+
+    def __init__(self, local: int, most: int = 3_000_000):
+        self.local, self.most, self.parts, self.size = local, most, [], 0
+
+    def add(self, values: np.ndarray) -> bool:
+        """Whether it is time to ``take``."""
+        self.parts.append(values)
+        self.size += len(values)
+        return self.size > self.most
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """(members, counts) since the last time."""
+        members, n = np.unique(np.concatenate(self.parts or [np.zeros(0, np.uint64)]), return_counts=True)
+        self.parts, self.size = [], 0
+        often = n >= self.local
+        return members[often].view(np.int64), n[often].astype(np.int64)
+
+
 def blocks(batch, limit: int = 1_000_000):
     """Split rows of (…, bytes) columns into index ranges of about ``limit`` bytes of text."""
     size, begin = 0, 0
