@@ -18,10 +18,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import exact_test
+from .jaccard_join import HASH_PART, exact_test, frequent_members, node_ids, rare_members
 from .links import bit_of, grouped, id_filter, in_filter, resolve, verify
-from .runtime import cut, small_batches
-from .textnp import blocks, mix64, set_ids, shingle_sets, text_bytes, words
+from .runtime import cut, freed, small_batches
+from .textnp import Repeats, blocks, mix64, set_ids, shingle_sets, text_bytes, words
 
 SHINGLE = 5
 
@@ -51,18 +51,37 @@ def _paragraphs(batches, min_words: int):
             yield batch.slice(a, b - a), [lines[i] for i in keep.tolist()], np.array(row, np.int64)[keep], np.array(number, np.int32)[keep], n[keep].astype(np.int32)
 
 
-def paragraph_classes(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, para, n_words, cls): every paragraph and the identity of its shingle set."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def paragraph_classes(docs: DataFrame, min_words: int, local: int) -> DataFrame:
+    """(doc_id, para, n_words, cls): every paragraph and the identity of its shingle set.
+
+    Rows with para = -1 are members (cls) that n_words of a batch's paragraphs hold.
+    """
+    kind = docs.schema["doc_id"].dataType
 
     def run(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        counter, seen = Repeats(local), set()
+        names = ["doc_id", "para", "n_words", "cls"]
+
+        def repeats():
+            members, n = counter.take()
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), to_arrow_type(kind)), pa.array(np.full(len(n), -1, np.int32)), pa.array(n), pa.array(members)], names=names)
 
         for part, lines, row, number, n in _paragraphs(batches, min_words):
-            ids = set_ids(*shingle_sets(lines, SHINGLE)) if lines else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(n), pa.array(ids)], names=["doc_id", "para", "n_words", "cls"])
+            if not lines:
+                continue
+            values, first = shingle_sets(lines, SHINGLE)
+            ids = set_ids(values, first)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(n.astype(np.int64)), pa.array(ids)], names=names)
+            fresh = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()], bool)
+            if counter.add(values[np.repeat(fresh, np.diff(first))]):
+                yield repeats()
+                seen = set()
+        yield repeats()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, para int, n_words int, cls long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, para int, n_words long, cls long")
 
 
 def band_keys(values: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -78,7 +97,9 @@ def band_keys(values: np.ndarray, first: np.ndarray, bands: int, rows: int) -> n
     return keys
 
 
-def _band_rows(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
+def _band_rows(docs: DataFrame, min_words: int, bands: int, rows: int, frequent: np.ndarray) -> DataFrame:
+    """(sig, cls) of every class, once in each task; cls as in ``node_ids``."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -94,7 +115,7 @@ def _band_rows(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFr
                 continue
             first = np.concatenate(([0], np.cumsum(n)))
             keys = band_keys(values, first, bands, rows).reshape(-1)
-            own = np.tile(ids[fresh], bands)
+            own = np.tile(node_ids(ids[fresh], first, rare_members(values, frequent)), bands)
             for i in range(0, len(keys), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000]), pa.array(own[i : i + 200_000])], names=["sig", "cls"])
 
@@ -111,7 +132,7 @@ def min_bytes(values: np.ndarray, first: np.ndarray, longs: int) -> np.ndarray:
     return out
 
 
-def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes: np.ndarray, longs: int = 0) -> DataFrame:
+def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes: np.ndarray, frequent: np.ndarray, longs: int = 0) -> DataFrame:
     """(cls, payload): the sets of the wanted classes, or (cls, h0, h1, ...) with ``longs`` packed MinHash values."""
 
     def run(batches):
@@ -125,7 +146,8 @@ def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes:
                 values, first = shingle_sets(lines, SHINGLE)
                 ids = set_ids(values, first)
                 _, once = np.unique(ids, return_index=True)
-                at = once[in_filter(in_classes, ids[once].view(np.uint64) & np.uint64((1 << 23) - 1))]
+                at = once[in_filter(in_classes, (ids[once].view(np.uint64) >> np.uint64(8)) & np.uint64((1 << 23) - 1))]
+                ids = node_ids(ids, first, rare_members(values, frequent))
                 if longs:
                     n = np.diff(first)[at]
                     sets = values[np.concatenate([np.arange(first[i], first[i + 1]) for i in at.tolist()])] if len(at) else values[:0]
@@ -139,7 +161,7 @@ def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes:
     return docs.select("text", bit_of("doc_id").alias("bit")).mapInArrow(run, schema)
 
 
-def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995, often: int = 16) -> DataFrame:
     """(doc_id, para, n_words, first_doc, first_para, cluster_size, removed): every paragraph of a cluster of two or more.
 
     ``para`` counts the lines of the text from 0. A cluster is named by its
@@ -147,15 +169,18 @@ def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995) -> DataF
     """
     bands, rows = tune(recall=recall)
     docs = small_batches(docs)
-    found = cut(paragraph_classes(docs, min_words))
-    classes = found.groupBy("cls").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count("*").alias("members"))
-    groups = cut(grouped(_band_rows(docs, min_words, bands, rows)))
+    rows_found = cut(paragraph_classes(docs, min_words, local=4))
+    found = rows_found.where("para >= 0").withColumn("n_words", F.col("n_words").cast("int"))
+    frequent = frequent_members(rows_found.where("para < 0").select("cls", F.col("n_words").alias("n")), often)
+    classes = found.groupBy("cls").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count("*").alias("members")).withColumn("key", F.shiftrightunsigned("cls", 8))
+    groups = freed(cut(grouped(_band_rows(docs, min_words, bands, rows, frequent))))
+    hash_part = F.lit(HASH_PART)
 
     def payloads(nodes, longs=0):
-        need = cut(classes.join(nodes, "cls", "left_semi").select("cls", "first"))
+        need = cut(classes.join(nodes.select(F.col("cls").bitwiseAND(hash_part).alias("key")), "key", "left_semi").select("key", "first"))
         in_docs = id_filter(need.select(bit_of("first.doc_id").alias("bit")))
-        in_classes = id_filter(need.select(F.col("cls").bitwiseAND(F.lit((1 << 23) - 1)).alias("bit")))
-        return _payloads(docs, min_words, in_docs, in_classes, longs)
+        in_classes = id_filter(need.select(F.col("key").bitwiseAND(F.lit((1 << 23) - 1)).alias("bit")))
+        return _payloads(docs, min_words, in_docs, in_classes, frequent, longs)
 
     def compare(pairs):
         pairs = cut(pairs)
@@ -164,7 +189,8 @@ def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995) -> DataF
 
     # of 128 MinHash values, a pair at the threshold shares 96 +- 5
     labels = resolve(groups, compare, 0.25, (lambda nodes: payloads(nodes, 16).dropDuplicates(["cls"]), 83))
-    labelled = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    labels = labels.select(F.col("node").bitwiseAND(hash_part).alias("key"), "comp")
+    labelled = classes.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", -1 - F.col("key")))
     clusters = labelled.groupBy("comp").agg(F.min("first").alias("head"), F.sum("members").alias("cluster_size")).where("cluster_size > 1")
     of_class = labelled.select("cls", "comp").join(clusters, "comp").select("cls", "head", "cluster_size")
     out = found.join(of_class, "cls")
