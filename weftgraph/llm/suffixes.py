@@ -129,6 +129,7 @@ def _context_rows(rows: DataFrame, length: int, repeated: np.ndarray) -> DataFra
     """(h, x, doc_id, cls, s0, n, off, ctx): every run at an anchor that may repeat; ctx only where the task first meets x.
 
     x identifies the bytes and the anchor's place in them; s0 is the first window's start, n the last one's distance from it.
+    Rows with n = -1 are settled: the text is covered from s0 on for off bytes; their h only spreads them.
     """
 
     def run(batches):
@@ -146,10 +147,21 @@ def _context_rows(rows: DataFrame, length: int, repeated: np.ndarray) -> DataFra
                 inverse = _tables(len(data) + 1)[1][1]
                 off, n = at - s0, s1 - s0
                 x = mix64(mix64((prefix[s1 + length] - prefix[s0]) * inverse[s0]) + (off * 1000 + n).astype(np.uint64)).view(np.int64)
+                doc, start = ids[text], s0 + shift
+                order = np.lexsort((start, doc, x))  # of equal contexts of the block only the first goes on; the others are covered
+                same = np.zeros(len(order), bool)
+                same[1:] = x[order][1:] == x[order][:-1]
+                lead = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+                later = same & ((doc[order] != doc[order][lead]) | (start[order] != start[order][lead]))
+                done, on = order[later], order[~later]
+                if len(done):
+                    size = (n[done] + length).astype(np.int32)
+                    columns = [mix64(doc[done].view(np.uint64) + start[done].view(np.uint64)).view(np.int64), np.zeros(len(done), np.int64), doc[done], cls[text[done]], start[done], np.full(len(done), -1, np.int32), size]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(done), pa.binary())], names=["h", "x", "doc_id", "cls", "s0", "n", "off", "ctx"])
                 whole = data.tobytes()
-                ctx = [None if k in met or met.add(k) else whole[a : b + length] for k, a, b in zip(x.tolist(), s0.tolist(), s1.tolist(), strict=True)]
-                columns = [pa.array(h.view(np.int64)), pa.array(x), pa.array(ids[text]), pa.array(cls[text]), pa.array(s0 + shift), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(ctx, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "x", "doc_id", "cls", "s0", "n", "off", "ctx"])
+                ctx = [None if k in met or met.add(k) else whole[a : b + length] for k, a, b in zip(x[on].tolist(), s0[on].tolist(), s1[on].tolist(), strict=True)]
+                columns = [h[on].view(np.int64), x[on], doc[on], cls[text[on]], start[on], n[on].astype(np.int32), off[on].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(ctx, pa.binary())], names=["h", "x", "doc_id", "cls", "s0", "n", "off", "ctx"])
 
     return rows.mapInArrow(run, "h long, x long, doc_id long, cls long, s0 long, n int, off int, ctx binary")
 
@@ -247,6 +259,14 @@ def _repeats(runs: DataFrame, length: int, many: int = 15_000) -> DataFrame:
                 continue
             h, x, doc, cls, s0, n, off = (batch.column(c).to_numpy().astype(np.int64) for c in names)
             ctx = batch.column("ctx").to_pylist()
+            settled = n < 0
+            if settled.any():
+                yield out((doc[settled], cls[settled], s0[settled], s0[settled] + off[settled]))
+                go = np.flatnonzero(~settled)
+                if not len(go):
+                    continue
+                h, x, doc, cls, s0, n, off = (v[go] for v in (h, x, doc, cls, s0, n, off))
+                ctx = [ctx[i] for i in go.tolist()]
             new = np.ones(len(x), bool)
             new[1:] = x[1:] != x[:-1]
             if tail is not None and x[0] == tail[0]:
