@@ -14,7 +14,7 @@ few blocks for the argument signs a second time with all members, and two such
 documents meet there; so no link is lost.
 
 Candidates that share a block are compared by bit sketches, whose Hamming
-distance is a lower bound of the difference, then exactly.
+distance is a lower bound of the difference, then exactly (see ``links``).
 
 Results by case: a null text or one without words has an empty set and links
 with nothing; a text of fewer words than a shingle has its word sequence as its
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .links import bit_of, grouped, id_filter, in_filter, resolve, verify
+from .links import bit_of, bit_sketch, grouped, id_filter, in_filter, resolve
 from .runtime import cut, freed, small_batches
 from .textnp import Repeats, blocks, mix64, set_ids, shingle_sets, text_bytes
 
@@ -160,41 +160,16 @@ def _signature_rows(docs: DataFrame, k: int, frequent: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, cls long")
 
 
-def bit_sketch(values: np.ndarray, level: int) -> bytes:
-    """The size and a parity sketch of 2**(level + 3) bits of one set, one bit for each block's number of members."""
-    bits = np.bincount((mix64(values) >> np.uint64(64 - level - _SKETCH_SHIFT)).astype(np.int64), minlength=1 << (level + _SKETCH_SHIFT)) & 1
-    return len(values).to_bytes(8, "little") + np.packbits(bits.astype(np.uint8)).tobytes()
-
-
-def sketch_test(left: list[bytes], right: list[bytes]):
-    """(can be linked, least distance, 1): sizes and the Hamming distance bound the Jaccard distance from below."""
-    ok, low = [], []
-    for x, y in zip(left, right, strict=True):
-        a, b = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
-        p, q = np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8)
-        if len(p) != len(q):  # fold the finer sketch: neighbouring bits have one block in the coarser one
-            p, q = (p, q) if len(p) > len(q) else (q, p)
-            bits = np.unpackbits(p)
-            while len(bits) > 8 * len(q):
-                bits = bits[0::2] ^ bits[1::2]
-            p = np.packbits(bits)
-        least = max(abs(a - b), int(np.bitwise_count(p ^ q).sum()))
-        ok.append(least * (DENOMINATOR + NUMERATOR) <= (a + b) * (DENOMINATOR - NUMERATOR))
-        low.append(2 * least / max(1, a + b + least))
-    return ok, low, [1.0] * len(ok)
-
-
-def exact_test(left: list[bytes], right: list[bytes]):
-    """(4 * |A and B| >= 3 * |A or B|, distance, distance), of sorted sets."""
-    ok, far = [], []
+def exact_test(left: list[bytes], right: list[bytes]) -> list[bool]:
+    """Whether 4 * |A and B| >= 3 * |A or B|, of sorted sets."""
+    ok = []
     for x, y in zip(left, right, strict=True):
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = np.concatenate((a, b))
         both.sort(kind="stable")
         common = int((both[1:] == both[:-1]).sum())
         ok.append(DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common) and common > 0)
-        far.append(1 - common / max(1, len(a) + len(b) - common))
-    return ok, far, far
+    return ok
 
 
 def _payloads(docs: DataFrame, k: int, wanted: np.ndarray, frequent: np.ndarray, sketches: bool) -> DataFrame:
@@ -209,7 +184,7 @@ def _payloads(docs: DataFrame, k: int, wanted: np.ndarray, frequent: np.ndarray,
                 ids, n = node_ids(set_ids(values, first), first, rare_members(values, frequent)), np.diff(first)
                 if sketches:
                     level = band(n).tolist()
-                    payload = [bit_sketch(values[a:b], h) for a, b, h in zip(first[:-1], first[1:], level, strict=True)]
+                    payload = [bit_sketch(values[a:b], h + _SKETCH_SHIFT) for a, b, h in zip(first[:-1], first[1:], level, strict=True)]
                 else:
                     payload = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(payload, pa.binary())], names=["cls", "payload"])
@@ -231,18 +206,16 @@ def join(docs: DataFrame, k: int = SHINGLE, frequent: int = 64) -> DataFrame:
     classes = documents.groupBy("cls", "n").agg(F.min("doc_id").alias("first_doc")).withColumn("key", F.shiftrightunsigned("cls", 8))
     groups = freed(cut(grouped(_signature_rows(docs, k, frequent_bits))))
 
-    def compare(pairs):
-        """By the sketches, then, where they leave it open, exactly."""
-
-        def by(pairs, sketches, test):
-            nodes = pairs.select(F.explode(F.array(F.col("a").bitwiseAND(hash_part), F.col("b").bitwiseAND(hash_part))).alias("key")).distinct()
-            wanted = id_filter(classes.join(nodes, "key", "left_semi").select(bit_of("first_doc").alias("bit")))
-            return verify(pairs, _payloads(docs, k, wanted, frequent_bits, sketches), test).dropDuplicates(["a", "b"])
+    def payloads(sketches):
+        def make(nodes):
+            keys = nodes.select(F.col("cls").bitwiseAND(hash_part).alias("key"))
+            wanted = id_filter(classes.join(keys, "key", "left_semi").select(bit_of("first_doc").alias("bit")))
+            return _payloads(docs, k, wanted, frequent_bits, sketches)
 
-        rough = freed(cut(by(cut(pairs), True, sketch_test)))
-        return rough.where("NOT ok").unionByName(by(rough.where("ok").select("a", "b"), False, exact_test))
+        return make
 
-    labels = resolve(groups, compare, 1 - NUMERATOR / DENOMINATOR)
+    # at similarity 3/4, |A ^ B| <= (|A| + |B|) / 7
+    labels = resolve(groups, payloads(True), payloads(False), exact_test, (DENOMINATOR + NUMERATOR) // (DENOMINATOR - NUMERATOR))
     # a class that shares no signature is its own component; -1 - key cannot be a node
     labels = labels.select(F.col("node").bitwiseAND(hash_part).alias("key"), "comp")
     labelled = classes.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", -1 - F.col("key")))

@@ -3,8 +3,8 @@
 Nodes are classes (64-bit integers) that stand for groups of equal items.
 Signature rows (sig, cls) are grouped by a sort; within a group every class is
 first compared with one hub. Classes that are not in the hub's component after
-that are compared with the rest of the group, as far as their distances to the
-hub allow a link.
+that are compared with that component and with each other, by sketches, in
+blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import cut, freed
+from .textnp import mix64
 
 FILTER_BITS = 23
 
@@ -65,51 +66,129 @@ def hub_pairs(groups: DataFrame) -> DataFrame:
     return groups.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
 
 
-def same_bytes(pairs: list[tuple]):
-    """How many bytes of the given pairs of long columns are equal."""
+def bit_sketch(values: np.ndarray, bits: int) -> bytes:
+    """A set's size and a parity sketch of 2**bits bits: each bit is the parity of the number of members that hash to it.
 
-    def equal(x, y):
-        some = x.bitwiseXOR(y)
-        for n, inside in ((1, 0x7F7F7F7F7F7F7F7F), (2, 0x3F3F3F3F3F3F3F3F), (4, 0x0F0F0F0F0F0F0F0F)):  # into each byte's last bit
-            some = some.bitwiseOR(F.shiftrightunsigned(some, n).bitwiseAND(F.lit(inside)))
-        return 8 - F.bit_count(some.bitwiseAND(F.lit(0x0101010101010101)))
+    The Hamming distance of two sketches is at most the size of the sets'
+    symmetric difference, and merging neighbouring bits by XOR halves a sketch.
+    """
+    parity = np.bincount((mix64(values) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return len(values).to_bytes(8, "little") + np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Rows of sketch bytes folded to ``size`` bytes."""
+    if sketches.shape[1] > size:
+        bits = np.unpackbits(sketches, axis=1)
+        while bits.shape[1] > 8 * size:
+            bits = bits[:, 0::2] ^ bits[:, 1::2]
+        sketches = np.packbits(bits, axis=1)
+    return np.ascontiguousarray(sketches)
+
+
+def may_link(left: list[bytes], right: list[bytes], parts: int) -> np.ndarray:
+    """bool[left, right]: whether sizes and sketches leave it open that ``parts`` * |A ^ B| <= |A| + |B|."""
+    out = np.zeros((len(left), len(right)), bool)
+    sides = []
+    for rows in (left, right):
+        by: dict[int, list[int]] = {}
+        for i, x in enumerate(rows):
+            by.setdefault(len(x) - 8, []).append(i)
+        sides.append({size: (np.array(at), np.frombuffer(b"".join(rows[i] for i in at), np.uint8).reshape(len(at), size + 8)) for size, at in by.items()})
+    for size_l, (at_l, x) in sides[0].items():
+        for size_r, (at_r, y) in sides[1].items():
+            m = min(size_l, size_r)
+            n_l, n_r = (np.ascontiguousarray(v[:, :8]).view("<i8").ravel() for v in (x, y))
+            p, q = _folded(x[:, 8:], m), _folded(y[:, 8:], m)
+            if m % 8 == 0:
+                p, q = p.view(np.uint64), q.view(np.uint64)
+            step = max(1, 4_000_000 // max(1, q.size))
+            for i in range(0, len(at_l), step):
+                apart = np.bitwise_count(p[i : i + step, None, :] ^ q[None, :, :]).sum(2, dtype=np.int64)
+                size = n_l[i : i + step, None] + n_r[None, :]
+                least = np.maximum(apart, np.abs(n_l[i : i + step, None] - n_r[None, :]))
+                out[at_l[i : i + step, None], at_r[None, :]] = parts * least <= size
+    return out
+
+
+def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches, parts: int, block: int = 2048) -> DataFrame:
+    """(a, b), a < b: classes that share a group but no component yet, as far as their sketches leave a link open.
+
+    In every group a class is in the hub's component or a satellite of it. Each
+    component's satellites are compared with the component and with each other,
+    in blocks of at most ``block`` by ``block`` sketches, whatever number of
+    groups they share; a worker holds one pair of blocks. ``sketches`` makes
+    (cls, payload) for the classes (cls).
+    """
+    hubs = labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    labelled = groups.where("cls != hub").join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").join(hubs, "hub", "left")
+    labelled = labelled.select(F.coalesce("hub_comp", "hub").alias("c"), "cls", F.coalesce("comp", "cls").alias("comp"))
+    sats = cut(labelled.where("comp != c").distinct())
+    known = labels.select(F.col("comp").alias("c"), F.col("node").alias("cls")).join(sats.select("c").distinct(), "c", "left_semi")
+    alone = sats.select("c").distinct().join(known.select("c").distinct(), "c", "left_anti").select("c", F.col("c").alias("cls"))
+    inner = known.unionByName(alone).withColumn("comp", F.col("c"))
+    every = inner.withColumn("sat", F.lit(False)).unionByName(sats.withColumn("sat", F.lit(True)))
+    counts = every.groupBy("c").agg(F.count("*").alias("n"), F.count_if("sat").alias("n_sat")).where("n > 2")  # one satellite of one hub has been compared
+    every = cut(every.join(counts, "c"))
+    made = sketches(every.select("cls").distinct()).dropDuplicates(["cls"])
+    full = every.join(made, "cls")
+    nl, nr = F.ceil(F.col("n_sat") / block).cast("int"), F.ceil(F.col("n") / block).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    left = full.where("sat").withColumn("lb", own(nl)).withColumn("rb", F.explode(F.sequence(F.lit(0), nr - 1))).withColumn("side", F.lit(0))
+    right = full.withColumn("rb", own(nr)).withColumn("lb", F.explode(F.sequence(F.lit(0), nl - 1))).withColumn("side", F.lit(1))
+    cols = ["c", "lb", "rb", "side", "cls", "comp", "sat", "payload"]
 
-    return sum(equal(x, y) for x, y in pairs)
+    def run(batches):
+        import pyarrow as pa
 
+        def solve(rows):
+            l, r = [x for x in rows if x["side"] == 0], [x for x in rows if x["side"] == 1]
+            if not l or not r:
+                return None
+            ok = may_link([x["payload"] for x in l], [x["payload"] for x in r], parts)
+            a, b = np.array([x["cls"] for x in l]), np.array([x["cls"] for x in r])
+            ca, cb = np.array([x["comp"] for x in l]), np.array([x["comp"] for x in r])
+            both = np.array([x["sat"] for x in r])
+            ok &= (ca[:, None] != cb[None, :]) & (~both[None, :] | (a[:, None] < b[None, :]))
+            i, j = np.nonzero(ok)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], names=["a", "b"]) if len(i) else None
+
+        key, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                k = (row["c"], row["lb"], row["rb"])
+                if k != key and held:
+                    out = solve(held)
+                    if out is not None:
+                        yield out
+                    held = []
+                key = k
+                held.append(row)
+        out = solve(held) if held else None
+        if out is not None:
+            yield out
 
-def cross_pairs(groups: DataFrame, labels: DataFrame, distances: DataFrame, most: float, hints=None) -> DataFrame:
-    """(a, b), a < b: classes that share a group but no component yet, and can be within distance ``most``.
+    rows = left.select(*cols).unionByName(right.select(*cols)).repartition("c", "lb", "rb").sortWithinPartitions("c", "lb", "rb")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
-    Only classes outside the component of their group's hub are compared, with
-    the rest of the group. ``distances`` (a, b, lo, hi) bounds each class's
-    distance to the hub; by the triangle inequality of a metric distance, pairs
-    whose distances to the hub differ by more than ``most`` are apart. ``hints``
-    is (rows of classes (cls) -> (cls, h0, h1, ...), least number of equal bytes).
-    """
-    hubs = labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-    labelled = groups.join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").join(hubs, "hub", "left")
-    labelled = labelled.select("sig", "hub", "cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
-    apart = labelled.where("comp != hub_comp")
-    rows = labelled.where("cls != hub").join(apart.select("sig").distinct(), "sig", "left_semi")
-    near = distances.select(F.col("a").alias("hub"), F.col("b").alias("cls"), "lo", "hi")
-    rows = cut(rows.join(near, ["hub", "cls"]).select("sig", "cls", "comp", "lo", "hi", (F.col("comp") != F.col("hub_comp")).alias("out")))
-    alike = F.lit(True)
-    if hints is not None:
-        made = cut(hints[0](rows.select("cls").distinct()))
-        rows = rows.join(made, "cls")
-        alike = same_bytes([(F.col(f"x.{h}"), F.col(f"y.{h}")) for h in made.columns if h != "cls"]) >= hints[1]
-    x, y = rows.where("out").alias("x"), rows.alias("y")
-    pairs = x.join(
-        y,
-        alike &         (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.out") | (F.col("x.cls") < F.col("y.cls")))
-        & (F.col("x.lo") - F.col("y.hi") <= most) & (F.col("y.lo") - F.col("x.hi") <= most),
-    )
-    return pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+
+def filter_words(ids: DataFrame) -> DataFrame:
+    """(w, v): the words that are not 0 of a bit set of 2**FILTER_BITS bits over (bit)."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))
+    return ids.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(one).alias("v"))
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``df`` with ``maybe``: false where ``column`` is surely none of ``ids``. The broadcast has 2**(FILTER_BITS - 6) rows at most."""
+    words = F.broadcast(filter_words(ids.select(bit_of(column).alias("bit"))))
+    joined = df.withColumn("_bit", bit_of(column)).join(words, F.shiftright("_bit", 6) == F.col("w"), "left")
+    hit = F.call_function("shiftrightunsigned", F.col("v"), F.pmod("_bit", F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return joined.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("_bit", "w", "v")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A bit set of 2**FILTER_BITS bits (1 MB at any number of ids) over (bit): false positives only."""
-    words = ids.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("v"))
+    words = filter_words(ids)
     table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     for w, v in words.collect():  # 2**(FILTER_BITS - 6) rows at most
         table[w] = np.uint64(v & 0xFFFFFFFFFFFFFFFF)
@@ -126,7 +205,7 @@ def in_filter(table: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, payloads: DataFrame, test) -> DataFrame:
-    """(a, b, ok, lo, hi): ``test`` takes two lists of payloads and returns whether each pair passes and bounds of its distance.
+    """The pairs (a, b) whose payloads pass ``test(list of bytes, list of bytes) -> list of bool``.
 
     ``payloads`` is (cls, payload binary). A class with many partners makes a
     large join partition, which adaptive execution splits.
@@ -138,23 +217,36 @@ def verify(pairs: DataFrame, payloads: DataFrame, test) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                ok, lo, hi = test(part.column("pa").to_pylist(), part.column("pb").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_()), pa.array(lo, pa.float64()), pa.array(hi, pa.float64())], names=["a", "b", "ok", "lo", "hi"])
+                keep = pa.array(np.flatnonzero(test(part.column("pa").to_pylist(), part.column("pb").to_pylist())))
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([part.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
 
     left = payloads.select(F.col("cls").alias("a"), F.col("payload").alias("pa"))
     right = payloads.select(F.col("cls").alias("b"), F.col("payload").alias("pb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long, ok boolean, lo double, hi double")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def resolve(groups: DataFrame, compare, most: float, hints=None) -> DataFrame:
-    """(node, comp): the components of the classes that ``compare(pairs)`` links.
+def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
+    """(node, comp): the components of the classes that are linked, ``parts`` * |A ^ B| <= |A| + |B|, and share a group.
 
-    ``compare`` returns (a, b, ok, lo, hi) for pairs (a, b).
+    ``sketches`` and ``sets`` make (cls, payload) for the classes (cls); ``test``
+    decides a pair of sets exactly.
     """
-    first = freed(cut(compare(hub_pairs(groups))))
-    edges = first.where("ok").select("a", "b")
+
+    def nodes(pairs):
+        return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+    def rough(left, right):
+        return [bool(may_link([x], [y], parts)[0, 0]) for x, y in zip(left, right, strict=True)]
+
+    def linked(pairs):
+        pairs = cut(pairs)
+        return freed(cut(verify(pairs, sets(nodes(pairs)), test).distinct()))
+
+    pairs = cut(hub_pairs(groups))
+    edges = linked(verify(pairs, sketches(nodes(pairs)), rough).distinct())
     labels = components(edges)
-    more = freed(cut(compare(cross_pairs(groups, labels, first, most, hints)).where("ok").select("a", "b")))
+    more = linked(satellite_pairs(groups, labels, sketches, parts))
     return labels if more.isEmpty() else components(edges.unionByName(more))
 
 

@@ -2,8 +2,8 @@
 
 Paragraphs are lines of at least ``min_words`` words; a paragraph's set holds
 its distinct 5-word shingles. Bands are tuned for recall at the threshold.
-Paragraphs that collide in a band are joined, verified by exact Jaccard
-similarity (3/4 or more) and clustered by connected components; the first
+Paragraphs that collide in a band are joined (see ``links``), verified by exact
+Jaccard similarity (3/4 or more) and clustered by connected components; the first
 paragraph of each cluster stays and the others are removals.
 
 Equal paragraphs are one class from the start. Results by case: null and empty
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard_join import HASH_PART, exact_test, frequent_members, node_ids, rare_members
-from .links import bit_of, grouped, id_filter, in_filter, resolve, verify
+from .links import bit_of, bit_sketch, grouped, id_filter, in_filter, resolve
 from .runtime import cut, freed, small_batches
 from .textnp import Repeats, blocks, mix64, set_ids, shingle_sets, text_bytes, words
 
@@ -122,18 +122,8 @@ def _band_rows(docs: DataFrame, min_words: int, bands: int, rows: int, frequent:
     return docs.select("text").mapInArrow(run, "sig long, cls long")
 
 
-def min_bytes(values: np.ndarray, first: np.ndarray, longs: int) -> np.ndarray:
-    """uint64[longs, sets]: 8 * longs MinHash values of each non-empty set, one byte each."""
-    out = np.zeros((longs, len(first) - 1), np.uint64)
-    for i in range(8 * longs):
-        salt = mix64(np.array([i + 1000], np.uint64))[0]
-        least = mix64(np.minimum.reduceat((values ^ salt) * np.uint64(0xFF51AFD7ED558CCD), first[:-1]))
-        out[i // 8] |= (least & np.uint64(255)) << np.uint64(8 * (i % 8))
-    return out
-
-
-def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes: np.ndarray, frequent: np.ndarray, longs: int = 0) -> DataFrame:
-    """(cls, payload): the sets of the wanted classes, or (cls, h0, h1, ...) with ``longs`` packed MinHash values."""
+def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes: np.ndarray, frequent: np.ndarray, sketches: bool) -> DataFrame:
+    """(cls, payload): the sketches or the sets of the wanted classes."""
 
     def run(batches):
         import pyarrow as pa
@@ -148,17 +138,11 @@ def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes:
                 _, once = np.unique(ids, return_index=True)
                 at = once[in_filter(in_classes, (ids[once].view(np.uint64) >> np.uint64(8)) & np.uint64((1 << 23) - 1))]
                 ids = node_ids(ids, first, rare_members(values, frequent))
-                if longs:
-                    n = np.diff(first)[at]
-                    sets = values[np.concatenate([np.arange(first[i], first[i + 1]) for i in at.tolist()])] if len(at) else values[:0]
-                    packed = min_bytes(sets, np.concatenate(([0], np.cumsum(n))), longs) if len(at) else np.zeros((longs, 0), np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *(pa.array(h.view(np.int64)) for h in packed)], names=["cls", *(f"h{i}" for i in range(longs))])
-                    continue
-                payload = [values[first[i] : first[i + 1]].tobytes() for i in at.tolist()]
+                sets = [values[first[i] : first[i + 1]] for i in at.tolist()]
+                payload = [bit_sketch(x, max(6, int(len(x) * 4).bit_length())) if sketches else x.tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(payload, pa.binary())], names=["cls", "payload"])
 
-    schema = "cls long, " + (", ".join(f"h{i} long" for i in range(longs)) if longs else "payload binary")
-    return docs.select("text", bit_of("doc_id").alias("bit")).mapInArrow(run, schema)
+    return docs.select("text", bit_of("doc_id").alias("bit")).mapInArrow(run, "cls long, payload binary")
 
 
 def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995, often: int = 16) -> DataFrame:
@@ -176,19 +160,16 @@ def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995, often: i
     groups = freed(cut(grouped(_band_rows(docs, min_words, bands, rows, frequent))))
     hash_part = F.lit(HASH_PART)
 
-    def payloads(nodes, longs=0):
-        need = cut(classes.join(nodes.select(F.col("cls").bitwiseAND(hash_part).alias("key")), "key", "left_semi").select("key", "first"))
-        in_docs = id_filter(need.select(bit_of("first.doc_id").alias("bit")))
-        in_classes = id_filter(need.select(F.col("key").bitwiseAND(F.lit((1 << 23) - 1)).alias("bit")))
-        return _payloads(docs, min_words, in_docs, in_classes, frequent, longs)
+    def payloads(sketches):
+        def make(nodes):
+            need = cut(classes.join(nodes.select(F.col("cls").bitwiseAND(hash_part).alias("key")), "key", "left_semi").select("key", "first"))
+            in_docs = id_filter(need.select(bit_of("first.doc_id").alias("bit")))
+            in_classes = id_filter(need.select(F.col("key").bitwiseAND(F.lit((1 << 23) - 1)).alias("bit")))
+            return _payloads(docs, min_words, in_docs, in_classes, frequent, sketches)
 
-    def compare(pairs):
-        pairs = cut(pairs)
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        return verify(pairs, payloads(nodes), exact_test).dropDuplicates(["a", "b"])
+        return make
 
-    # of 128 MinHash values, a pair at the threshold shares 96 +- 5
-    labels = resolve(groups, compare, 0.25, (lambda nodes: payloads(nodes, 16).dropDuplicates(["cls"]), 83))
+    labels = resolve(groups, payloads(True), payloads(False), exact_test, 7)
     labels = labels.select(F.col("node").bitwiseAND(hash_part).alias("key"), "comp")
     labelled = classes.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", -1 - F.col("key")))
     clusters = labelled.groupBy("comp").agg(F.min("first").alias("head"), F.sum("members").alias("cluster_size")).where("cluster_size > 1")
