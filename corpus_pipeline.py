@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, jaccard_join, langid, mixing, secrets
+from weftgraph.llm.links import maybe_in
 from weftgraph.llm.runtime import DOCUMENT_COLUMNS, crc_mod, cut, table
 
 
@@ -23,10 +24,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join stays: the one with the smallest id."""
-    linked = jaccard_join.join(docs)
-    keep = linked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENT_COLUMNS)
+    """One document of each component of the n-gram Jaccard join stays: the one with the smallest id, once.
+
+    Rows without an id stay, as nothing names them. Only texts whose ids a fixed-size filter of the
+    ids to judge lets through are shuffled.
+    """
+    linked = jaccard_join.join(docs).where("doc_id IS NOT NULL")
+    judged = linked.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"))
+    judged = cut(judged.where("n > 1 OR stays = 0"))
+    marked = maybe_in(docs.select(*DOCUMENT_COLUMNS), "doc_id", judged)
+    clear = marked.where("NOT maybe OR doc_id IS NULL").select(*DOCUMENT_COLUMNS)
+    doubt = marked.where("maybe AND doc_id IS NOT NULL").join(judged.where("stays = 0").select("doc_id"), "doc_id", "left_anti")
+    return clear.unionByName(doubt.dropDuplicates(["doc_id"]).select(*DOCUMENT_COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +47,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, each as often as the mix takes it."""
-    return mixing.take(docs.select(*DOCUMENT_COLUMNS), cut(mixing.mix(docs)))
+    return mixing.take(mixing.mix(docs, keep=("text", "lang", "n_chars"))).select(*DOCUMENT_COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,8 +147,9 @@ def test_mixing_empty_and_few_broadcasts(docs, empty):
 
 
 def test_mixing_take(docs):
-    mixed = mixing.mix(docs)
-    assert mixing.take(docs, mixed).count() == sum(r["repeats"] for r in mixed.collect())
+    mixed = mixing.mix(docs, keep=("text", "lang"))
+    assert mixing.take(mixed).count() == sum(r["repeats"] for r in mixed.collect())
+    assert {(r["doc_id"], r["text"]) for r in mixed.collect()} == {(r["doc_id"], r["text"]) for r in docs.collect()}
 
 
 # n-gram Jaccard join

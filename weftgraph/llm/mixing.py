@@ -46,16 +46,17 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs
     return filled.select("source", "source_size", F.when(F.col("_full"), F.col("_cap")).otherwise(F.least(share, F.col("_cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3, seed: int = 17, bins: int = 1024, broadcast_sources: int = 10_000) -> DataFrame:
-    """(doc_id, source, size, source_size, target, repeats, taken): how often the mix takes each document.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3, seed: int = 17, bins: int = 1024, broadcast_sources: int = 10_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, *keep, size, source_size, target, repeats, taken): how often the mix takes each document.
 
     A source's documents are spread over ``bins`` hash bins; running sums of the
     bins tell which are taken whole, and only the one bin that a source's target
-    cuts is ordered document by document. The source table is broadcast when it
-    has at most ``broadcast_sources`` rows, else joined with skew handling.
+    cuts is ordered document by document. So ``keep`` columns are not shuffled,
+    but for that bin's. The source table is broadcast when it has at most
+    ``broadcast_sources`` rows, else joined with skew handling.
     """
     h = F.xxhash64(F.lit(seed), "doc_id")
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"))
     sized = sized.withColumn("_h", h).withColumn("_bin", F.pmod("_h", F.lit(bins)))
     binned = cut(sized.groupBy("source", "_bin").agg(F.sum("size").alias("_bin_size")))
     plan = targets(binned.groupBy("source").agg(F.sum("_bin_size").alias("source_size")), weights, max_epochs)
@@ -79,11 +80,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: flo
     inner = planned.where(at_cut).withColumn("_extra", (F.col("_begin") + before + F.col("size") / 2 <= F.col("_rest")).cast("long"))
     outer = planned.where(~at_cut).withColumn("_extra", (F.col("_cut_bin").isNull() | (F.col("_bin") < F.col("_cut_bin"))).cast("long"))
     out = inner.unionByName(outer).withColumn("repeats", F.col("_whole") + F.when(F.col("_rest") > 0, F.col("_extra")).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", *keep, "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
-def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` (doc_id, repeats) says."""
-    counts = mixed.select(F.col("doc_id").alias("_id"), F.col("repeats").alias("_repeats"))
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["_id"])).where("_repeats > 0")
-    return joined.withColumn("_repeats", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*docs.columns)
+def take(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix``, each as often as it is taken."""
+    copies = F.sequence(F.lit(1), F.col("repeats").cast("int"))
+    return mixed.where("repeats > 0").withColumn("_copy", F.explode(copies)).drop("_copy")
