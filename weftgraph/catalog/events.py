@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +19,15 @@ REGISTRY = Registry(PRELUDE)
 q = REGISTRY.add
 
 
+def clock(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def shown(column: str, name: str):
+    """A timestamp's digits, which no time zone changes."""
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
+
+
 def raw(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet")
 
@@ -96,7 +103,7 @@ def _(spark, d):
 
 @q("snapshot_asof", """SELECT user_id, event_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM ev WHERE ts <= TIMESTAMP '2024-01-15 00:00:00') WHERE r = 1""")
 def _(spark, d):
-    return temporal.as_of(raw(spark, d), F.lit(dt.datetime(2024, 1, 15)), ("user_id",), order=("event_id",)).select("user_id", "event_id", "event_type", "value")
+    return temporal.as_of(raw(spark, d), clock("2024-01-15 00:00:00"), ("user_id",), order=("event_id",)).select("user_id", "event_id", "event_type", "value")
 
 
 @q("asof_join_purchases", """SELECT a.event_id, a.user_id, b.event_id AS before_id FROM (SELECT * FROM ev WHERE event_type = (SELECT max(event_type) FROM ev)) a ASOF LEFT JOIN
@@ -111,7 +118,7 @@ def _(spark, d):
 
 @q("interval_snapshots", "SELECT CAST(ts AS VARCHAR) AS ts, edge_id, node_id, CAST(weight AS DOUBLE) AS weight FROM t WHERE ts BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'")
 def _(spark, d):
-    return temporal.in_range(snapshots(spark, d), F.lit(dt.date(2024, 1, 5)), F.lit(dt.date(2024, 1, 10))).withColumn("ts", F.col("ts").cast("string"))
+    return temporal.in_range(snapshots(spark, d), F.lit("2024-01-05").cast("date"), F.lit("2024-01-10").cast("date")).withColumn("ts", F.col("ts").cast("string"))
 
 
 @q("temporal_view_union", "SELECT edge_id, node_id, CAST(arg_max(weight, ts) AS DOUBLE) AS weight FROM t GROUP BY 1, 2")
@@ -149,10 +156,10 @@ def _(spark, d):
 
 @q("burst_sessions", """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS n FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
-SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us FROM s GROUP BY 1, 2 HAVING count(*) >= 2""")
+SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS "end" FROM s GROUP BY 1, 2 HAVING count(*) >= 2""")
 def _(spark, d):
     b = temporal.bursts(raw(spark, d), "user_id", 6 * 3600)
-    return b.select("user_id", "session", "events", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"))
+    return b.select("user_id", "session", "events", shown("start", "start"), shown("end", "end"))
 
 
 @q("periodic_access", """, g AS (SELECT user_id, event_type, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM ev)
@@ -174,7 +181,7 @@ def _(spark, d):
 @q("entity_timeline", "SELECT event_id, event_type FROM ev WHERE user_id = 1 AND ts >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts DESC LIMIT 20")
 def _(spark, d):
     e = raw(spark, d).withColumnRenamed("event_type", "operation")
-    return temporal.timeline(e, "user_id", 1, start=F.lit(dt.datetime(2024, 1, 10)), limit=20).select("event_id", F.col("operation").alias("event_type"))
+    return temporal.timeline(e, "user_id", 1, start=clock("2024-01-10 00:00:00"), limit=20).select("event_id", F.col("operation").alias("event_type"))
 
 
 @q("seasonality", """, m AS (SELECT avg(value) AS mu, count(*) AS n FROM daily), x AS (SELECT i, value - mu AS d, lag(value, 7) OVER (ORDER BY i) - mu AS p FROM daily, m)
@@ -196,7 +203,7 @@ def _(spark, d):
 
 @q("event_query", "SELECT event_id, user_id, event_type FROM ev WHERE event_type IN ('click', 'view', 'purchase') AND ts BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00' ORDER BY ts DESC, event_id LIMIT 25 OFFSET 5")
 def _(spark, d):
-    return metadata.query_events(raw(spark, d), any_of={"event_type": ["click", "view", "purchase"]}, start=F.lit(dt.datetime(2024, 1, 3)), end=F.lit(dt.datetime(2024, 1, 20)), descending=True, offset=5, limit=25).select("event_id", "user_id", "event_type")
+    return metadata.query_events(raw(spark, d), any_of={"event_type": ["click", "view", "purchase"]}, start=clock("2024-01-03 00:00:00"), end=clock("2024-01-20 00:00:00"), descending=True, offset=5, limit=25).select("event_id", "user_id", "event_type")
 
 
 @q("event_dedupe", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM ev) WHERE r = 1")
@@ -211,23 +218,23 @@ def _(spark, d):
     return raw(spark, d).groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@q("tumbling_counts", "SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, event_type, count(*) AS events FROM ev GROUP BY 1, 2")
+@q("tumbling_counts", "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S.%f') AS start, event_type, count(*) AS events FROM ev GROUP BY 1, 2")
 def _(spark, d):
     w = stream.tumbling(raw(spark, d), "1 day")
-    return w.select(F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "event_type", "events")
+    return w.select(shown("start", "start"), "event_type", "events")
 
 
-@q("sliding_counts", """SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts) - k * INTERVAL 1 DAY) AS start_us, event_type, count(*) AS events FROM ev, (SELECT CAST(unnest([0, 1]) AS INTEGER) AS k) GROUP BY 1, 2""")
+@q("sliding_counts", """SELECT strftime(time_bucket(INTERVAL 1 DAY, ts) - k * INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S.%f') AS start, event_type, count(*) AS events FROM ev, (SELECT CAST(unnest([0, 1]) AS INTEGER) AS k) GROUP BY 1, 2""")
 def _(spark, d):
     w = stream.tumbling(raw(spark, d), "2 days", slide="1 day")
-    return w.select(F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "event_type", "events")
+    return w.select(shown("start", "start"), "event_type", "events")
 
 
 @q("session_windows", """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS n FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS events FROM s GROUP BY user_id, session""")
+s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS events FROM s GROUP BY user_id, session""")
 def _(spark, d):
     w = stream.sessions(raw(spark, d), "6 hours", key="user_id")
-    return w.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "events")
+    return w.select("user_id", shown("start", "start"), "events")
 
 
 @q("audit_cube", "SELECT event_type, CAST(user_id % 5 AS BIGINT) AS bucket, count(*) AS events, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM ev GROUP BY CUBE (event_type, bucket)")

@@ -93,7 +93,7 @@ def _(spark, d):
     return sparql.execute(triples(spark, d), "SELECT DISTINCT ?seg WHERE { ?c segment ?seg } ORDER BY DESC(?seg) LIMIT 3 OFFSET 1")
 
 
-@q("kg_path_3", """SELECT a || '>' || b || '>' || c AS path, 2 AS hops FROM (SELECT x.s AS a, x.o AS b, y.s AS c FROM tr x JOIN tr y ON x.o = y.o WHERE x.p = 'in_nation' AND y.p = 'in_nation' AND x.s = 'customer:1' AND y.s = 'supplier:1')
+@q("kg_path_3", """SELECT a || '>' || b || '>' || c AS path, CAST(2 AS BIGINT) AS hops FROM (SELECT x.s AS a, x.o AS b, y.s AS c FROM tr x JOIN tr y ON x.o = y.o WHERE x.p = 'in_nation' AND y.p = 'in_nation' AND x.s = 'customer:1' AND y.s = 'supplier:1')
 UNION ALL SELECT 'customer:1>' || a.o || '>' || r1.o || '>' || b.o || '>supplier:1', 4 FROM tr a JOIN tr r1 ON r1.s = a.o AND r1.p = 'in_region' JOIN tr r2 ON r2.o = r1.o AND r2.p = 'in_region' JOIN tr b ON b.o = r2.s WHERE a.s = 'customer:1' AND a.p = 'in_nation' AND b.s = 'supplier:1' AND b.p = 'in_nation' AND a.o <> b.o""")
 def _(spark, d):
     return knowledge.path_query(places(spark, d), "customer:1", "supplier:1", 4).select(F.array_join("path", ">").alias("path"), "hops")
@@ -187,12 +187,12 @@ def _(spark, d):
     return knowledge.class_depths(triples(spark, d))
 
 
-@q("semantic_search_score", """SELECT id, name, round(CASE WHEN lower(name) = 'part 1' THEN 1.0 WHEN contains(lower(name), 'part 1') THEN 0.8 WHEN contains(lower(name), 'part') OR contains(lower(name), '1') THEN 0.6 ELSE 0 END
-+ CASE WHEN contains(regexp_extract(lower(id), '([^#/:]*)$', 1), 'part 1') THEN 0.4 ELSE 0 END, 6) AS score FROM (SELECT 'part:' || p_partkey AS id, p_name AS name FROM part)
-WHERE contains(lower(name), 'part') OR contains(lower(name), '1')""")
+@q("semantic_search_score", """SELECT id, name, round(CAST(CASE WHEN lower(name) = 'red widget' THEN 1.0 WHEN contains(lower(name), 'red widget') THEN 0.8 WHEN contains(lower(name), 'red') OR contains(lower(name), 'widget') THEN 0.6 ELSE 0 END
++ CASE WHEN contains(regexp_extract(lower(id), '([^#/:]*)$', 1), 'red widget') THEN 0.4 ELSE 0 END AS DOUBLE), 6) AS score FROM (SELECT 'part:' || p_partkey AS id, p_name AS name FROM part)
+WHERE contains(lower(name), 'red') OR contains(lower(name), 'widget')""")
 def _(spark, d):
     e = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("part").alias("type"), F.col("p_name").alias("name"))
-    return knowledge.search(e, "part 1")
+    return knowledge.search(e, "red widget")
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -229,17 +229,17 @@ def _(spark, d):
     return knowledge.batch_vector_search(v, queries, 5)
 
 
-@q("entity_bigram_similarity", """, e AS (SELECT DISTINCT p_type AS n FROM part), b AS (SELECT n, list_distinct(list_transform(range(1, CAST(length(n) AS BIGINT)), lambda i: lower(n)[i:i+1])) AS g FROM e)
+@q("entity_bigram_similarity", """, e AS (SELECT DISTINCT p_name AS n FROM part), b AS (SELECT n, list_distinct(list_transform(range(1, CAST(length(n) AS BIGINT)), lambda i: lower(n)[i:i+1])) AS g FROM e)
 SELECT x.n AS a, y.n AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))), 6) AS similarity FROM b x JOIN b y ON x.n < y.n WHERE len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) >= 0.5""")
 def _(spark, d):
-    e = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("id"), F.lit("t").alias("type"), F.col("p_type").alias("name")).distinct()
+    e = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("id"), F.lit("t").alias("type"), F.col("p_name").alias("name")).distinct()
     return knowledge.similar_names(e, 0.5)
 
 
-@q("entity_token_jaccard", """, e AS (SELECT DISTINCT p_type AS n FROM part), b AS (SELECT n, list_distinct(string_split(lower(n), ' ')) AS g FROM e)
+@q("entity_token_jaccard", """, e AS (SELECT DISTINCT p_name AS n FROM part), b AS (SELECT n, list_distinct(string_split(lower(n), ' ')) AS g FROM e)
 SELECT x.n AS a, y.n AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))), 6) AS similarity FROM b x JOIN b y ON x.n < y.n WHERE len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) >= 0.3""")
 def _(spark, d):
-    e = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("id"), F.lit("t").alias("type"), F.col("p_type").alias("name")).distinct()
+    e = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("id"), F.lit("t").alias("type"), F.col("p_name").alias("name")).distinct()
     return knowledge.similar_names(e, 0.3, "tokens")
 
 

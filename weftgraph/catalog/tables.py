@@ -96,7 +96,7 @@ def _(spark, d):
     return formats.convert(table(spark, d, "nation"), "hierarchical", parent="n_regionkey", child="n_nationkey")
 
 
-@q("merge_union", "SELECT n_nationkey AS k, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation UNION SELECT r_regionkey, r_name, NULL FROM region")
+@q("merge_union", "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation UNION SELECT r_regionkey, r_name, NULL FROM region")
 def _(spark, d):
     a = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
     return formats.merge([a, table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))])

@@ -174,6 +174,11 @@ def periodicity(series: DataFrame, least: int = 2, most: int = 9, below: float =
 # events
 
 
+def seconds_of(ts: str):
+    """Seconds since 1970 as the clock shows them, whatever the session's time zone."""
+    return F.unix_date(F.to_date(ts)) * 86400.0 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), F.col(ts)).cast("double")
+
+
 def timeline(events: DataFrame, entity: str, value, start=None, end=None, operations: list | None = None, limit: int | None = None) -> DataFrame:
     out = events.where(F.col(entity) == value)
     if start is not None:
@@ -189,7 +194,7 @@ def timeline(events: DataFrame, entity: str, value, start=None, end=None, operat
 def bursts(events: DataFrame, key: str, gap_seconds: int = 300, least: int = 2) -> DataFrame:
     """(key, session, start, end, events): runs of events no more than ``gap_seconds`` apart, of at least ``least`` events."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")
-    seconds = F.unix_micros("ts") / 1e6
+    seconds = seconds_of("ts")
     gap = seconds - F.lag(seconds).over(w)
     s = events.withColumn("_new", F.when(gap.isNull() | (gap > gap_seconds), 1).otherwise(0))
     s = s.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -199,7 +204,7 @@ def bursts(events: DataFrame, key: str, gap_seconds: int = 300, least: int = 2)
 def periodic(events: DataFrame, keys: tuple[str, ...], least: int = 3, below: float = 0.3) -> DataFrame:
     """(keys, gaps, mean_gap, variation): keys whose gaps between events vary by less than ``below`` of their mean (population)."""
     w = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    seconds = F.unix_micros("ts") / 1e6
+    seconds = seconds_of("ts")
     g = events.withColumn("gap", seconds - F.lag(seconds).over(w)).groupBy(*keys).agg(F.count("*").alias("events"), F.count("gap").alias("gaps"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("sd"))
     return g.where((F.col("events") >= least) & (F.col("mean_gap") > 0)).withColumn("variation", F.col("sd") / F.col("mean_gap")).where(F.col("variation") < below).drop("sd", "events")
 
