@@ -12,13 +12,17 @@ from .paths import connected_components, neighbor_edges
 
 
 def label_propagation(inc: DataFrame, rounds: int = 10, weighted: bool = True) -> DataFrame:
-    """(node_id, community): every round each node takes the heaviest label among its neighbours and itself; ties to the least label."""
+    """(node_id, community): every round each node takes the heaviest label among its neighbours and itself; ties to the least label.
+
+    A node's own label weighs as much as its strongest link, so that two nodes do not swap labels for ever.
+    """
     p = co_nodes(inc).groupBy("a", "b").agg(F.sum(F.sqrt(F.col("wa") * F.col("wb"))).alias("w") if weighted else F.count("*").cast("double").alias("w"))
     links = cut(p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    strongest = cut(links.groupBy("a").agg(F.max("w").alias("own")))
     state = cut(inc.select("node_id").distinct().withColumn("community", F.col("node_id")))
     for _ in range(rounds):
         votes = state.join(links, state["node_id"] == links["a"]).select(F.col("b").alias("node_id"), "community", "w")
-        own = state.select("node_id", "community", F.lit(1e-9).alias("w"))
+        own = state.join(strongest, state["node_id"] == strongest["a"], "left").select("node_id", "community", F.coalesce("own", F.lit(1.0)).alias("w"))
         tally = votes.unionByName(own).groupBy("node_id", "community").agg(F.round(F.sum("w"), 9).alias("w"))
         best = Window.partitionBy("node_id").orderBy(F.desc("w"), "community")
         new = cut(tally.withColumn("r", F.row_number().over(best)).where("r = 1").select("node_id", "community"))

@@ -55,7 +55,7 @@ def embed(triples: DataFrame, dim: int = 16, epochs: int = 50, rate: float = 0.0
         return pd.DataFrame({"kind": ["entity"] * len(ids) + ["relation"] * len(rel), "id": ids + rel, "vector": [v.tolist() for v in np.concatenate((e, r))]})
 
     some = triples.select("s", "p", "o").distinct().orderBy(F.xxhash64(F.lit(seed), "s", "p", "o")).limit(sample)
-    return some.groupBy(F.lit(1)).applyInPandas(run, "kind string, id string, vector array<double>")
+    return some.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "kind string, id string, vector array<double>")
 
 
 def score_links(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
