@@ -223,6 +223,33 @@ def test_paragraph_dedup_awkward(awkward, empty):
     assert 1 - (1 - 0.75**r) ** bands >= 0.9995 > 1 - (1 - 0.75**r) ** (bands - 1)
 
 
+def test_passages_inside_lines(spark, awkward, empty):
+    """Passages of over 50 words inside different lines are found, and nothing else is."""
+    rng = random.Random(8)
+    word = lambda: f"{rng.choice('bcdfgh')}{rng.randrange(10**5)}"
+    shared = [" ".join(word() for _ in range(rng.randint(52, 70))) for _ in range(40)]
+    data, planted = [], {}
+    for i in range(400):
+        w = [word() for _ in range(rng.randint(5, 200))]
+        if rng.random() < 0.4:
+            k = rng.randrange(40)
+            w.insert(rng.randrange(len(w) + 1), shared[k])
+            planted.setdefault(k, []).append(i)
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    out = paragraphs.passages(df).collect()
+    want = {i for docs in planted.values() if len(docs) > 1 for i in docs}
+    got = {r["doc_id"] for r in out}
+    assert got <= want and len(got) >= 0.97 * len(want)
+    for r in out:
+        text = data[r["doc_id"]][1].split()
+        run = " ".join(text[r["at"] : r["at"] + r["n_words"]])
+        assert run in data[r["first_doc"]][1] and r["removed"] == (r["doc_id"] != r["first_doc"])
+    assert sorted(map(tuple, out)) == sorted(map(tuple, paragraphs.passages(df.repartition(1)).collect()))
+    assert paragraphs.passages(empty).count() == 0
+    assert {r["doc_id"] for r in paragraphs.passages(awkward).collect()} <= {r[0] for r in AWKWARD}
+
+
 # toxicity
 
 

@@ -6,10 +6,16 @@ Paragraphs that collide in a band are joined (see ``links``), verified by exact
 Jaccard similarity (3/4 or more) and clustered by connected components; the first
 paragraph of each cluster stays and the others are removals.
 
+A passage inside a longer line makes no two lines alike, so texts are also cut
+into short segments at words whose hash is the least among their neighbours.
+A passage cuts itself alike wherever it stands; runs of segments that another
+document holds too, of at least ``run_words`` words, are passages, and all but
+the first document's are removals.
+
 Equal paragraphs are one class from the start. Results by case: null and empty
 texts and shorter lines have no paragraphs; repeated rows hold the same
 paragraphs twice, of which one stays; an empty table gives an empty result;
-other input columns are ignored.
+other input columns are ignored; rows without an id have no passages.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 from .jaccard_join import HASH_PART, exact_test, frequent_members, node_ids, rare_members
 from .links import bit_of, bit_sketch, grouped, id_filter, in_filter, resolve
 from .runtime import cut, freed, small_batches
-from .textnp import Repeats, blocks, mix64, set_ids, shingle_sets, text_bytes, words
+from .textnp import Repeats, _tables, blocks, mix64, owners, set_ids, shingle_sets, text_bytes, words
 
 SHINGLE = 5
 
@@ -145,8 +151,110 @@ def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes:
     return docs.select("text", bit_of("doc_id").alias("bit")).mapInArrow(run, "cls long, payload binary")
 
 
+def segments(texts: list[bytes], reach: int):
+    """(text, first word, words, identity) of the content-defined segments of a block of texts."""
+    h, first = words(texts)
+    of = owners(first)
+    p = mix64(h ^ np.uint64(0x51ED270B7A3F9C15))
+    cut_after = np.ones(len(p), bool)
+    for j in range(1, reach + 1):
+        same = of[j:] == of[:-j]
+        cut_after[j:] &= ~same | (p[j:] < p[:-j])
+        cut_after[:-j] &= ~same | (p[:-j] <= p[j:])
+    if len(p):
+        cut_after[first[1:][first[1:] > first[:-1]] - 1] = True
+    end = np.flatnonzero(cut_after) + 1
+    start = np.concatenate(([0], end[:-1])).astype(np.int64)
+    _, (power, inverse) = _tables(len(p) + 1)
+    prefix = np.zeros(len(p) + 1, np.uint64)
+    np.cumsum(h * power[: len(p)], out=prefix[1:])
+    ids = mix64((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)).view(np.int64)
+    text = of[start] if len(p) else start[:0]
+    return text, start[: len(end)] - first[text], end - start[: len(end)], ids
+
+
+def _segment_rows(docs: DataFrame, reach: int, least: int) -> DataFrame:
+    """(cls, doc_id, seg, at, n): every segment of ``least`` words or more; seg counts a text's segments."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, doc = text_bytes(batch.column("text")), batch.column("doc_id").to_numpy()
+            for a, b in blocks(texts):
+                text, at, n, ids = segments(texts[a:b], reach)
+                number = np.arange(len(text)) - np.searchsorted(text, text)
+                keep = n >= least
+                columns = (ids[keep], doc[a + text[keep]], number[keep].astype(np.int32), at[keep].astype(np.int32), n[keep].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["cls", "doc_id", "seg", "at", "n"])
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "cls long, doc_id long, seg int, at int, n int")
+
+
+def _shared_segments(rows: DataFrame) -> DataFrame:
+    """(doc_id, seg, at, n, first_doc) of the segments that two documents or more hold. Holds one document's rows of a segment over."""
+    names = ["cls", "doc_id", "seg", "at", "n"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, first_doc, shared = None, None, False  # the rows that wait, and the last segment's first document
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in names]
+            last_cls = None if held is None else held[5]
+            if held is not None and len(held[0]):
+                columns = [np.concatenate((x, y)) for x, y in zip(held[:5], columns, strict=True)]
+            cls, doc = columns[0], columns[1]
+            if not len(cls):
+                continue
+            start = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1])))
+            size = np.diff(np.concatenate((start, [len(cls)])))
+            first = doc[start].copy()
+            many = doc[start + size - 1] != first
+            if shared and cls[0] == last_cls:  # goes on from an earlier batch
+                first[0], many[0] = first_doc, True
+            done = np.repeat(many, size)
+            at = np.flatnonzero(done)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(pa.array(columns[i][at]) for i in (1, 2, 3, 4)), pa.array(np.repeat(first, size)[at])], names=["doc_id", "seg", "at", "n", "first_doc"])
+            shared, first_doc = bool(many[-1]), first[-1]
+            tail = slice(start[-1], len(cls)) if not shared else slice(len(cls), len(cls))
+            held = [*(v[tail] for v in columns), cls[-1]]
+
+    return rows.repartition("cls").sortWithinPartitions("cls", "doc_id", "seg").mapInArrow(run, "doc_id long, seg int, at int, n int, first_doc long")
+
+
+def passages(docs: DataFrame, run_words: int = 20, reach: int = 5) -> DataFrame:
+    """(doc_id, at, n_words, first_doc, removed): runs of segments that other documents hold; ``at`` counts words from 0."""
+    found = _shared_segments(_segment_rows(docs, reach, reach))
+    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("seg", "at", "n", "first_doc")).alias("x"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                part: list = []
+                for r in [*sorted((v["seg"], v["at"], v["n"], v["first_doc"]) for v in x), None]:
+                    if part and (r is None or r[0] != part[-1][0] + 1):
+                        total = part[-1][1] + part[-1][2] - part[0][1]
+                        if total >= run_words:
+                            origin = min(v[3] for v in part)
+                            out.append((doc, part[0][1], total, origin, origin != doc))
+                        part = []
+                    if r is not None and (not part or r[0] != part[-1][0]):
+                        part.append(r)
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "at", "n_words", "first_doc", "removed"])
+
+    return by_doc.mapInArrow(run, "doc_id long, at int, n_words int, first_doc long, removed boolean")
+
+
 def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995, often: int = 16) -> DataFrame:
-    """(doc_id, para, n_words, first_doc, first_para, cluster_size, removed): every paragraph of a cluster of two or more.
+    """(doc_id, para, n_words, first_doc, first_para, cluster_size, removed): every paragraph (line) of a cluster of two or more.
 
     ``para`` counts the lines of the text from 0. A cluster is named by its
     first paragraph, by doc_id and then line; all but that one are removed.

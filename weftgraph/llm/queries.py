@@ -55,7 +55,10 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.dedup(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    lines = paragraphs.dedup(docs).select("doc_id", F.lit("line").alias("kind"), F.col("para").alias("at"), "n_words", "first_doc", "removed")
+    inner = paragraphs.passages(docs).select("doc_id", F.lit("passage").alias("kind"), "at", "n_words", "first_doc", "removed")
+    return lines.unionByName(inner)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +72,10 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.dedup(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    lines = paragraphs.dedup(docs).select("doc_id", F.lit("line").alias("kind"), F.col("para").alias("at"), "n_words", "first_doc", "removed")
+    inner = paragraphs.passages(docs).select("doc_id", F.lit("passage").alias("kind"), "at", "n_words", "first_doc", "removed")
+    return lines.unionByName(inner)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
