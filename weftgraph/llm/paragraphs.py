@@ -225,7 +225,7 @@ def _shared_segments(rows: DataFrame) -> DataFrame:
     return rows.repartition("cls").sortWithinPartitions("cls", "doc_id", "seg").mapInArrow(run, "doc_id long, seg int, at int, n int, first_doc long")
 
 
-def passages(docs: DataFrame, run_words: int = 20, reach: int = 5) -> DataFrame:
+def passages(docs: DataFrame, run_words: int = 28, reach: int = 5) -> DataFrame:
     """(doc_id, at, n_words, first_doc, removed): runs of segments that other documents hold; ``at`` counts words from 0."""
     found = _shared_segments(_segment_rows(docs, reach, reach))
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("seg", "at", "n", "first_doc")).alias("x"))
