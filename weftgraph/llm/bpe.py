@@ -20,7 +20,7 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .runtime import small_batches, worker_cache
+from .runtime import claim, small_batches, worker_cache
 from .textnp import blocks
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -167,7 +167,7 @@ def vocabulary(path: str) -> Vocabulary:
     return cache[key]
 
 
-def encode_texts(texts: list[str], path: str, remember: int = 400_000) -> list[bytes]:
+def encode_texts(texts: list[str], path: str, remember: int = 250_000) -> list[bytes]:
     """The ids of each text. Up to ``remember`` distinct words stay encoded for the next block."""
     v = vocabulary(path)
     known: dict[str, bytes] = worker_cache().setdefault(("bpe words", path), {})
@@ -194,7 +194,7 @@ def encode_texts(texts: list[str], path: str, remember: int = 400_000) -> list[b
     return out
 
 
-def encode_decode(docs: DataFrame, path: str = DEFAULT_VOCABULARY, decode: bool = True, block: int = 4_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str = DEFAULT_VOCABULARY, decode: bool = True, block: int = 1_500_000) -> DataFrame:
     """(doc_id, ids, decoded): each text's ids, little-endian unsigned 32-bit, and what they decode to.
 
     A narrow pass without a shuffle. A worker holds one block of texts, its
@@ -204,6 +204,7 @@ def encode_decode(docs: DataFrame, path: str = DEFAULT_VOCABULARY, decode: bool
     def run(batches):
         import pyarrow as pa
 
+        claim("bpe")
         where = vocabulary_path(path)
         v = vocabulary(where)
         for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import bit_of, bit_sketch, grouped, id_filter, in_filter, resolve
-from .runtime import cut, freed, small_batches
+from .runtime import claim, cut, freed, small_batches
 from .textnp import Repeats, blocks, mix64, set_ids, shingle_sets, text_bytes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4  # similarity of 3/4 or more
@@ -47,6 +47,7 @@ def band(n: np.ndarray) -> np.ndarray:
 
 
 def _batches(batches, k):
+    claim("shingles")
     for batch in batches:
         texts = text_bytes(batch.column("text"))
         for a, b in blocks(texts):

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches, worker_cache
+from .runtime import claim, small_batches, worker_cache
 from .textnp import blocks
 
 LANE = 256
@@ -194,6 +194,7 @@ def identify(docs: DataFrame, sample: dict[str, str], keep: tuple[str, ...] = ()
     def run(batches):
         import pyarrow as pa
 
+        claim("langid")
         model = _model(sample)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import HASH_PART, exact_test, frequent_members, node_ids, rare_members
 from .links import bit_of, bit_sketch, grouped, id_filter, in_filter, resolve
-from .runtime import cut, freed, small_batches
+from .runtime import claim, cut, freed, small_batches
 from .textnp import Repeats, _tables, blocks, mix64, owners, set_ids, shingle_sets, text_bytes, words
 
 SHINGLE = 5
@@ -42,6 +42,7 @@ def tune(threshold: float = 0.75, recall: float = 0.9995, rows: int = 3) -> tupl
 
 def _paragraphs(batches, min_words: int):
     """(slice of the batch, paragraphs, their rows, their numbers in the document, their word counts) by blocks."""
+    claim("shingles")
     for batch in batches:
         texts = text_bytes(batch.column("text"))
         for a, b in blocks(texts):

@@ -51,6 +51,33 @@ def worker_cache() -> dict:
     return module.__dict__
 
 
+def claim(owner: str) -> None:
+    """Drop what other operators keep in this worker; Spark gives one worker to many operators."""
+    cache = worker_cache()
+    if cache.get("owner") != owner:
+        for key in [k for k in cache if not (isinstance(k, str) and k.startswith("__"))]:
+            del cache[key]
+        cache["owner"] = owner
+        gc.collect()
+        give_back_memory()
+
+
+def give_back_memory() -> None:
+    """Return freed memory to the system, now and for large arrays from now on; without this, pools keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: fixed, so that it does not grow with what is freed
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def crc_mod(doc_id: str, modulus: int):
     """crc32 of an id's decimal text, modulo ``modulus``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import bit_of, id_filter, in_filter
-from .runtime import cut, small_batches
+from .runtime import claim, cut, small_batches
 from .textnp import _tables, mix64, text_bytes
 
 _GRAM = 32
@@ -92,6 +92,7 @@ def _pieces(texts: list[bytes], length: int, limit: int = 2_000_000):
 
 def _scan(texts: list[bytes], length: int):
     """Per block: (data, text index and start within the text for each run, runs, prefix sums)."""
+    claim("suffixes")
     for block in _pieces(texts, length):
         sizes = np.array([len(p) for *_, p in block])
         stop = np.cumsum(sizes)

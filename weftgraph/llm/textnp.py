@@ -26,26 +26,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def give_back_memory() -> None:
-    """Have the worker return large freed arrays to the system at once; without this, pools keep them."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.set_memory_pool(pa.system_memory_pool())
-    try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: fixed, so that it does not grow with what is freed
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def _tables(n: int):
     """Byte tables and powers of the base and of its inverse, at least ``n`` long."""
     cache = worker_cache()
     if "text_bytes" not in cache:
-        give_back_memory()
         value = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         lower = np.arange(256)
         lower[65:91] += 32

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches, worker_cache
+from .runtime import claim, small_batches, worker_cache
 from .textnp import blocks, distinct, mix64, owners, text_bytes, words
 
 BITS = 20
@@ -115,6 +115,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        claim("toxicity")
         cache = worker_cache()
         if cache.get("toxicity", (None,))[0] != name:
             dense = np.zeros(1 << bits)
