@@ -140,6 +140,21 @@ def test_byte_dedup_random(spark, length):
     assert rows(suffixes.dedup(df, length)) == dedup_by_hand([(d, t.encode()) for d, t in data], length)
 
 
+def test_byte_dedup_of_texts_in_pieces(spark):
+    """A text that repeats itself across pieces, and once over their border, and one that repeats another's later piece."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = noise(130), noise(120)
+    data = [(1, noise(300) + passage + noise(2000) + passage + noise(900)), (2, noise(940) + other + noise(1800) + other), (3, noise(2500) + passage), (4, noise(5000))]
+    want = dedup_by_hand([(d, t.encode()) for d, t in data], 100)
+    assert [w[2] > 0 for w in want] == [True, True, True, False]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(suffixes.dedup(df, piece=1000)) == rows(suffixes.dedup(df)) == want
+    alone = data[:1]
+    want = dedup_by_hand([(d, t.encode()) for d, t in alone], 100)
+    assert rows(suffixes.dedup(spark.createDataFrame(alone, "doc_id long, text string"), piece=1000)) == want
+
+
 # exact top-k
 
 

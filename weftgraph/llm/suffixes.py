@@ -73,7 +73,7 @@ def anchors(data: np.ndarray, end: np.ndarray, length: int):
     return grams[at[first]], at[first], starts[first], starts[last], prefix
 
 
-def _pieces(texts: list[bytes], length: int, limit: int = 2_000_000):
+def _pieces(texts: list[bytes], length: int, limit: int):
     """Blocks of (text index, offset, bytes): whole texts, or overlapping pieces of a very long one."""
     block, size = [], 0
     for i, t in enumerate(texts):
@@ -90,10 +90,10 @@ def _pieces(texts: list[bytes], length: int, limit: int = 2_000_000):
         yield block
 
 
-def _scan(texts: list[bytes], length: int):
+def _scan(texts: list[bytes], length: int, limit: int):
     """Per block: (data, text index and start within the text for each run, runs, prefix sums)."""
     claim("suffixes")
-    for block in _pieces(texts, length):
+    for block in _pieces(texts, length, limit):
         sizes = np.array([len(p) for *_, p in block])
         stop = np.cumsum(sizes)
         data = np.frombuffer(b"".join(p for *_, p in block), np.uint8)
@@ -103,8 +103,11 @@ def _scan(texts: list[bytes], length: int):
         yield data, np.array([i for i, *_ in block])[piece], shift, h, at, s0, s1, prefix
 
 
-def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """(h, cls, twice): each anchor of each text once; twice if it anchors more than one run there."""
+def _anchor_rows(rows: DataFrame, length: int, limit: int) -> DataFrame:
+    """(h, cls, twice): each anchor of each text once; twice if it anchors more than one run there.
+
+    A text of several pieces has a row for each piece, whose cls is mixed with the anchor's place in the text.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -114,19 +117,23 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
             fresh = [i for i, c in enumerate(batch.column("cls").to_pylist()) if not (c in seen or seen.add(c))]  # a copy has its text's anchors
             batch = batch.take(pa.array(fresh, pa.int64()))
             cls = batch.column("cls").to_numpy()
-            for _, text, _, h, *_ in _scan(text_bytes(batch.column("text")), length):
+            texts = text_bytes(batch.column("text"))
+            split = np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1 > limit
+            for _, text, shift, h, at, *_ in _scan(texts, length, limit):
                 order = np.lexsort((h, text))
-                h, text = h[order], text[order]
+                h, text, place = h[order], text[order], (at + shift)[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
                 first = np.flatnonzero(new)
                 twice = np.diff([*first, len(h)]) > 1
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(cls[text[first]]), pa.array(twice)], names=["h", "cls", "twice"])
+                h, text, place = h[first], text[first], place[first]
+                who = np.where(split[text], mix64(cls[text].view(np.uint64) ^ mix64(place.astype(np.uint64))).view(np.int64), cls[text])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(who), pa.array(twice)], names=["h", "cls", "twice"])
 
     return rows.select("cls", "text").mapInArrow(run, "h long, cls long, twice boolean")
 
 
-def _context_rows(rows: DataFrame, length: int, repeated: np.ndarray) -> DataFrame:
+def _context_rows(rows: DataFrame, length: int, repeated: np.ndarray, limit: int) -> DataFrame:
     """(h, x, doc_id, cls, s0, n, off, ctx): every run at an anchor that may repeat; ctx only where the task first meets x.
 
     x identifies the bytes and the anchor's place in them; s0 is the first window's start, n the last one's distance from it.
@@ -140,7 +147,7 @@ def _context_rows(rows: DataFrame, length: int, repeated: np.ndarray) -> DataFra
         mask = np.uint64((1 << _ANCHOR_BITS) - 1)
         for batch in batches:
             cls, ids = batch.column("cls").to_numpy(), batch.column("doc_id").to_numpy()
-            for data, text, shift, h, at, s0, s1, prefix in _scan(text_bytes(batch.column("text")), length):
+            for data, text, shift, h, at, s0, s1, prefix in _scan(text_bytes(batch.column("text")), length, limit):
                 keep = np.flatnonzero(in_filter(repeated, h & mask))
                 if not len(keep):
                     continue
@@ -343,8 +350,8 @@ def _gather(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row per document."""
+def dedup(docs: DataFrame, length: int = 100, piece: int = 2_000_000) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row per document. Longer texts are read in pieces of ``piece`` bytes."""
     text = F.coalesce("text", F.lit(""))
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("cls"), text.alias("text"))
     facts = cut(rows.select("doc_id", "cls", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
@@ -352,9 +359,9 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     classes = cut(facts.groupBy("cls").agg(F.min(key).alias("fd")))
     long = rows.where(F.octet_length("text") >= length)
 
-    seen = _anchor_rows(long, length).groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.bool_or("twice").alias("twice")).where("a != b OR twice")
+    seen = _anchor_rows(long, length, piece).groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.bool_or("twice").alias("twice")).where("a != b OR twice")
     repeated = _gather(seen.select(F.col("h").bitwiseAND(F.lit((1 << _ANCHOR_BITS) - 1)).alias("bit")), _ANCHOR_BITS)
-    runs = _context_rows(long.select(key.alias("doc_id"), "cls", "text"), length, repeated)
+    runs = _context_rows(long.select(key.alias("doc_id"), "cls", "text"), length, repeated, piece)
     parts = _repeats(runs.repartition("h").sortWithinPartitions("h", "x", "doc_id", "s0"), length)
     spans = parts.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     # copies go whole, whatever their windows say
