@@ -215,6 +215,23 @@ def test_jaccard_join_near_the_threshold(spark):
     assert rows(jaccard_join.join(df, frequent=1)) == jaccard_by_hand(data)
 
 
+@pytest.mark.parametrize("rare", ["all", "none", "some"])
+def test_jaccard_join_signatures_of_small_sets(rare):
+    """Every linked pair of small sets shares a signature, whatever blocks its members fall into."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for a, b, common in ((3, 4, 3), (6, 7, 6), (7, 7, 6), (10, 11, 9), (9, 12, 9), (18, 20, 17), (24, 32, 24)):
+        assert 4 * common >= 3 * (a + b - common)
+        for _ in range(1000):
+            members = rng.integers(0, 1 << 64, a + b - common, np.uint64)
+            sets = [np.sort(members[:a]), np.sort(members[a - common :])]
+            values = np.concatenate(sets)
+            marked = {"all": values >= 0, "none": values < 0, "some": values % np.uint64(3) == 0}[rare]
+            sigs, of = jaccard_join.signatures(values, np.array([0, a, a + b]), marked)
+            assert set(sigs[of == 0].tolist()) & set(sigs[of == 1].tolist())
+
+
 # BPE
 
 

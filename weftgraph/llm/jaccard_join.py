@@ -11,7 +11,10 @@ partner can be in the band below, in that one too.
 Members that very many documents hold (``frequent``) are left out of the blocks:
 leaving members out only shortens the distance. A document that then fills too
 few blocks for the argument signs a second time with all members, and two such
-documents meet there; so no link is lost.
+documents meet there. One that fills too few then, as its members fall into the
+same blocks, signs again with twice as many blocks, up to ``_RAISES`` times, and
+at last with each member; two linked documents that come to that share a member.
+So the argument holds for each set, and no link is lost.
 
 Candidates that share a block are compared by bit sketches, whose Hamming
 distance is a lower bound of the difference, then exactly (see ``links``).
@@ -34,14 +37,16 @@ from .textnp import Repeats, blocks, mix64, set_ids, shingle_sets, text_bytes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4  # similarity of 3/4 or more
 _LOW_LEVEL = 2
+_RAISES = 4
 _SKETCH_SHIFT = 3  # a bit sketch has 8 bits for each block
 
 
 def band(n: np.ndarray) -> np.ndarray:
     """The size band: 2**band blocks, at least 0.4 times as many as members.
 
-    So many blocks are enough: n members fill 2**band * (1 - exp(-n / 2**band)) of
-    them, over a third of n, and a third of n is the most that can differ.
+    So many blocks are enough on average: n members fill 2**band * (1 - exp(-n / 2**band))
+    of them, over a third of n, and a third of n is the most that can differ. Sets that
+    fill fewer sign again (see ``signatures``).
     """
     return np.maximum(_LOW_LEVEL, np.ceil(np.log2(np.maximum(n, 1) * 0.4)).astype(np.int64))
 
@@ -107,10 +112,21 @@ def signatures(values: np.ndarray, first: np.ndarray, rare: np.ndarray) -> tuple
         pick = chosen[of]
         s, t = block_parities(values[pick & rare], of[pick & rare], level, 0)
         filled = np.bincount(t, minlength=len(n))
-        again = (chosen & (filled <= most))[of]
-        s2, t2 = block_parities(values[again], of[again], level, 1)
-        sigs += [s, s2]
-        texts += [t, t2]
+        sigs.append(s)
+        texts.append(t)
+        left = chosen & (filled <= most)
+        for up in range(_RAISES + 1):
+            if not left.any():
+                break
+            pick = left[of]
+            s, t = block_parities(values[pick], of[pick], level + up, 2 if up else 1)
+            sigs.append(s)
+            texts.append(t)
+            left &= np.bincount(t, minlength=len(n)) <= most
+        pick = left[of]
+        tag = level[of[pick]].astype(np.uint64) * np.uint64(4) + np.uint64(3)
+        sigs.append(mix64(values[pick] ^ mix64(tag)).view(np.int64))
+        texts.append(of[pick])
     return np.concatenate(sigs), np.concatenate(texts)
 
 
