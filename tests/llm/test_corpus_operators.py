@@ -90,6 +90,15 @@ def test_secret_scans(which, request):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_secrets_behind_allowed_parts(spark):
+    key = "4eC39HqLyjWDarjtT1zdp7dc"
+    hidden = [f"sk_live_{key}", f"/users/token/{key}", f"2024-01-02-{key}", f"example-{key}", f"aaaaaaaa{key}", f"0123456789{key}", f"{key}/abcdefghij"]
+    plain = ["/usr/local/share/python3/site-packages", "2024-01-02-some-post-title", "your-api-key-example-1234", "abcdefghijklmnopqrstuvwxyz0123456789", "123e4567-e89b-12d3-a456-426614174000"]
+    df = spark.createDataFrame(list(enumerate(hidden + plain)), "doc_id long, text string")
+    found = {r["doc_id"]: [x["k"] for x in r["spans"]] for r in secrets.scan(df).collect()}
+    assert [found[i] for i in range(len(hidden + plain))] == [[3]] * len(hidden) + [[]] * len(plain)
+
+
 def test_secret_redaction(spark, awkward):
     from pyspark.sql import functions as F
 

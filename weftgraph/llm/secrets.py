@@ -30,14 +30,15 @@ HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
 #: Character classes with their entropy thresholds, narrowest first.
 CLASSES = ((r"^[0-9a-fA-F]+$", 3.0), (r"^[a-z0-9]+$|^[A-Z0-9]+$", 3.6), (r"^", 3.75))
-#: Identifiers and placeholders that are no secrets.
+_PART = r"(?:(?:[A-Z]?[a-z]{1,16}|[A-Z]{1,16})[0-9]{0,4}|[0-9]{1,4})"
+#: Identifiers and placeholders that are no secrets. Each describes a whole candidate, so that nothing hides behind a part of one.
 ALLOW = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)example|placeholder|changeme|dummy|redacted",
-    r"(?i)0123456789|abcdefghij",
-    r"(.)\1{7,}",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^/?([a-z]+[/_-]){2,}",
+    rf"^(?=.*(?i:example|placeholder|changeme|dummy|redacted))[/+=_-]*{_PART}(?:[/+=_-]+{_PART})*[/+=_-]*$",
+    r"(?i)^(?:abcdefghij(?:klmnop(?:qrstuvwxyz)?)?|0123456789(?:abcdef)?|[/+=_-])+$",
+    r"^(?:(.)\1{7,})+$",
+    rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:[T_-]?[0-9]{{2}}-?[0-9]{{2}}(?:-?[0-9]{{2}})?Z?)?(?:[/_-]+{_PART})*[/_-]?$",
+    rf"^/?(?:[a-z]{{1,16}}[/_-]){{2,}}{_PART}(?:[/_-]+{_PART})*[/_-]?$",
 )
 _SLOT0, _SLOTS = 42, 80  # '+' is 43 and 'z' is 122
 
