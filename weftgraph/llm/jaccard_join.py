@@ -31,9 +31,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .links import bit_of, bit_sketch, grouped, id_filter, in_filter, resolve
+from .links import IdFilter, bit_sketch, exact_nodes, grouped, resolve
 from .runtime import claim, cut, freed, small_batches
-from .textnp import Repeats, blocks, mix64, set_ids, shingle_sets, text_bytes
+from .textnp import Repeats, blocks, mix64, node_of, set_ids, shingle_sets, text_bytes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4  # similarity of 3/4 or more
 _LOW_LEVEL = 2
@@ -60,9 +60,15 @@ def _batches(batches, k):
             yield batch.slice(a, b - a), values, first
 
 
-def _classes(docs: DataFrame, k: int, local: int) -> DataFrame:
-    """Rows (doc_id, n, cls) of documents, and rows (null, count, member) of members that a batch's documents repeat."""
-    kind = docs.schema["doc_id"].dataType
+def first_seen(a: np.ndarray, b: np.ndarray, seen: set) -> np.ndarray:
+    """Which identities (a, b) are not in ``seen``, where they then are."""
+    return np.array([not (i in seen or seen.add(i)) for i in zip(a.tolist(), b.tolist(), strict=True)], bool)
+
+
+def _classes(docs: DataFrame, k: int, local: int, keep: tuple[str, ...]) -> DataFrame:
+    """Rows (doc_id, *keep, n, c1, c2) of documents, and rows (nulls, count, member, 0) of members that a batch's documents repeat."""
+    kept = docs.select("doc_id", *keep).schema
+    names = [*kept.names, "n", "c1", "c2", "member"]
 
     def run(batches):
         import pyarrow as pa
@@ -73,19 +79,21 @@ def _classes(docs: DataFrame, k: int, local: int) -> DataFrame:
         def repeats():
             members, n = counter.take()
             m = len(n)
-            return pa.RecordBatch.from_arrays([pa.nulls(m, to_arrow_type(kind)), pa.array(n), pa.array(members), pa.array(np.ones(m, bool))], names=["doc_id", "n", "cls", "member"])
+            nulls = [pa.nulls(m, to_arrow_type(f.dataType)) for f in kept]
+            return pa.RecordBatch.from_arrays([*nulls, pa.array(n), pa.array(members), pa.array(np.zeros(m, np.int64)), pa.array(np.ones(m, bool))], names=names)
 
-        seen: set[int] = set()
+        seen: set = set()
         for part, values, first in _batches(batches, k):
-            n, ids = np.diff(first), set_ids(values, first)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(ids), pa.array(np.zeros(len(n), bool))], names=["doc_id", "n", "cls", "member"])
-            fresh = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()], bool)
-            if counter.add(values[np.repeat(fresh, n)]):
+            n, (a, b) = np.diff(first), set_ids(values, first)
+            own = [part.column(c) for c in kept.names]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(a), pa.array(b), pa.array(np.zeros(len(n), bool))], names=names)
+            if counter.add(values[np.repeat(first_seen(a, b, seen), n)]):
                 yield repeats()
                 seen = set()
         yield repeats()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n long, cls long, member boolean")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return docs.select(*kept.names, "text").mapInArrow(run, f"{kinds}, n long, c1 long, c2 long, member boolean")
 
 
 def block_parities(values: np.ndarray, of: np.ndarray, level: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,51 +138,42 @@ def signatures(values: np.ndarray, first: np.ndarray, rare: np.ndarray) -> tuple
     return np.concatenate(sigs), np.concatenate(texts)
 
 
-HASH_PART = (1 << 56) - 1
-
-
-def frequent_members(rows: DataFrame, least: int) -> np.ndarray:
-    """A bit set over the members (cls, n) whose counts reach ``least``."""
-    hot = rows.groupBy("cls").agg(F.sum("n").alias("c")).where(F.col("c") >= least)
-    return id_filter(hot.select(F.col("cls").bitwiseAND(F.lit((1 << 23) - 1)).alias("bit")))
-
-
-def rare_members(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    return ~in_filter(frequent, values & np.uint64((1 << 23) - 1))
+def frequent_members(rows: DataFrame, least: int) -> IdFilter:
+    """The members (cls, n) whose counts reach ``least``."""
+    return IdFilter(cut(rows.groupBy("cls").agg(F.sum("n").alias("c")).where(F.col("c") >= least).select("cls")), "cls", raw=True)
 
 
-def node_ids(ids: np.ndarray, first: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """A class's id, led by the logarithm of its number of rare members.
+def own_members(first: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """The rank of each set: the logarithm of its number of rare members.
 
-    The least id of a group, its hub, is then the one with fewest members of its
+    The first of a group, its hub, is then the one with fewest members of its
     own: the middle of a cluster of edited copies.
     """
     total = np.concatenate(([0], np.cumsum(rare)))
-    own = total[first[1:]] - total[first[:-1]]
-    rank = np.minimum(126, (4 * np.log2(1 + own)).astype(np.int64)).astype(np.uint64)
-    return ((rank << np.uint64(56)) | (ids.view(np.uint64) >> np.uint64(8))).view(np.int64)
+    return np.minimum(126, (4 * np.log2(1 + total[first[1:]] - total[first[:-1]])).astype(np.int64)).astype(np.int8)
 
 
-def _signature_rows(docs: DataFrame, k: int, frequent: np.ndarray) -> DataFrame:
-    """(sig, cls) of every class, once in each task; cls as in ``node_ids``."""
+def _signature_rows(docs: DataFrame, k: int, frequent: IdFilter, turn: int) -> DataFrame:
+    """(sig, rank, cls) of every class, once in each task."""
 
     def run(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()  # of this task: a copy's rows are its class's rows
+        seen: set = set()  # of this task: a copy's rows are its class's rows
         for _, values, first in _batches(batches, k):
-            ids = set_ids(values, first)
-            fresh = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()], bool)
+            a, b = set_ids(values, first)
+            fresh = first_seen(a, b, seen)
             n = np.where(fresh, np.diff(first), 0)
             values = values[np.repeat(fresh, np.diff(first))]
             first = np.concatenate(([0], np.cumsum(n)))
-            rare = rare_members(values, frequent)
+            rare = ~frequent.holds(values)
             sigs, of = signatures(values, first, rare)
-            ids = node_ids(ids, first, rare)
+            cls, rank = node_of(a, b, turn), own_members(first, rare)
             for i in range(0, len(sigs), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[i : i + 200_000]), pa.array(ids[of[i : i + 200_000]])], names=["sig", "cls"])
+                part = of[i : i + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[i : i + 200_000]), pa.array(rank[part]), pa.array(cls[part])], names=["sig", "rank", "cls"])
 
-    return docs.select("text").mapInArrow(run, "sig long, cls long")
+    return docs.select("text").mapInArrow(run, "sig long, rank byte, cls long")
 
 
 def exact_test(left: list[bytes], right: list[bytes]) -> list[bool]:
@@ -189,55 +188,57 @@ def exact_test(left: list[bytes], right: list[bytes]) -> list[bool]:
     return ok
 
 
-def _payloads(docs: DataFrame, k: int, wanted: np.ndarray, frequent: np.ndarray, sketches: bool) -> DataFrame:
+def _payloads(docs: DataFrame, k: int, wanted: IdFilter, turn: int, sketches: bool) -> DataFrame:
     """(cls, payload): the sketch or the sorted set of the documents whose ids are in the filter."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            batch = batch.take(pa.array(np.flatnonzero(in_filter(wanted, batch.column("bit").to_numpy()))))
-            for _, values, first in _batches([batch], k):
-                ids, n = node_ids(set_ids(values, first), first, rare_members(values, frequent)), np.diff(first)
-                if sketches:
-                    level = band(n).tolist()
-                    payload = [bit_sketch(values[a:b], h + _SKETCH_SHIFT) for a, b, h in zip(first[:-1], first[1:], level, strict=True)]
-                else:
-                    payload = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(payload, pa.binary())], names=["cls", "payload"])
+        for _, values, first in _batches(batches, k):
+            cls, n = node_of(*set_ids(values, first), turn), np.diff(first)
+            if sketches:
+                level = band(n).tolist()
+                payload = [bit_sketch(values[a:b], h + _SKETCH_SHIFT) for a, b, h in zip(first[:-1], first[1:], level, strict=True)]
+            else:
+                payload = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(payload, pa.binary())], names=["cls", "payload"])
 
-    return docs.select("text", bit_of("doc_id").alias("bit")).mapInArrow(run, "cls long, payload binary")
+    return wanted.passing(docs, "doc_id", ("text",)).mapInArrow(run, "cls long, payload binary")
 
 
-def join(docs: DataFrame, k: int = SHINGLE, frequent: int = 64) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per document, linked at similarity 3/4 or more.
+def components_of(docs: DataFrame, k: int = SHINGLE, frequent: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, n_shingles, comp, component_id): one row per document, linked at similarity 3/4 or more.
 
-    Exact copies are one class from the start. ``frequent``: members that more
-    documents than this repeat within single tasks stay out of the first blocks.
+    ``comp`` names the component, and is null for an empty set; ``component_id`` is its
+    least doc_id. Exact copies are one class from the start. ``frequent``: members that
+    more documents than this repeat within single tasks stay out of the first blocks.
     """
     docs = small_batches(docs)
-    rows = cut(_classes(docs, k, local=4))
-    documents = rows.where(~F.col("member")).select("doc_id", "n", "cls")
-    frequent_bits = frequent_members(rows.where("member"), frequent)
-    hash_part = F.lit(HASH_PART)
-    classes = documents.groupBy("cls", "n").agg(F.min("doc_id").alias("first_doc")).withColumn("key", F.shiftrightunsigned("cls", 8))
-    groups = freed(cut(grouped(_signature_rows(docs, k, frequent_bits))))
+    rows = cut(_classes(docs, k, 4, keep))
+    documents, turn = exact_nodes(rows.where(~F.col("member")).drop("member"))
+    frequent_bits = frequent_members(rows.where("member").select(F.col("c1").alias("cls"), "n"), frequent)
+    classes = documents.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"))
+    groups = freed(cut(grouped(_signature_rows(docs, k, frequent_bits, turn))))
 
     def payloads(sketches):
         def make(nodes):
-            keys = nodes.select(F.col("cls").bitwiseAND(hash_part).alias("key"))
-            wanted = id_filter(classes.join(keys, "key", "left_semi").select(bit_of("first_doc").alias("bit")))
-            return _payloads(docs, k, wanted, frequent_bits, sketches)
+            wanted = IdFilter(cut(classes.join(nodes, "cls", "left_semi").select("first_doc")), "first_doc")
+            return _payloads(docs, k, wanted, turn, sketches)
 
         return make
 
     # at similarity 3/4, |A ^ B| <= (|A| + |B|) / 7
     labels = resolve(groups, payloads(True), payloads(False), exact_test, (DENOMINATOR + NUMERATOR) // (DENOMINATOR - NUMERATOR))
-    # a class that shares no signature is its own component; -1 - key cannot be a node
-    labels = labels.select(F.col("node").bitwiseAND(hash_part).alias("key"), "comp")
-    labelled = classes.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", -1 - F.col("key")))
-    least = labelled.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-    of_class = labelled.join(least, "comp").select("cls", "component_id")
-    full = documents.where("n > 0").join(of_class, "cls").select("doc_id", "n", "component_id")
-    empty = documents.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = classes.join(labels.select(F.col("node").alias("cls"), "comp"), "cls")
+    least = linked.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
+    named = linked.join(least, "comp").select("cls", "comp", "component_id")
+    of_class = classes.join(named, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("component_id", "first_doc").alias("component_id"))
+    columns = ["doc_id", *keep, F.col("n").alias("n_shingles"), "comp", "component_id"]
+    full = documents.where("n > 0").join(of_class, "cls").select(*columns)
+    empty = documents.where("n = 0").withColumn("comp", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return full.unionByName(empty.select(*columns))
+
+
+def join(docs: DataFrame, k: int = SHINGLE, frequent: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of ``components_of``."""
+    return components_of(docs, k, frequent).select("doc_id", "n_shingles", "component_id")

@@ -1,10 +1,11 @@
 """From shared signatures to connected components, without all pairs of a group.
 
 Nodes are classes (64-bit integers) that stand for groups of equal items.
-Signature rows (sig, cls) are grouped by a sort; within a group every class is
-first compared with one hub. Classes that are not in the hub's component after
-that are compared with that component and with each other, by sketches, in
-blocks.
+Signature rows (sig, rank, cls) are grouped by a sort; within a group every
+class is first compared with one hub. Classes that are not in the hub's
+component after that, satellites, are compared with a part of that component,
+and those that stay satellites with the whole of it and with each other, by
+sketches, in blocks.
 """
 
 from __future__ import annotations
@@ -16,11 +17,28 @@ from pyspark.sql import functions as F
 from .runtime import cut, freed
 from .textnp import mix64
 
-FILTER_BITS = 23
+#: Bits of an id filter for each id, and its least and greatest size (32 MB) as a power of two.
+FILTER_PER_ID, FILTER_LEAST, FILTER_MOST = 16, 16, 28
+
+
+def exact_nodes(rows: DataFrame, a: str = "c1", b: str = "c2", most_turns: int = 64) -> tuple[DataFrame, int]:
+    """``rows`` with ``cls``, one 64-bit integer for each 128-bit identity (a, b), and the turn that makes it.
+
+    ``cls`` is ``a`` as long as no two identities share it (see ``textnp.node_of``).
+    """
+    for turn in range(most_turns):
+        node = F.col(a)
+        if turn:
+            node = node.bitwiseXOR(F.shiftleft(F.col(b), turn).bitwiseOR(F.shiftrightunsigned(F.col(b), 64 - turn)))
+        out = rows.withColumn("cls", node)
+        facts = out.groupBy("cls").agg(*[f(c).alias(f"_{f.__name__}_{c}") for c in (a, b) for f in (F.min, F.max)])
+        if facts.where(f"_min_{a} != _max_{a} OR _min_{b} != _max_{b}").isEmpty():
+            return out, turn
+    raise RuntimeError("identities did not come apart")
 
 
 def grouped(sigs: DataFrame) -> DataFrame:
-    """(sig, hub, cls): the rows of signatures that two or more classes share, each once; hub is the least class.
+    """(sig, hub, cls): the rows of signatures that two or more classes share, each once; hub is the first by rank and class.
 
     The sort spills to disk; the pass after it holds one batch and the last row.
     """
@@ -58,12 +76,12 @@ def grouped(sigs: DataFrame) -> DataFrame:
         if last is not None and shared:
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (last[0], last[2], last[1])], names=["sig", "hub", "cls"])
 
-    return sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(run, "sig long, hub long, cls long")
+    return sigs.repartition("sig").sortWithinPartitions("sig", "rank", "cls").mapInArrow(run, "sig long, hub long, cls long")
 
 
 def hub_pairs(groups: DataFrame) -> DataFrame:
     """(a, b), a < b: every class with its groups' hubs."""
-    return groups.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+    return groups.where("cls != hub").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
 
 
 def bit_sketch(values: np.ndarray, bits: int) -> bytes:
@@ -86,9 +104,9 @@ def _folded(sketches: np.ndarray, size: int) -> np.ndarray:
     return np.ascontiguousarray(sketches)
 
 
-def may_link(left: list[bytes], right: list[bytes], parts: int) -> np.ndarray:
-    """bool[left, right]: whether sizes and sketches leave it open that ``parts`` * |A ^ B| <= |A| + |B|."""
-    out = np.zeros((len(left), len(right)), bool)
+def least_apart(left: list[bytes], right: list[bytes], parts: int) -> np.ndarray:
+    """int64[left, right]: the least difference |A ^ B| that sizes and sketches allow, or -1 if ``parts`` times it is over |A| + |B|."""
+    out = np.full((len(left), len(right)), -1)
     sides = []
     for rows in (left, right):
         by: dict[int, list[int]] = {}
@@ -107,18 +125,20 @@ def may_link(left: list[bytes], right: list[bytes], parts: int) -> np.ndarray:
                 apart = np.bitwise_count(p[i : i + step, None, :] ^ q[None, :, :]).sum(2, dtype=np.int64)
                 size = n_l[i : i + step, None] + n_r[None, :]
                 least = np.maximum(apart, np.abs(n_l[i : i + step, None] - n_r[None, :]))
-                out[at_l[i : i + step, None], at_r[None, :]] = parts * least <= size
+                out[at_l[i : i + step, None], at_r[None, :]] = np.where(parts * least <= size, least, -1)
     return out
 
 
-def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches, parts: int, block: int = 2048) -> DataFrame:
+def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, parts: int, nearest: bool, block: int = 512, most_blocks: int = 32, largest: int = 8192) -> DataFrame:
     """(a, b), a < b: classes that share a group but no component yet, as far as their sketches leave a link open.
 
-    In every group a class is in the hub's component or a satellite of it. Each
-    component's satellites are compared with the component and with each other,
-    in blocks of at most ``block`` by ``block`` sketches, whatever number of
-    groups they share; a worker holds one pair of blocks. ``sketches`` makes
-    (cls, payload) for the classes (cls).
+    In every group a class is in the hub's component or a satellite of it. A
+    component and its satellites are dealt into blocks of ``block`` sketches, or
+    larger ones where that makes over ``most_blocks``, but not over ``largest``;
+    a worker holds one pair of blocks. With ``nearest`` each satellite meets one
+    block and gives only its nearest class there, so this takes time in
+    proportion to the classes. Without it each meets every block, and every
+    open pair is given. ``sketches`` is (cls, payload).
     """
     hubs = labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
     labelled = groups.where("cls != hub").join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").join(hubs, "hub", "left")
@@ -129,42 +149,58 @@ def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches, parts: int,
     inner = known.unionByName(alone).withColumn("comp", F.col("c"))
     every = inner.withColumn("sat", F.lit(False)).unionByName(sats.withColumn("sat", F.lit(True)))
     counts = every.groupBy("c").agg(F.count("*").alias("n"), F.count_if("sat").alias("n_sat")).where("n > 2")  # one satellite of one hub has been compared
-    every = cut(every.join(counts, "c"))
-    made = sketches(every.select("cls").distinct()).dropDuplicates(["cls"])
-    full = every.join(made, "cls")
-    nl, nr = F.ceil(F.col("n_sat") / block).cast("int"), F.ceil(F.col("n") / block).cast("int")
+    full = every.join(counts, "c").join(sketches, "cls")
+    size = F.least(F.greatest(F.lit(block), F.ceil(F.col("n") / most_blocks)), F.lit(largest))
+    nl, nr = F.ceil(F.col("n_sat") / size).cast("int"), F.ceil(F.col("n") / size).cast("int")
     own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
-    left = full.where("sat").withColumn("lb", own(nl)).withColumn("rb", F.explode(F.sequence(F.lit(0), nr - 1))).withColumn("side", F.lit(0))
-    right = full.withColumn("rb", own(nr)).withColumn("lb", F.explode(F.sequence(F.lit(0), nl - 1))).withColumn("side", F.lit(1))
+    other = lambda n: F.pmod(F.xxhash64("cls", F.lit(1)), n).cast("int")
+    if nearest:
+        left = full.where("sat").withColumn("lb", F.lit(0)).withColumn("rb", other(nr)).withColumn("side", F.lit(0))
+        right = full.withColumn("rb", own(nr)).withColumn("lb", F.lit(0)).withColumn("side", F.lit(1))
+    else:
+        left = full.where("sat").withColumn("lb", own(nl)).withColumn("rb", F.explode(F.sequence(F.lit(0), nr - 1))).withColumn("side", F.lit(0))
+        right = full.withColumn("rb", own(nr)).withColumn("lb", F.explode(F.sequence(F.lit(0), nl - 1))).withColumn("side", F.lit(1))
     cols = ["c", "lb", "rb", "side", "cls", "comp", "sat", "payload"]
 
     def run(batches):
         import pyarrow as pa
 
-        def solve(rows):
-            l, r = [x for x in rows if x["side"] == 0], [x for x in rows if x["side"] == 1]
-            if not l or not r:
+        def solve(key, held):
+            side, cls, comp, sat = (np.concatenate([h[i] for h in held]) for i in range(4))
+            payload = [x for h in held for x in h[4]]
+            l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(l) or not len(r):
                 return None
-            ok = may_link([x["payload"] for x in l], [x["payload"] for x in r], parts)
-            a, b = np.array([x["cls"] for x in l]), np.array([x["cls"] for x in r])
-            ca, cb = np.array([x["comp"] for x in l]), np.array([x["comp"] for x in r])
-            both = np.array([x["sat"] for x in r])
-            ok &= (ca[:, None] != cb[None, :]) & (~both[None, :] | (a[:, None] < b[None, :]))
-            i, j = np.nonzero(ok)
+            a, b = cls[l], cls[r]
+            apart = least_apart([payload[i] for i in l.tolist()], [payload[i] for i in r.tolist()], parts)
+            apart[comp[l][:, None] == comp[r][None, :]] = -1
+            if nearest:
+                apart[apart < 0] = np.iinfo(np.int64).max
+                j = apart.argmin(1)
+                i = np.flatnonzero(apart[np.arange(len(j)), j] < np.iinfo(np.int64).max)
+                j = j[i]
+            else:
+                apart[sat[r][None, :] & (a[:, None] >= b[None, :])] = -1
+                i, j = np.nonzero(apart >= 0)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], names=["a", "b"]) if len(i) else None
 
         key, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                k = (row["c"], row["lb"], row["rb"])
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("c", "lb", "rb")], axis=1)
+            begin = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "cls", "comp", "sat")]
+            for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True):
+                k = tuple(keys[s].tolist())
                 if k != key and held:
-                    out = solve(held)
+                    out = solve(key, held)
                     if out is not None:
                         yield out
                     held = []
                 key = k
-                held.append(row)
-        out = solve(held) if held else None
+                held.append([*(c[s:e] for c in columns), batch.column("payload").slice(s, e - s).to_pylist()])
+        out = solve(key, held) if held else None
         if out is not None:
             yield out
 
@@ -172,36 +208,52 @@ def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches, parts: int,
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def filter_words(ids: DataFrame) -> DataFrame:
-    """(w, v): the words that are not 0 of a bit set of 2**FILTER_BITS bits over (bit)."""
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))
-    return ids.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(one).alias("v"))
+class IdFilter:
+    """A bit set over ids or, with ``raw``, over integers that are hashes already; with false positives only.
 
+    Its size follows the number of ids and ends at 32 MB, where more ids only let more rows pass.
+    """
 
-def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """``df`` with ``maybe``: false where ``column`` is surely none of ``ids``. The broadcast has 2**(FILTER_BITS - 6) rows at most."""
-    words = F.broadcast(filter_words(ids.select(bit_of(column).alias("bit"))))
-    joined = df.withColumn("_bit", bit_of(column)).join(words, F.shiftright("_bit", 6) == F.col("w"), "left")
-    hit = F.call_function("shiftrightunsigned", F.col("v"), F.pmod("_bit", F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return joined.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("_bit", "w", "v")
+    def __init__(self, ids: DataFrame, column: str = "id", raw: bool = False, most: int = FILTER_MOST):
+        self.raw = raw
+        self.bits = min(most, max(FILTER_LEAST, (FILTER_PER_ID * ids.count()).bit_length()))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))
+        words = ids.select(self.bit(column).alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(F.bit_or(one).alias("v")).toArrow()
+        self.table = np.zeros(1 << (self.bits - 6), np.uint64)  # 2**(FILTER_MOST - 6) rows at most
+        self.table[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
 
+    def bit(self, column):
+        """The bit of an id, as a column."""
+        return F.col(column).bitwiseAND(F.lit((1 << self.bits) - 1)) if self.raw else F.pmod(F.xxhash64(column), F.lit(1 << self.bits))
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit set of 2**FILTER_BITS bits (1 MB at any number of ids) over (bit): false positives only."""
-    words = filter_words(ids)
-    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for w, v in words.collect():  # 2**(FILTER_BITS - 6) rows at most
-        table[w] = np.uint64(v & 0xFFFFFFFFFFFFFFFF)
-    return table
+    def _set(self, bits: np.ndarray) -> np.ndarray:
+        return (self.table[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
 
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        """Which of the raw integers may be among the ids."""
+        return self._set(values.view(np.uint64) & np.uint64((1 << self.bits) - 1))
 
-def bit_of(column):
-    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    def passing(self, df: DataFrame, column: str, keep: tuple[str, ...]) -> DataFrame:
+        """``keep`` columns of the rows of ``df`` whose ``column`` may be one of the ids."""
 
+        def run(batches):
+            import pyarrow as pa
 
-def in_filter(table: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    bits = bits.astype(np.uint64)
-    return (table[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
+            for batch in batches:
+                yield batch.take(pa.array(np.flatnonzero(self._set(batch.column("_bit").to_numpy().astype(np.uint64))))).select(list(keep))
+
+        kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+        return df.select(*keep, self.bit(column).alias("_bit")).mapInArrow(run, kinds)
+
+    def marked(self, df: DataFrame, column: str) -> DataFrame:
+        """``df`` with ``maybe``: false where ``column`` is surely none of the ids. Broadcasts the bit set's words that are not 0."""
+        import pyarrow as pa
+
+        w = np.flatnonzero(self.table)
+        words = df.sparkSession.createDataFrame(pa.table({"_w": w.astype(np.int32), "_v": self.table[w].view(np.int64)}))
+        joined = df.withColumn("_bit", self.bit(column)).join(F.broadcast(words), F.shiftright("_bit", 6) == F.col("_w"), "left")
+        hit = F.call_function("shiftrightunsigned", F.col("_v"), F.pmod("_bit", F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return joined.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("_bit", "_w", "_v")
 
 
 def verify(pairs: DataFrame, payloads: DataFrame, test) -> DataFrame:
@@ -230,24 +282,38 @@ def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
     """(node, comp): the components of the classes that are linked, ``parts`` * |A ^ B| <= |A| + |B|, and share a group.
 
     ``sketches`` and ``sets`` make (cls, payload) for the classes (cls); ``test``
-    decides a pair of sets exactly.
+    decides a pair of sets exactly. Three rounds of pairs: classes with their
+    groups' hubs, satellites with the nearest class of a part of the hub's
+    component, and all that is still open.
     """
 
     def nodes(pairs):
         return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
     def rough(left, right):
-        return [bool(may_link([x], [y], parts)[0, 0]) for x, y in zip(left, right, strict=True)]
+        return [least_apart([x], [y], parts)[0, 0] >= 0 for x, y in zip(left, right, strict=True)]
 
     def linked(pairs):
-        pairs = cut(pairs)
         return freed(cut(verify(pairs, sets(nodes(pairs)), test).distinct()))
 
     pairs = cut(hub_pairs(groups))
-    edges = linked(verify(pairs, sketches(nodes(pairs)), rough).distinct())
+    drawn = cut(sketches(nodes(pairs)).dropDuplicates(["cls"]))
+    tested = cut(verify(pairs, drawn, rough))
+    edges = linked(tested)
     labels = components(edges)
-    more = linked(satellite_pairs(groups, labels, sketches, parts))
-    return labels if more.isEmpty() else components(edges.unionByName(more))
+    for nearest in (True, False):
+        open_pairs = satellite_pairs(groups, labels, drawn, parts, nearest)
+        open_pairs = cut(open_pairs if nearest else open_pairs.join(tested, ["a", "b"], "left_anti"))
+        if open_pairs.isEmpty():
+            if nearest:
+                continue
+            break
+        more = linked(open_pairs)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            labels = components(edges)
+        tested = tested.unionByName(open_pairs)
+    return labels
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

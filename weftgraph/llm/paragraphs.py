@@ -6,16 +6,22 @@ Paragraphs that collide in a band are joined (see ``links``), verified by exact
 Jaccard similarity (3/4 or more) and clustered by connected components; the first
 paragraph of each cluster stays and the others are removals.
 
-A passage inside a longer line makes no two lines alike, so texts are also cut
-into short segments at words whose hash is the least among their neighbours.
-A passage cuts itself alike wherever it stands; runs of segments that another
-document holds too, of at least ``run_words`` words, are passages, and all but
-the first document's are removals.
-
-Equal paragraphs are one class from the start. Results by case: null and empty
-texts and shorter lines have no paragraphs; repeated rows hold the same
-paragraphs twice, of which one stays; an empty table gives an empty result;
-other input columns are ignored; rows without an id have no passages.
+A passage inside a longer line makes no two lines alike, so every text is also
+winnowed: of any ``window`` neighbouring ``gram``-word sequences the one of least
+hash is noted. Two texts that share ``gram + window - 1`` words (50) share all of
+that passage's sequences and so note the same one. Runs of noted sequences that
+another document notes too are passages, and all but the first document's are
+removals. No passage of 50 words is missed, some of ``gram`` words are found, and
+a run may fall short of its passage by ``window - 1`` words at each end.
+
+Equal paragraphs (word for word) are one class from the start. Results by case:
+null and empty texts and shorter lines have no paragraphs; repeated rows (same
+id and text) hold the same paragraphs twice, of which one stays, and their
+passages are listed once; rows with the same id and unlike texts are two
+documents, neither of which comes first, and so are rows without an id with
+unlike texts, which come last; a passage that only one document holds, however
+often, is none; an empty table gives an empty
+result; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import HASH_PART, exact_test, frequent_members, node_ids, rare_members
-from .links import bit_of, bit_sketch, grouped, id_filter, in_filter, resolve
+from .jaccard_join import exact_test, first_seen
+from .links import IdFilter, bit_sketch, exact_nodes, grouped, resolve
 from .runtime import claim, cut, freed, small_batches
-from .textnp import Repeats, _tables, blocks, mix64, owners, set_ids, shingle_sets, text_bytes, words
+from .textnp import _tables, blocks, distinct, mix64, ngrams, node_of, owners, runs_hash, text_bytes, word_hashes, word_spans
 
 SHINGLE = 5
 
@@ -40,221 +46,222 @@ def tune(threshold: float = 0.75, recall: float = 0.9995, rows: int = 3) -> tupl
     return bands, rows
 
 
-def _paragraphs(batches, min_words: int):
-    """(slice of the batch, paragraphs, their rows, their numbers in the document, their word counts) by blocks."""
+
+
+def lines_of(texts: list[bytes], min_words: int):
+    """(hashes, text, number, begin, size): the words of a block of texts, and its lines of ``min_words`` words or more.
+
+    ``number`` counts the text's lines from 0; a line is ``size`` words from ``begin``.
+    """
+    data, start, size, first = word_spans(texts)
+    hashes, of = word_hashes(data, start, size), owners(first)
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return hashes, none, none, none, none
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    line = np.searchsorted(breaks, start)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    before = np.searchsorted(breaks, np.cumsum(lengths + 1) - lengths - 1)
+    begin = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (of[1:] != of[:-1]))))
+    n = np.diff(np.append(begin, len(start)))
+    keep = n >= min_words
+    begin, n = begin[keep], n[keep]
+    return hashes, of[begin], line[begin] - before[of[begin]], begin, n
+
+
+def line_grams(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of lines (all of k words or more) in order, and where each line's begin."""
+    of = np.repeat(np.arange(len(begin)), size)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+    first = np.concatenate(([0], np.cumsum(size)))
+    grams, _ = ngrams(hashes[at], first, k)
+    return grams, first - (k - 1) * np.arange(len(first))
+
+
+def line_ids(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit identity for the words of each line."""
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edges = np.stack([begin, begin + size], axis=1).reshape(-1)
+    keep = np.concatenate(([True], edges[1:] > edges[:-1]))  # a line may begin where the last one ends
+    at = edges[keep]
+    at = at[at < len(hashes)]
+    place = np.searchsorted(at, begin)
+    a, b = (runs_hash(hashes, at, salt)[place].view(np.int64) for salt in (0x3C6EF372FE94F82B, 0x510E527FADE682D1))
+    return a, b
+
+
+def _blocks(batches):
     claim("shingles")
     for batch in batches:
         texts = text_bytes(batch.column("text"))
         for a, b in blocks(texts):
-            lines, row, number = [], [], []
-            for i, t in enumerate(texts[a:b]):
-                for j, line in enumerate(t.split(b"\n")):
-                    if len(line) >= 2 * min_words - 1:
-                        lines.append(line)
-                        row.append(i)
-                        number.append(j)
-            n = np.diff(words(lines)[1]) if lines else np.zeros(0, np.int64)
-            keep = np.flatnonzero(n >= min_words)
-            yield batch.slice(a, b - a), [lines[i] for i in keep.tolist()], np.array(row, np.int64)[keep], np.array(number, np.int32)[keep], n[keep].astype(np.int32)
-
-
-def paragraph_classes(docs: DataFrame, min_words: int, local: int) -> DataFrame:
-    """(doc_id, para, n_words, cls): every paragraph and the identity of its shingle set.
-
-    Rows with para = -1 are members (cls) that n_words of a batch's paragraphs hold.
-    """
-    kind = docs.schema["doc_id"].dataType
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        counter, seen = Repeats(local), set()
-        names = ["doc_id", "para", "n_words", "cls"]
-
-        def repeats():
-            members, n = counter.take()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(n), to_arrow_type(kind)), pa.array(np.full(len(n), -1, np.int32)), pa.array(n), pa.array(members)], names=names)
-
-        for part, lines, row, number, n in _paragraphs(batches, min_words):
-            if not lines:
-                continue
-            values, first = shingle_sets(lines, SHINGLE)
-            ids = set_ids(values, first)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(n.astype(np.int64)), pa.array(ids)], names=names)
-            fresh = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()], bool)
-            if counter.add(values[np.repeat(fresh, np.diff(first))]):
-                yield repeats()
-                seen = set()
-        yield repeats()
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, para int, n_words long, cls long")
+            yield batch.slice(a, b - a), texts[a:b]
 
 
 def band_keys(values: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """int64[bands, sets]: the keys of each non-empty set's bands."""
-    keys = np.empty((bands, len(first) - 1), np.int64)
+    """int64[sets, bands]: the keys of each set's bands; no set is empty."""
+    keys = np.empty((len(first) - 1, bands), np.int64)
     for band in range(bands):
         key = np.full(len(first) - 1, band, np.uint64)
         for r in range(rows):
             salt = mix64(np.array([band * rows + r + 1], np.uint64))[0]
             least = np.minimum.reduceat((values ^ salt) * np.uint64(0xFF51AFD7ED558CCD), first[:-1])
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least)
-        keys[band] = key.view(np.int64)
+        keys[:, band] = key.view(np.int64)
     return keys
 
 
-def _band_rows(docs: DataFrame, min_words: int, bands: int, rows: int, frequent: np.ndarray) -> DataFrame:
-    """(sig, cls) of every class, once in each task; cls as in ``node_ids``."""
+def paragraph_rows(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, para, n_words, c1, c2, keys): every paragraph, its identity, and its bands' keys where its task first meets it."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()
-        for _, lines, *_ in _paragraphs(batches, min_words):
-            if not lines:
-                continue
-            values, first = shingle_sets(lines, SHINGLE)
-            ids = set_ids(values, first)
-            fresh = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()], bool)
-            values, n = values[np.repeat(fresh, np.diff(first))], np.diff(first)[fresh]
-            if not len(n):
+        seen: set = set()
+        for part, texts in _blocks(batches):
+            hashes, text, number, begin, size = lines_of(texts, min_words)
+            if not len(begin):
                 continue
-            first = np.concatenate(([0], np.cumsum(n)))
-            keys = band_keys(values, first, bands, rows).reshape(-1)
-            own = np.tile(node_ids(ids[fresh], first, rare_members(values, frequent)), bands)
-            for i in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000]), pa.array(own[i : i + 200_000])], names=["sig", "cls"])
+            a, b = line_ids(hashes, begin, size)
+            fresh = first_seen(a, b, seen)
+            grams, first = line_grams(hashes, begin[fresh], size[fresh], SHINGLE)
+            keys = band_keys(grams, first, bands, rows) if fresh.any() else np.zeros((0, bands), np.int64)
+            offsets = np.concatenate(([0], np.cumsum(np.where(fresh, bands, 0)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
+            columns = [part.column("doc_id").take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(a), pa.array(b), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "para", "n_words", "c1", "c2", "keys"])
 
-    return docs.select("text").mapInArrow(run, "sig long, cls long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, para int, n_words int, c1 long, c2 long, keys array<long>")
 
 
-def _payloads(docs: DataFrame, min_words: int, in_docs: np.ndarray, in_classes: np.ndarray, frequent: np.ndarray, sketches: bool) -> DataFrame:
+def _payloads(docs: DataFrame, min_words: int, in_docs: IdFilter, in_classes: IdFilter, turn: int, sketches: bool) -> DataFrame:
     """(cls, payload): the sketches or the sets of the wanted classes."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            batch = batch.take(pa.array(np.flatnonzero(in_filter(in_docs, batch.column("bit").to_numpy()))))
-            for _, lines, *_ in _paragraphs([batch], min_words):
-                if not lines:
-                    continue
-                values, first = shingle_sets(lines, SHINGLE)
-                ids = set_ids(values, first)
-                _, once = np.unique(ids, return_index=True)
-                at = once[in_filter(in_classes, (ids[once].view(np.uint64) >> np.uint64(8)) & np.uint64((1 << 23) - 1))]
-                ids = node_ids(ids, first, rare_members(values, frequent))
-                sets = [values[first[i] : first[i + 1]] for i in at.tolist()]
-                payload = [bit_sketch(x, max(6, int(len(x) * 4).bit_length())) if sketches else x.tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(payload, pa.binary())], names=["cls", "payload"])
-
-    return docs.select("text", bit_of("doc_id").alias("bit")).mapInArrow(run, "cls long, payload binary")
-
-
-def segments(texts: list[bytes], reach: int):
-    """(text, first word, words, identity) of the content-defined segments of a block of texts."""
-    h, first = words(texts)
+        for _, texts in _blocks(batches):
+            hashes, _, _, begin, size = lines_of(texts, min_words)
+            cls = node_of(*line_ids(hashes, begin, size), turn)
+            _, once = np.unique(cls, return_index=True)
+            at = once[in_classes.holds(cls[once])]
+            if not len(at):
+                continue
+            grams, first = line_grams(hashes, begin[at], size[at], SHINGLE)
+            values, first = distinct(grams, owners(first), len(at))
+            sets = [values[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            payload = [bit_sketch(x, max(6, int(len(x) * 4).bit_length())) if sketches else x.tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(payload, pa.binary())], names=["cls", "payload"])
+
+    return in_docs.passing(docs, "doc_id", ("text",)).mapInArrow(run, "cls long, payload binary")
+
+
+def winnow(hashes: np.ndarray, first: np.ndarray, gram: int, window: int):
+    """(text, word, g1, g2) of the noted sequences of a block of texts, in order.
+
+    Of equal neighbours, as in a text of one repeated word, one in ``window`` stays.
+    """
+    n = len(hashes)
     of = owners(first)
-    p = mix64(h ^ np.uint64(0x51ED270B7A3F9C15))
-    cut_after = np.ones(len(p), bool)
-    for j in range(1, reach + 1):
-        same = of[j:] == of[:-j]
-        cut_after[j:] &= ~same | (p[j:] < p[:-j])
-        cut_after[:-j] &= ~same | (p[:-j] <= p[j:])
-    if len(p):
-        cut_after[first[1:][first[1:] > first[:-1]] - 1] = True
-    end = np.flatnonzero(cut_after) + 1
-    start = np.concatenate(([0], end[:-1])).astype(np.int64)
-    _, (power, inverse) = _tables(len(p) + 1)
-    prefix = np.zeros(len(p) + 1, np.uint64)
-    np.cumsum(h * power[: len(p)], out=prefix[1:])
-    ids = mix64((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)).view(np.int64)
-    text = of[start] if len(p) else start[:0]
-    return text, start[: len(end)] - first[text], end - start[: len(end)], ids
-
-
-def _segment_rows(docs: DataFrame, reach: int, least: int) -> DataFrame:
-    """(cls, doc_id, seg, at, n): every segment of ``least`` words or more; seg counts a text's segments."""
+    whole = np.flatnonzero(of[: max(0, n - gram + 1)] == of[gram - 1 :]) if n >= gram else np.zeros(0, np.int64)
+    if not len(whole):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    _, (power, inverse) = _tables(n + 1)
+    ids = []
+    for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix64(hashes ^ np.uint64(salt)) * power[:n], out=prefix[1:])
+        ids.append(mix64((prefix[whole + gram] - prefix[whole]) * inverse[whole]))
+    text = of[whole]
+    place = np.uint64(max(1, int(len(whole)).bit_length()))
+    least = ((ids[0] >> place) << place) | np.arange(len(whole), dtype=np.uint64)
+    last_of = np.searchsorted(text, text, "right")
+    span = 1
+    while span < window:
+        step = min(span, window - span)
+        reach = np.minimum(np.arange(len(least)) + step, last_of - 1)
+        least = np.minimum(least, least[reach])
+        span += step
+    at = np.arange(len(least))  # windows end with their text; a text of fewer sequences than a window is one window
+    least = least[(at + window <= last_of) | np.concatenate(([True], text[1:] != text[:-1]))]
+    noted = np.unique((least & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64))
+    a, b, text, word = ids[0][noted].view(np.int64), ids[1][noted].view(np.int64), text[noted], whole[noted] - first[text[noted]]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (text[1:] != text[:-1])))
+    run = np.flatnonzero(new)[np.cumsum(new) - 1]
+    keep = (word - word[run]) // window > np.where(new, -1, (np.concatenate(([0], word[:-1])) - word[run]) // window)
+    return text[keep], word[keep], a[keep], b[keep]
+
+
+def _noted_rows(docs: DataFrame, gram: int, window: int, there: IdFilter | None = None) -> DataFrame:
+    """(g1, g2, doc_id, row, at): every noted sequence, or those in a filter; (doc_id, row) is a document, ``at`` its first word."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            texts, doc = text_bytes(batch.column("text")), batch.column("doc_id").to_numpy()
-            for a, b in blocks(texts):
-                text, at, n, ids = segments(texts[a:b], reach)
-                number = np.arange(len(text)) - np.searchsorted(text, text)
-                keep = n >= least
-                columns = (ids[keep], doc[a + text[keep]], number[keep].astype(np.int32), at[keep].astype(np.int32), n[keep].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["cls", "doc_id", "seg", "at", "n"])
+        for part, texts in _blocks(batches):
+            data, start, size, first = word_spans(texts)
+            text, word, a, b = winnow(word_hashes(data, start, size), first, gram, window)
+            if there is not None:
+                text, word, a, b = (v[at] for at in [np.flatnonzero(there.holds(a))] for v in (text, word, a, b))
+            own = [part.column(c).take(pa.array(text)) for c in ("doc_id", "row")]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *own, pa.array(word.astype(np.int32))], names=["g1", "g2", "doc_id", "row", "at"])
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "cls long, doc_id long, seg int, at int, n int")
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    return rows.mapInArrow(run, "g1 long, g2 long, doc_id long, row long, at int")
 
 
-def _shared_segments(rows: DataFrame) -> DataFrame:
-    """(doc_id, seg, at, n, first_doc) of the segments that two documents or more hold. Holds one document's rows of a segment over."""
-    names = ["cls", "doc_id", "seg", "at", "n"]
+def _runs(found: DataFrame, gram: int) -> DataFrame:
+    """(doc_id, at, n_words, first_doc, removed) of the runs of sequences (doc_id, row, at, first_doc); holds one batch and a run."""
+    names, none = ("doc_id", "row", "at", "first_doc"), np.iinfo(np.int64).max
 
     def run(batches):
         import pyarrow as pa
 
-        held, first_doc, shared = None, None, False  # the rows that wait, and the last segment's first document
+        def out(doc, begin, end, origin):
+            removed = pa.array(doc != origin)
+            ids = [pa.array(v, mask=v == none) for v in (doc, origin)]
+            return pa.RecordBatch.from_arrays([ids[0], pa.array(begin.astype(np.int32)), pa.array((end - begin).astype(np.int32)), ids[1], removed], names=["doc_id", "at", "n_words", "first_doc", "removed"])
+
+        held = None  # doc_id, row, begin, end and origin of the run that may go on
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in names]
-            last_cls = None if held is None else held[5]
-            if held is not None and len(held[0]):
-                columns = [np.concatenate((x, y)) for x, y in zip(held[:5], columns, strict=True)]
-            cls, doc = columns[0], columns[1]
-            if not len(cls):
+            if not batch.num_rows:
                 continue
-            start = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1])))
-            size = np.diff(np.concatenate((start, [len(cls)])))
-            first = doc[start].copy()
-            many = doc[start + size - 1] != first
-            if shared and cls[0] == last_cls:  # goes on from an earlier batch
-                first[0], many[0] = first_doc, True
-            done = np.repeat(many, size)
-            at = np.flatnonzero(done)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([*(pa.array(columns[i][at]) for i in (1, 2, 3, 4)), pa.array(np.repeat(first, size)[at])], names=["doc_id", "seg", "at", "n", "first_doc"])
-            shared, first_doc = bool(many[-1]), first[-1]
-            tail = slice(start[-1], len(cls)) if not shared else slice(len(cls), len(cls))
-            held = [*(v[tail] for v in columns), cls[-1]]
-
-    return rows.repartition("cls").sortWithinPartitions("cls", "doc_id", "seg").mapInArrow(run, "doc_id long, seg int, at int, n int, first_doc long")
-
-
-def passages(docs: DataFrame, run_words: int = 28, reach: int = 5) -> DataFrame:
-    """(doc_id, at, n_words, first_doc, removed): runs of segments that other documents hold; ``at`` counts words from 0."""
-    found = _shared_segments(_segment_rows(docs, reach, reach))
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("seg", "at", "n", "first_doc")).alias("x"))
+            doc, row, at, origin = (batch.column(c).cast(pa.int64()).fill_null(none).to_numpy() for c in names)
+            columns = [doc, row, at, at + gram, origin]
+            if held is not None:
+                columns = [np.concatenate(([h], c)) for h, c in zip(held, columns, strict=True)]
+            doc, row, begin, end, origin = columns
+            new = np.concatenate(([True], (row[1:] != row[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1])))
+            start = np.flatnonzero(new)
+            ends, origins = np.maximum.reduceat(end, start), np.minimum.reduceat(origin, start)
+            held = (doc[start[-1]], row[start[-1]], begin[start[-1]], ends[-1], origins[-1])
+            if len(start) > 1:
+                yield out(doc[start[:-1]], begin[start[:-1]], ends[:-1], origins[:-1])
+        if held is not None:
+            doc, _, begin, end, origin = (np.array([v]) for v in held)
+            yield out(doc, begin, end, origin)
+
+    rows = found.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "at")
+    return rows.mapInArrow(run, "doc_id long, at int, n_words int, first_doc long, removed boolean")
+
+
+def passages(docs: DataFrame, gram: int = 34, window: int = 17) -> DataFrame:
+    """(doc_id, at, n_words, first_doc, removed): runs of sequences that other documents hold; ``at`` counts words from 0.
+
+    A first pass counts the sequences' documents, by partial aggregates, and a
+    second one takes up those that two documents hold.
+    """
+    docs = small_batches(docs)
+    facts = _noted_rows(docs, gram, window).groupBy("g1", "g2").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("doc_id").alias("first_doc"))
+    shared = cut(facts.where("lo != hi").select("g1", "g2", "first_doc"))
+    found = _noted_rows(docs, gram, window, IdFilter(shared, "g1", raw=True)).join(shared, ["g1", "g2"])
+    return _runs(found.select("doc_id", "row", "at", "first_doc"), gram)
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                part: list = []
-                for r in [*sorted((v["seg"], v["at"], v["n"], v["first_doc"]) for v in x), None]:
-                    if part and (r is None or r[0] != part[-1][0] + 1):
-                        total = part[-1][1] + part[-1][2] - part[0][1]
-                        if total >= run_words:
-                            origin = min(v[3] for v in part)
-                            out.append((doc, part[0][1], total, origin, origin != doc))
-                        part = []
-                    if r is not None and (not part or r[0] != part[-1][0]):
-                        part.append(r)
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "at", "n_words", "first_doc", "removed"])
-
-    return by_doc.mapInArrow(run, "doc_id long, at int, n_words int, first_doc long, removed boolean")
-
-
-def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995, often: int = 16) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995) -> DataFrame:
     """(doc_id, para, n_words, first_doc, first_para, cluster_size, removed): every paragraph (line) of a cluster of two or more.
 
     ``para`` counts the lines of the text from 0. A cluster is named by its
@@ -262,27 +269,24 @@ def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995, often: i
     """
     bands, rows = tune(recall=recall)
     docs = small_batches(docs)
-    rows_found = cut(paragraph_classes(docs, min_words, local=4))
-    found = rows_found.where("para >= 0").withColumn("n_words", F.col("n_words").cast("int"))
-    frequent = frequent_members(rows_found.where("para < 0").select("cls", F.col("n_words").alias("n")), often)
-    classes = found.groupBy("cls").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count("*").alias("members")).withColumn("key", F.shiftrightunsigned("cls", 8))
-    groups = freed(cut(grouped(_band_rows(docs, min_words, bands, rows, frequent))))
-    hash_part = F.lit(HASH_PART)
+    found, turn = exact_nodes(cut(paragraph_rows(docs, min_words, bands, rows)))
+    sigs = found.select("cls", F.explode("keys").alias("sig")).select("sig", F.lit(0).cast("byte").alias("rank"), "cls")
+    groups = freed(cut(grouped(sigs)))
+    found = found.drop("keys")
+    classes = found.groupBy("cls").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count("*").alias("members"))
 
     def payloads(sketches):
         def make(nodes):
-            need = cut(classes.join(nodes.select(F.col("cls").bitwiseAND(hash_part).alias("key")), "key", "left_semi").select("key", "first"))
-            in_docs = id_filter(need.select(bit_of("first.doc_id").alias("bit")))
-            in_classes = id_filter(need.select(F.col("key").bitwiseAND(F.lit((1 << 23) - 1)).alias("bit")))
-            return _payloads(docs, min_words, in_docs, in_classes, frequent, sketches)
+            need = cut(classes.join(nodes, "cls", "left_semi").select("cls", F.col("first.doc_id").alias("id")))
+            return _payloads(docs, min_words, IdFilter(need), IdFilter(need, "cls", raw=True), turn, sketches)
 
         return make
 
     labels = resolve(groups, payloads(True), payloads(False), exact_test, 7)
-    labels = labels.select(F.col("node").bitwiseAND(hash_part).alias("key"), "comp")
-    labelled = classes.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", -1 - F.col("key")))
-    clusters = labelled.groupBy("comp").agg(F.min("first").alias("head"), F.sum("members").alias("cluster_size")).where("cluster_size > 1")
-    of_class = labelled.select("cls", "comp").join(clusters, "comp").select("cls", "head", "cluster_size")
-    out = found.join(of_class, "cls")
+    several = classes.join(labels.select(F.col("node").alias("cls"), "comp"), "cls")
+    heads = several.groupBy("comp").agg(F.min("first").alias("head"), F.sum("members").alias("cluster_size"))
+    named = several.join(heads, "comp").select("cls", "head", "cluster_size")
+    alone = classes.where("members > 1").join(labels.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("first").alias("head"), F.col("members").alias("cluster_size"))
+    out = found.join(named.unionByName(alone), "cls")
     once = out.select("doc_id", "para", "n_words", F.col("head.doc_id").alias("first_doc"), F.col("head.para").alias("first_para"), "cluster_size")
     return once.withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("para") == F.col("first_para"))))

@@ -9,10 +9,6 @@ from . import bpe, fingerprints, jaccard_join, knn, langid, mixing, paragraphs,
 from .runtime import crc_mod, table
 
 
-def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare(table(spark, sf_dir, "documents"))
-
-
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
@@ -67,23 +63,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn.top_k(table(spark, sf_dir, "embeddings"))
-
-
-def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    lines = paragraphs.dedup(docs).select("doc_id", F.lit("line").alias("kind"), F.col("para").alias("at"), "n_words", "first_doc", "removed")
-    inner = paragraphs.passages(docs).select("doc_id", F.lit("passage").alias("kind"), "at", "n_words", "first_doc", "removed")
-    return lines.unionByName(inner)
-
-
-def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    return toxicity.score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
-
-
 QUERIES = {
     f.__name__: f
     for f in (

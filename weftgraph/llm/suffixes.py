@@ -27,13 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .links import bit_of, id_filter, in_filter
+from .links import IdFilter, exact_nodes
 from .runtime import claim, cut, small_batches
 from .textnp import _tables, mix64, text_bytes
 
 _GRAM = 32
 _NO_ID = -(1 << 63)
-_ANCHOR_BITS = 25
 
 
 def gram_size(length: int) -> int:
@@ -49,8 +48,8 @@ def anchors(data: np.ndarray, end: np.ndarray, length: int):
     n, gram = len(data), gram_size(length)
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty.view(np.uint64), empty, empty, empty, None
-    (value, _, _), (power, inverse) = _tables(n + 1)
+        return empty.view(np.uint64), empty, empty, empty
+    value, (power, inverse) = _tables(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(value[data] * power[:n], out=prefix[1:])
     grams = mix64((prefix[gram:] - prefix[:-gram]) * inverse[: n - gram + 1])
@@ -65,12 +64,12 @@ def anchors(data: np.ndarray, end: np.ndarray, length: int):
     starts = np.flatnonzero(np.arange(n - length + 1) + length <= end[: n - length + 1])
     at = (least[starts] & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
     if not len(starts):
-        return empty.view(np.uint64), empty, empty, empty, prefix
+        return empty.view(np.uint64), empty, empty, empty
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [len(starts)])) - 1
-    return grams[at[first]], at[first], starts[first], starts[last], prefix
+    return grams[at[first]], at[first], starts[first], starts[last]
 
 
 def _pieces(texts: list[bytes], length: int, limit: int):
@@ -91,16 +90,16 @@ def _pieces(texts: list[bytes], length: int, limit: int):
 
 
 def _scan(texts: list[bytes], length: int, limit: int):
-    """Per block: (data, text index and start within the text for each run, runs, prefix sums)."""
+    """Per block: (data, text index and start within the text for each run, runs)."""
     claim("suffixes")
     for block in _pieces(texts, length, limit):
         sizes = np.array([len(p) for *_, p in block])
         stop = np.cumsum(sizes)
         data = np.frombuffer(b"".join(p for *_, p in block), np.uint8)
-        h, at, s0, s1, prefix = anchors(data, np.repeat(stop, sizes), length)
+        h, at, s0, s1 = anchors(data, np.repeat(stop, sizes), length)
         piece = np.searchsorted(stop, s0, "right")
         shift = np.array([a for _, a, _ in block])[piece] - (stop - sizes)[piece]
-        yield data, np.array([i for i, *_ in block])[piece], shift, h, at, s0, s1, prefix
+        yield data, np.array([i for i, *_ in block])[piece], shift, h, at, s0, s1
 
 
 def _anchor_rows(rows: DataFrame, length: int, limit: int) -> DataFrame:
@@ -133,7 +132,7 @@ def _anchor_rows(rows: DataFrame, length: int, limit: int) -> DataFrame:
     return rows.select("cls", "text").mapInArrow(run, "h long, cls long, twice boolean")
 
 
-def _context_rows(rows: DataFrame, length: int, repeated: np.ndarray, limit: int) -> DataFrame:
+def _context_rows(rows: DataFrame, length: int, repeated: IdFilter, limit: int) -> DataFrame:
     """(h, x, doc_id, cls, s0, n, off, ctx): every run at an anchor that may repeat; ctx only where the task first meets x.
 
     x identifies the bytes and the anchor's place in them; s0 is the first window's start, n the last one's distance from it.
@@ -144,17 +143,17 @@ def _context_rows(rows: DataFrame, length: int, repeated: np.ndarray, limit: int
         import pyarrow as pa
 
         met: set[int] = set()
-        mask = np.uint64((1 << _ANCHOR_BITS) - 1)
         for batch in batches:
             cls, ids = batch.column("cls").to_numpy(), batch.column("doc_id").to_numpy()
-            for data, text, shift, h, at, s0, s1, prefix in _scan(text_bytes(batch.column("text")), length, limit):
-                keep = np.flatnonzero(in_filter(repeated, h & mask))
+            for data, text, shift, h, at, s0, s1 in _scan(text_bytes(batch.column("text")), length, limit):
+                keep = np.flatnonzero(repeated.holds(h))
                 if not len(keep):
                     continue
                 text, shift, h, at, s0, s1 = (v[keep] for v in (text, shift, h, at, s0, s1))
-                inverse = _tables(len(data) + 1)[1][1]
                 off, n = at - s0, s1 - s0
-                x = mix64(mix64((prefix[s1 + length] - prefix[s0]) * inverse[s0]) + (off * 1000 + n).astype(np.uint64)).view(np.int64)
+                whole = data.tobytes()
+                names = b"".join(hashlib.blake2b(whole[a : b + length], digest_size=8).digest() for a, b in zip(s0.tolist(), s1.tolist(), strict=True))
+                x = mix64(np.frombuffer(names, "<u8") + (off * (length + 1) + n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 doc, start = ids[text], s0 + shift
                 order = np.lexsort((start, doc, x))  # of equal contexts of the block only the first goes on; the others are covered
                 same = np.zeros(len(order), bool)
@@ -166,7 +165,6 @@ def _context_rows(rows: DataFrame, length: int, repeated: np.ndarray, limit: int
                     size = (n[done] + length).astype(np.int32)
                     columns = [mix64(doc[done].view(np.uint64) + start[done].view(np.uint64)).view(np.int64), np.zeros(len(done), np.int64), doc[done], cls[text[done]], start[done], np.full(len(done), -1, np.int32), size]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(done), pa.binary())], names=["h", "x", "doc_id", "cls", "s0", "n", "off", "ctx"])
-                whole = data.tobytes()
                 ctx = [None if k in met or met.add(k) else whole[a : b + length] for k, a, b in zip(x[on].tolist(), s0[on].tolist(), s1[on].tolist(), strict=True)]
                 columns = [h[on].view(np.int64), x[on], doc[on], cls[text[on]], start[on], n[on].astype(np.int32), off[on].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(ctx, pa.binary())], names=["h", "x", "doc_id", "cls", "s0", "n", "off", "ctx"])
@@ -342,41 +340,33 @@ def _cover(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, cls long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _gather(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bit set of 2**bits bits over (bit)."""
-    words = ids.groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("v")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
-    return out
+def _names(text, turn: int):
+    """The columns (c1, c2) of a text's identity, and ``cls`` made of them (see ``exact_nodes``)."""
+    a, b = F.xxhash64(text), F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
+    return a, b, a.bitwiseXOR(F.shiftleft(b, turn).bitwiseOR(F.shiftrightunsigned(b, 64 - turn))) if turn else a
 
 
 def dedup(docs: DataFrame, length: int = 100, piece: int = 2_000_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row per document. Longer texts are read in pieces of ``piece`` bytes."""
     text = F.coalesce("text", F.lit(""))
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("cls"), text.alias("text"))
-    facts = cut(rows.select("doc_id", "cls", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    sha, (a, b, _) = F.sha2("text", 256).alias("sha"), _names("text", 0)
+    facts = cut(source.select("doc_id", a.alias("c1"), b.alias("c2"), F.octet_length("text").cast("long").alias("n_bytes"), sha))
+    facts, turn = exact_nodes(facts)
+    rows = source.withColumn("cls", _names("text", turn)[2])
     key = F.coalesce("doc_id", F.lit(_NO_ID))
     classes = cut(facts.groupBy("cls").agg(F.min(key).alias("fd")))
     long = rows.where(F.octet_length("text") >= length)
 
     seen = _anchor_rows(long, length, piece).groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.bool_or("twice").alias("twice")).where("a != b OR twice")
-    repeated = _gather(seen.select(F.col("h").bitwiseAND(F.lit((1 << _ANCHOR_BITS) - 1)).alias("bit")), _ANCHOR_BITS)
+    repeated = IdFilter(cut(seen.select("h")), "h", raw=True)
     runs = _context_rows(long.select(key.alias("doc_id"), "cls", "text"), length, repeated, piece)
     parts = _repeats(runs.repartition("h").sortWithinPartitions("h", "x", "doc_id", "s0"), length)
     spans = parts.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     # copies go whole, whatever their windows say
     spans = cut(spans.join(classes, "cls").where("doc_id = fd"))
 
-    wanted = id_filter(spans.select(bit_of("fd").alias("bit")))
-    bits = bit_of(key)
-
-    def touched(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            yield batch.take(pa.array(np.flatnonzero(in_filter(wanted, batch.column("bit").to_numpy())))).select(["doc_id", "cls", "text"])
-
-    texts = rows.select("doc_id", "cls", "text", bits.alias("bit")).mapInArrow(touched, "doc_id long, cls long, text string")
+    texts = IdFilter(spans, "fd").passing(rows.withColumn("_key", key), "_key", ("doc_id", "cls", "text"))
     spans = spans.select("cls", "fd", "spans")
     covered = _cover(texts.join(spans, (texts["cls"] == spans["cls"]) & (F.coalesce(texts["doc_id"], F.lit(_NO_ID)) == spans["fd"])).select("doc_id", texts["cls"], "text", "spans"))
     covered = covered.dropDuplicates(["doc_id", "cls"]).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_key"), F.col("cls").alias("_cls"), "n_removed", "n_spans", "kept_sha256")

@@ -1,8 +1,9 @@
 """Vectorised tokenising and shingling of batches of texts.
 
 A batch is one byte buffer; words are the runs of bytes outside
-``[\\x20\\x09-\\x0D]``. Word hashes come from prefix sums of a polynomial
-modulo 2**64, so no Python code runs per word.
+``[\\x20\\x09-\\x0D]``. A word's hash sums finalised 8-byte chunks, each mixed
+with its place, so no Python code runs per word, and unlike a polynomial modulo
+2**64 it has no texts that collide by their structure.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from .runtime import worker_cache
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_GAP = bytes(int(c in _SPACES) for c in range(256))
+#: The bytes of a little-endian 64-bit integer that a word of 0 to 8 bytes fills.
+_FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -27,15 +32,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _tables(n: int):
-    """Byte tables and powers of the base and of its inverse, at least ``n`` long."""
+    """A value for each byte, and powers of the base and of its inverse, at least ``n`` long."""
     cache = worker_cache()
     if "text_bytes" not in cache:
-        value = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        lower = np.arange(256)
-        lower[65:91] += 32
-        space = np.zeros(256, bool)
-        space[list(_SPACES)] = True
-        cache["text_bytes"] = (value, value[lower], space)
+        cache["text_bytes"] = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     if len(cache.get("text_powers", ((),))[0]) < n:
         size = max(n, 1 << 20)
         powers = []
@@ -47,34 +47,62 @@ def _tables(n: int):
     return cache["text_bytes"], cache["text_powers"]
 
 
-def words(texts: list[bytes], lower: bool = True, heads: tuple[int, ...] = ()):
-    """Hashes of all words of ``texts`` in order, and where each text's words begin.
-
-    Returns (hashes uint64, first int64[len(texts) + 1]) and, with ``heads``,
-    for each given number of bytes the hashes of the beginnings of the words
-    that are longer, and those words' indexes.
-    """
+def word_hashes(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash of each run of bytes; ``data`` has 8 spare bytes at its end."""
+    chunk = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
+    hashes = mix64((chunk[start] & _FILLED[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        of = np.repeat(np.arange(len(long)), more)
+        at = np.cumsum(more) - more
+        place = np.arange(len(of)) - at[of] + 1
+        values = chunk[start[long][of] + 8 * place] & _FILLED[np.minimum(size[long][of] - 8 * place, 8)]
+        parts = mix64(mix64(values) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        hashes[long] = mix64(hashes[long] + np.add.reduceat(parts, at))
+    return hashes
+
+
+def word_spans(texts: list[bytes], lower: bool = True):
+    """(data, start, size, first): the texts' bytes with 8 spare ones, their words, and where each text's words begin."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(lengths + 1, out=begin[1:])
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    (value, value_lower, space), (power, inverse) = _tables(len(data) + 1)
-    gap = space[data]
+    raw = b" ".join(texts) + b" "
+    gap = np.frombuffer(raw.translate(_GAP), np.uint8)
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    if len(gap) and not gap[0]:
+    if not gap[0]:
         edge = np.concatenate(([0], edge))
     start, end = edge[0::2], edge[1::2]
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((value_lower if lower else value)[data] * power[: len(data)], out=prefix[1:])
-    hashes = mix64((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
-    first = np.searchsorted(start, begin)
+    return (raw.translate(_LOWER) if lower else raw) + bytes(8), start, end - start, np.searchsorted(start, begin)
+
+
+def words(texts: list[bytes], lower: bool = True, heads: tuple[int, ...] = ()):
+    """Hashes of all words of ``texts`` in order, and where each text's words begin.
+
+    Returns (hashes uint64, first int64[len(texts) + 1]) and, with ``heads``,
+    for each given number of bytes (8 at most) the hashes of the beginnings of
+    the words that are longer, and those words' indexes.
+    """
+    data, start, size, first = word_spans(texts, lower)
+    hashes = word_hashes(data, start, size)
     if heads:
-        longer = [np.flatnonzero(end - start > n) for n in heads]
-        begun = [mix64((prefix[start[at] + n] - prefix[start[at]]) * inverse[start[at]] + np.uint64(n << 32)) for n, at in zip(heads, longer, strict=True)]
+        longer = [np.flatnonzero(size > n) for n in heads]
+        begun = [mix64(word_hashes(data, start[at], np.full(len(at), n)) + np.uint64(n << 32)) for n, at in zip(heads, longer, strict=True)]
         return hashes, first, list(zip(begun, longer, strict=True))
     return hashes, first
 
 
+def runs_hash(hashes: np.ndarray, begin: np.ndarray, salt: int) -> np.ndarray:
+    """The hash of each run of words that begins at ``begin`` and ends where the next one does; runs are not empty."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    size = np.diff(np.append(begin, len(hashes)))
+    place = np.arange(begin[0], len(hashes)) - np.repeat(begin, size)
+    mixed = mix64(hashes[begin[0] :] + (place + 1).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + np.uint64(salt))
+    return mix64(np.add.reduceat(mixed, begin - begin[0]) + size.astype(np.uint64))
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """The index of the text of each word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -138,11 +166,22 @@ def segments(values: np.ndarray, first: np.ndarray, how) -> np.ndarray:
     return out
 
 
-def set_ids(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit identity for each text's set of values (as signed integers)."""
+def set_ids(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit identity for each text's set of values, as two arrays of signed integers."""
     n = np.diff(first).astype(np.uint64)
-    total = segments(mix64(values ^ np.uint64(0x8CB92BA72F3D8DD7)), first, np.add)
-    return mix64(total + n * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+    out = []
+    for salt in (0x8CB92BA72F3D8DD7, 0x5851F42D4C957F2D):
+        total = segments(mix64(values ^ np.uint64(salt)), first, np.add)
+        out.append(mix64(total + n * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64))
+    return out[0], out[1]
+
+
+def node_of(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+    """One integer of a 128-bit identity: ``a``, changed by ``b`` turned by ``turn`` bits where that is not 0 (see ``links.exact_nodes``)."""
+    if not turn:
+        return a
+    u = b.view(np.uint64)
+    return a ^ ((u << np.uint64(turn)) | (u >> np.uint64(64 - turn))).view(np.int64)
 
 
 class Repeats:
