@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, jaccard_join, langid, mixing, secrets
-from weftgraph.llm.links import maybe_in
+from weftgraph.llm.links import IdFilter
 from weftgraph.llm.runtime import DOCUMENT_COLUMNS, crc_mod, cut, table
 
 
@@ -26,16 +26,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram Jaccard join stays: the one with the smallest id, once.
 
-    Rows without an id stay, as nothing names them. Only texts whose ids a fixed-size filter of the
-    ids to judge lets through are shuffled.
+    A document is known by its id and a hash of its text, so rows with one id and unlike texts are
+    judged each; rows without an id come last. Documents without words stay. Only texts that a
+    bit set of the documents to judge lets through are shuffled.
     """
-    linked = jaccard_join.join(docs).where("doc_id IS NOT NULL")
-    judged = linked.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"))
-    judged = cut(judged.where("n > 1 OR stays = 0"))
-    marked = maybe_in(docs.select(*DOCUMENT_COLUMNS), "doc_id", judged)
-    clear = marked.where("NOT maybe OR doc_id IS NULL").select(*DOCUMENT_COLUMNS)
-    doubt = marked.where("maybe AND doc_id IS NOT NULL").join(judged.where("stays = 0").select("doc_id"), "doc_id", "left_anti")
-    return clear.unionByName(doubt.dropDuplicates(["doc_id"]).select(*DOCUMENT_COLUMNS))
+    keyed = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
+    linked = jaccard_join.components_of(keyed, keep=("_row",)).where("n_shingles > 0")
+    linked = cut(linked.select("comp", "_row", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_at")))
+    heads = linked.groupBy("comp").agg(F.min("_at").alias("_at"))
+    heads = linked.join(heads, ["comp", "_at"]).groupBy("comp").agg(F.min("_row").alias("_row"))
+    rows = linked.groupBy("comp", "_row").agg(F.count("*").alias("n"))
+    judged = rows.join(heads.withColumn("stays", F.lit(True)), ["comp", "_row"], "left")
+    judged = cut(judged.where("n > 1 OR stays IS NULL").select("_row", F.coalesce("stays", F.lit(False)).alias("stays")))
+    marked = IdFilter(judged, "_row", most=26).marked(keyed, "_row")
+    doubt = marked.where("maybe").join(judged, "_row", "left")
+    once = doubt.where("stays").dropDuplicates(["_row"])
+    clear = marked.where("NOT maybe").select(*DOCUMENT_COLUMNS)
+    return clear.unionByName(doubt.where("stays IS NULL").select(*DOCUMENT_COLUMNS)).unionByName(once.select(*DOCUMENT_COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
