@@ -291,25 +291,73 @@ def test_language_awkward(awkward, empty):
     assert {r["lang_pred"] for r in langid.identify(awkward, {}).collect()} == {"und"}
 
 
+def phrases_by_hand(text, clean):
+    phrases, i = 0, 0
+    while i < len(text):
+        n = 1
+        while i + n <= len(text) and text[i : i + n] in clean:
+            n += 1
+        i += max(1, n - 1)
+        phrases += 1
+    return phrases
+
+
 def test_suffix_automaton_parse():
-    """The phrases of the automaton are those of a longest-match search."""
+    """The phrases of the automaton are those of a longest-match search, in texts of many lanes and of unknown letters too."""
     import random
 
     rng = random.Random(1)
-    train = "".join(rng.choice("abcd ") for _ in range(400))
+    train = "".join(rng.choice("abcd ") for _ in range(1500)) + "bad cab " * 150
     model = langid.Model({"x": train})
     clean = re.sub(" +", " ", train)
-    for _ in range(20):
-        text = re.sub(" +", " ", "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 200)))).lstrip() or "a"
-        phrases, i = 0, 0
-        while i < len(text):
-            n = 1
-            while i + n <= len(text) and text[i : i + n] in clean:
-                n += 1
-            i += max(1, n - 1)
-            phrases += 1
-        cost, size = model.costs([text])
-        assert size[0] == len(text) and round(cost[0][0] * size[0] / model.bits[0]) == phrases
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 200))) for _ in range(20)]
+    texts += ["".join(rng.choice("abcdé ") for _ in range(1000)) for _ in range(8)]
+    texts += ["bad cab " * 400, "abcd" + "bad cab " * 300 + "é" + clean[100:900], clean[:1400], clean[3:700] + clean[5:600], "é" * 700, "a" * 3000]
+    texts = [re.sub(" +", " ", t).lstrip() or "a" for t in texts]
+    costs, sizes = model.costs(texts)
+    for text, cost, size in zip(texts, costs[0], sizes, strict=True):
+        strange = sum(c not in clean for c in text)
+        assert size == len(text) and round((cost * size - langid.LITERAL * strange) / model.bits[0], 6) == phrases_by_hand(text, clean)
+
+
+def test_language_by_plain_parse(spark):
+    """The language of each document of the table is that of the least cost by plain longest-match search; the first of equal ones."""
+    from math import log2
+
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    sample = langid.training_sample(df, langid.F.lit(True), chars=3000)
+    low = lambda t: re.sub(r"[\W\d_]+", " ", t.lower())
+    data = [(r["doc_id"], r["text"]) for r in df.collect() if r["text"] and len(r["text"]) < 3000]
+    data = [(d, t) for d, t in data if langid.normalise(t).tolist() == [0 if c == " " else ord(c) for c in low(t).lstrip(" ")]][:60]
+    assert len(data) > 30
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(data, "doc_id long, text string"), sample).collect()}
+    for d, t in data:
+        text = low(t).lstrip(" ")
+        own = {k: langid_text(t) for k, t in sample.items()}
+        cost = {k: phrases_by_hand(text, t) * log2(len(t)) + langid.LITERAL * sum(c not in t for c in text) for k, t in own.items()}
+        assert not text.strip() or got[d] == min(sorted(cost), key=lambda k: round(cost[k], 6))
+    twins = {"b": "one and the same text", "a": "one and the same text"}
+    tie = spark.createDataFrame([(1, "the same")], "doc_id long, text string")
+    assert langid.identify(tie, dict(sorted(twins.items()))).first()["lang_pred"] == "a"
+
+
+def langid_text(sample):
+    return "".join(" " if c == 0 else chr(c) for c in langid.normalise(sample).tolist())
+
+
+def test_language_of_long_texts_and_large_alphabets(spark):
+    """A language of long documents only is learnt, and languages of many letters are told apart."""
+    import random
+
+    rng = random.Random(2)
+    data = [(i, "la li lu " * 2000, "xx") for i in range(6)] + [(i, "one two three four", "yy") for i in range(10, 30)]
+    scripts = {"p": [chr(0x4E00 + i) for i in range(1500)], "q": [chr(0x4E00 + 1500 + i) for i in range(1500)]}
+    data += [(1000 * (j + 1) + i, "".join(rng.choice(letters) for _ in range(60)), name) for j, (name, letters) in enumerate(scripts.items()) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    sample = langid.training_sample(df, langid.F.col("doc_id") % 2 == 0)
+    assert sorted(sample) == ["p", "q", "xx", "yy"] and all(len(t) <= 33_000 for t in sample.values())
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, sample).collect()}
+    assert all(got[d] == la for d, _, la in data)
 
 
 def test_digest_columns(spark):

@@ -161,7 +161,7 @@ def test_byte_dedup_of_texts_in_pieces(spark):
 def top_by_hand(data, k=5, every=50):
     from math import floor, isfinite
 
-    vectors = [(i, [floor(256 * x) for x in v]) for i, v in data if v is not None and all(x is not None and isfinite(x) and abs(x) < 4096 for x in v)]
+    vectors = [(i, [floor(256 * x) for x in v]) for i, v in data if v is not None and all(x is not None and isfinite(x) for x in v)]
     out = []
     for q, v in {i: v for i, v in vectors if i % every == 0}.items():
         scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors if i != q and len(w) == len(v))
@@ -187,6 +187,20 @@ def test_top_k_awkward(spark):
     assert knn.top_k(df.where("vec_id < 0")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Components of any finite size take part, and products are exact beyond 2**53."""
+    rng = random.Random(6)
+    big = lambda: [rng.choice([0.5, -1.0, 5000.0, 1e6, -1e6, 123456.789]) for _ in range(3)]
+    data = [(0, [1.0, 0.0, 0.0]), (1, [5000.0, 0.0, 0.0]), (2, [0.5, 0.0, 0.0])] + [(i, big()) for i in range(3, 220)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    want = top_by_hand(data)
+    assert max(abs(w[3]) for w in want) > 1 << 53
+    assert sorted(map(tuple, knn.top_k(df).collect())) == want
+    assert sorted(map(tuple, knn.top_k(df, cell_rows=10, block=16).collect())) == want
+    huge = spark.createDataFrame([(50, [1e300, 1.0]), (1, [1e300, 1.0]), (2, [-1e300, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in knn.top_k(huge).orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
 # paragraph dedup
 
 

@@ -73,23 +73,41 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - apart / both))
 
 
+def _at_most(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending bounds are at most ``value``, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    array = F.array(*[F.lit(b) for b in bounds]).cast("array<long>")
+    zero = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(acc, _):
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        below = (acc["lo"] < acc["hi"]) & (F.get(array, mid) <= value)
+        lo, hi = F.when(below, mid + 1).otherwise(acc["lo"]), F.when((acc["lo"] < acc["hi"]) & ~below, mid).otherwise(acc["hi"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    return F.when(value.isNotNull(), F.aggregate(steps, zero, halve, lambda acc: acc["lo"]))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, bucket, at, next): every document with the text of the next one in descending doc_id.
 
     Ranges of ids (bounds: at most 10,000 quantiles, on the driver) are sorted
     each on its own; one text is moved once. The first text of each range, at
-    most one a range, follows the last of the range above it.
+    most one a range, follows the last of the range above it; it is found by a
+    broadcast of the ranges' greatest ids.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = min(10_000, max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = texts.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"] or []
-    bounds = F.array(*[F.lit(int(x)) for x in sorted(set(cuts))]).cast("array<long>")
-    ranged = texts.withColumn("bucket", F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)))
+    bounds = [int(x) for x in sorted(set(cuts))]
+    ranged = texts.withColumn("bucket", F.coalesce(_at_most(bounds, F.col("doc_id")), F.lit(0)))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     heads = ranged.groupBy("bucket").agg(F.max("doc_id").alias("head"))
     few = heads.withColumnRenamed("bucket", "_b")
-    head_rows = ranged.join(few, (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    head_rows = ranged.join(F.broadcast(few), (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("head")))
     head_texts = head_rows.groupBy("bucket").agg(F.min("text").alias("first_text"))
     down = Window.orderBy("bucket")
     top = F.last("first_text").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -217,7 +217,7 @@ def components_of(docs: DataFrame, k: int = SHINGLE, frequent: int = 64, keep: t
     rows = cut(_classes(docs, k, 4, keep))
     documents, turn = exact_nodes(rows.where(~F.col("member")).drop("member"))
     frequent_bits = frequent_members(rows.where("member").select(F.col("c1").alias("cls"), "n"), frequent)
-    classes = documents.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"))
+    classes = cut(documents.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc")))
     groups = freed(cut(grouped(_signature_rows(docs, k, frequent_bits, turn))))
 
     def payloads(sketches):

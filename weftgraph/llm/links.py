@@ -79,6 +79,17 @@ def grouped(sigs: DataFrame) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig", "rank", "cls").mapInArrow(run, "sig long, hub long, cls long")
 
 
+def grouped_by_ends(sigs: DataFrame) -> DataFrame:
+    """(sig, hub, cls) as ``grouped``, for (sig, cls) rows that can be read twice; hub is the least class.
+
+    The groups' ends are found by partial aggregates, and only rows of shared
+    signatures are shuffled, by a join that splits a very large group.
+    """
+    ends = sigs.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("_hi")).where("hub != _hi").select("sig", "hub")
+    ends = cut(ends)
+    return IdFilter(ends, "sig", raw=True).rows_of(sigs, "sig").join(ends, "sig").select("sig", "hub", "cls")
+
+
 def hub_pairs(groups: DataFrame) -> DataFrame:
     """(a, b), a < b: every class with its groups' hubs."""
     return groups.where("cls != hub").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
@@ -215,8 +226,8 @@ class IdFilter:
     """
 
     def __init__(self, ids: DataFrame, column: str = "id", raw: bool = False, most: int = FILTER_MOST):
-        self.raw = raw
-        self.bits = min(most, max(FILTER_LEAST, (FILTER_PER_ID * ids.count()).bit_length()))
+        self.raw, self.count = raw, ids.count()
+        self.bits = min(most, max(FILTER_LEAST, (FILTER_PER_ID * self.count).bit_length()))
         one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))
         words = ids.select(self.bit(column).alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(F.bit_or(one).alias("v")).toArrow()
         self.table = np.zeros(1 << (self.bits - 6), np.uint64)  # 2**(FILTER_MOST - 6) rows at most
@@ -233,8 +244,24 @@ class IdFilter:
         """Which of the raw integers may be among the ids."""
         return self._set(values.view(np.uint64) & np.uint64((1 << self.bits) - 1))
 
-    def passing(self, df: DataFrame, column: str, keep: tuple[str, ...]) -> DataFrame:
-        """``keep`` columns of the rows of ``df`` whose ``column`` may be one of the ids."""
+    def rows_of(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of ``df`` whose raw integer ``column`` may be among the ids."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield batch.take(pa.array(np.flatnonzero(self.holds(batch.column(column).to_numpy()))))
+
+        return df.mapInArrow(run, df.schema)
+
+    def passing(self, df: DataFrame, column: str, keep: tuple[str, ...], few: int = 65_536) -> DataFrame:
+        """``keep`` columns of the rows of ``df`` whose ``column`` may be one of the ids.
+
+        Up to ``few`` ids' rows are picked by a broadcast of the bit set's words, before Python sees any.
+        """
+        if self.count <= few:
+            return self.marked(df, column).where("maybe").select(*keep)
 
         def run(batches):
             import pyarrow as pa

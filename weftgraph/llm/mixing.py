@@ -46,18 +46,21 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs
     return filled.select("source", "source_size", F.when(F.col("_full"), F.col("_cap")).otherwise(F.least(share, F.col("_cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3, seed: int = 17, bins: int = 1024, broadcast_sources: int = 10_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3, seed: int = 17, bins: int = 1024, broadcast_sources: int = 10_000, bin_rows: int = 10_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, *keep, size, source_size, target, repeats, taken): how often the mix takes each document.
 
-    A source's documents are spread over ``bins`` hash bins; running sums of the
-    bins tell which are taken whole, and only the one bin that a source's target
-    cuts is ordered document by document. So ``keep`` columns are not shuffled,
-    but for that bin's. The source table is broadcast when it has at most
+    A source's documents are ordered by a hash and its leading bits make bins,
+    ``bins`` of them or as many more as make them of about ``bin_rows`` rows;
+    running sums of the bins tell which are taken whole, and only the one bin that
+    a source's target cuts is ordered document by document. So ``keep`` columns
+    are not shuffled, but for that bin's, and the number of bins does not change
+    the result. The source table is broadcast when it has at most
     ``broadcast_sources`` rows, else joined with skew handling.
     """
     h = F.xxhash64(F.lit(seed), "doc_id")
     sized = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"))
-    sized = sized.withColumn("_h", h).withColumn("_bin", F.pmod("_h", F.lit(bins)))
+    bits = min(24, max(bins, docs.count() // bin_rows).bit_length() - 1)
+    sized = sized.withColumn("_h", h).withColumn("_bin", F.shiftrightunsigned("_h", 64 - bits))
     binned = cut(sized.groupBy("source", "_bin").agg(F.sum("size").alias("_bin_size")))
     plan = targets(binned.groupBy("source").agg(F.sum("_bin_size").alias("source_size")), weights, max_epochs)
     plan = plan.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard_join import exact_test, first_seen
-from .links import IdFilter, bit_sketch, exact_nodes, grouped, resolve
+from .links import IdFilter, bit_sketch, exact_nodes, grouped_by_ends, resolve
 from .runtime import claim, cut, freed, small_batches
 from .textnp import _tables, blocks, distinct, mix64, ngrams, node_of, owners, runs_hash, text_bytes, word_hashes, word_spans
 
@@ -270,10 +270,9 @@ def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995) -> DataF
     bands, rows = tune(recall=recall)
     docs = small_batches(docs)
     found, turn = exact_nodes(cut(paragraph_rows(docs, min_words, bands, rows)))
-    sigs = found.select("cls", F.explode("keys").alias("sig")).select("sig", F.lit(0).cast("byte").alias("rank"), "cls")
-    groups = freed(cut(grouped(sigs)))
+    groups = freed(cut(grouped_by_ends(found.select(F.explode("keys").alias("sig"), "cls"))))
     found = found.drop("keys")
-    classes = found.groupBy("cls").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count("*").alias("members"))
+    classes = cut(found.groupBy("cls").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count("*").alias("members")))
 
     def payloads(sketches):
         def make(nodes):

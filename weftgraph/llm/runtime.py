@@ -66,7 +66,11 @@ def claim(owner: str) -> None:
 
 
 def give_back_memory() -> None:
-    """Return freed memory to the system, now and for large arrays from now on; without this, pools keep it."""
+    """Return freed memory to the system now, and keep Arrow from pooling it.
+
+    The thresholds are fixed, so that they do not grow with what is freed, and are above the
+    size of a block's arrays: mapping each of those anew costs more time than the work on them.
+    """
     import ctypes
 
     import pyarrow as pa
@@ -74,8 +78,8 @@ def give_back_memory() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: fixed, so that it does not grow with what is freed
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
         libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass

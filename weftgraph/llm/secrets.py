@@ -43,43 +43,75 @@ ALLOW = (
 _SLOT0, _SLOTS = 42, 80  # '+' is 43 and 'z' is 122
 
 
-def _starts(text: Column, pattern: str, ends_of: Column) -> Column:
-    """array<struct<s,e>>: code-point spans of the pattern's matches, whose texts are ``ends_of``."""
+_CHUNK = 128
+
+
+def _running(values: Column, zero: int, merge) -> Column:
+    """The running ``merge`` of an array of integers.
+
+    An array grows by copying, so this runs over chunks and their totals: n**2 / 16,000 copies and not n**2 / 2.
+    """
+    parts = F.transform(F.sequence(F.lit(0), F.shiftright(F.greatest(F.size(values) - 1, F.lit(0)), 7)), lambda i: F.slice(values, i * _CHUNK + 1, F.lit(_CHUNK)))
+    none = F.array().cast("array<int>")
+
+    def walk(items, start, by, inclusive):
+        def step(acc, x):
+            now = merge(acc["p"], by(x))
+            return F.struct(now.alias("p"), F.concat(acc["out"], F.array(now if inclusive else acc["p"])).alias("out"))
+
+        return F.aggregate(items, F.struct(start.alias("p"), none.alias("out")), step, lambda acc: acc["out"])
+
+    total = lambda chunk: F.aggregate(chunk, F.lit(zero), lambda acc, x: merge(acc, x))
+    return let(parts, lambda c: F.flatten(F.zip_with(c, walk(c, F.lit(zero), total, False), lambda chunk, start: walk(chunk, start, lambda x: x, True))))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """array<struct<s,e,w>>: code-point spans of the pattern's matches, and the matches."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    zero = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    none = F.array().cast("array<struct<s:int,e:int,w:string>>")
+
+    def spans(found):
+        ends = _running(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, w: g + F.length(w)), 0, lambda p, x: p + x)
+        return F.zip_with(ends, found, lambda e, w: F.struct((e - F.length(w)).alias("s"), e.alias("e"), w.alias("w")))
 
-    def step(acc, x):
-        s = acc["p"] + x["g"]
-        return F.struct((s + x["m"]).alias("p"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + x["m"]).alias("e")))).alias("out"))
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)).otherwise(none)
 
-    pairs = F.filter(F.zip_with(gaps, ends_of, lambda g, m: F.struct(g.alias("g"), F.length(m).alias("m"))), lambda x: x["m"].isNotNull())
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
+def _count_below(sorted_values: Column, value: Column) -> Column:
+    """How many of an ascending array's integers are below ``value``, by bisection."""
+    zero = F.struct(F.lit(0).alias("lo"), F.size(sorted_values).alias("hi"))
 
-def _spans(text: Column, pattern: str) -> Column:
-    found = _starts(text, pattern, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    def halve(acc, _):
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        up = (acc["lo"] < acc["hi"]) & (F.get(sorted_values, mid) < value)
+        return F.struct(F.when(up, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when((acc["lo"] < acc["hi"]) & ~up, mid).otherwise(acc["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_values) + 2)).cast("int")), zero, halve, lambda acc: acc["lo"])
 
 
 def _window(word: Column, window: int) -> Column:
     """struct<first,last>: where the windows over the threshold begin and end in a candidate; first is -1 if none."""
+    slots = F.transform(F.split(word, ""), lambda c: F.ascii(c) - _SLOT0)
+    return let(slots, lambda x: _windows(word, x, window))
+
+
+def _windows(word: Column, slots: Column, window: int) -> Column:
     xlog = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
     threshold = F.when(word.rlike(CLASSES[0][0]), CLASSES[0][1]).when(word.rlike(CLASSES[1][0]), CLASSES[1][1]).otherwise(CLASSES[2][1])
     most = (F.lit(math.log2(window)) - threshold) * window
     zero = F.struct(F.array_repeat(F.lit(0), _SLOTS).alias("n"), F.lit(0.0).alias("x"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
 
-    def bump(n, x, char, by):
-        at = F.ascii(char) - _SLOT0
+    def bump(n, x, at, by):
         old = F.element_at(n, at)
         n2 = F.concat(F.slice(n, F.lit(1), at - 1), F.array(old + by), F.slice(n, at + 1, F.lit(_SLOTS)))
         return n2, x - F.element_at(xlog, old + 1) + F.element_at(xlog, old + 1 + by)
 
     def enter(acc, i):
-        n, x = bump(acc["n"], acc["x"], F.substring(word, i, F.lit(1)), 1)
+        n, x = bump(acc["n"], acc["x"], F.get(slots, i - 1), 1)
         return F.struct(n.alias("n"), x.alias("x"), acc["first"].alias("first"), acc["last"].alias("last"))
 
     def leave(acc, i):
-        n, x = bump(acc["n"], acc["x"], F.substring(word, i - window, F.lit(1)), -1)
+        n, x = bump(acc["n"], acc["x"], F.get(slots, i - 1 - window), -1)
         return F.struct(n.alias("n"), x.alias("x"), acc["first"].alias("first"), acc["last"].alias("last"))
 
     def judge(acc, i):
@@ -105,13 +137,11 @@ def scan(docs: DataFrame, window: int = 20, allow: tuple[str, ...] = ALLOW, keep
     df = docs.select("doc_id", *keep, text.alias("_text"))
     t = F.col("_text")
     group2 = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))
-    whole = _starts(t, ASSIGN, F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0)))
-    assign = F.transform(F.filter(F.arrays_zip(whole.alias("w"), group2.alias("g")), lambda x: F.length(x["g"]) >= 12), lambda x: x["w"])
-    df = df.withColumn("_assign", F.when(t.rlike(ASSIGN), assign).otherwise(F.array().cast("array<struct<s:int,e:int>>")))
-    df = df.withColumn("_access", _spans(t, ACCESS)).withColumn("_hex", _spans(t, HEX)).withColumn("_cand", _spans(t, CANDIDATE))
+    assign = F.filter(F.zip_with(_matches(t, ASSIGN), group2, lambda x, g: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.length(g).alias("n"))), lambda x: x["n"] >= 12)
+    df = df.withColumn("_assign", F.when(t.rlike(ASSIGN), assign).otherwise(F.array().cast("array<struct<s:int,e:int,n:int>>")))
+    df = df.withColumn("_access", _matches(t, ACCESS)).withColumn("_hex", _matches(t, HEX)).withColumn("_cand", _matches(t, CANDIDATE))
     kind = lambda name, k: F.transform(F.col(name), lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
-    df = df.withColumn("_base", F.concat(kind("_assign", 0), kind("_access", 1), kind("_hex", 2)))
-    cands = F.transform(F.col("_cand"), lambda c: F.struct(c["s"].alias("s"), F.substring(t, c["s"] + 1, c["e"] - c["s"]).alias("w")))
+    df = df.withColumn("_base", F.array_sort(F.concat(kind("_assign", 0), kind("_access", 1), kind("_hex", 2))))
 
     def plausible(c):
         ok = c["w"].rlike("[0-9]") & c["w"].rlike("[A-Za-z]")
@@ -119,12 +149,19 @@ def scan(docs: DataFrame, window: int = 20, allow: tuple[str, ...] = ALLOW, keep
             ok = ok & ~c["w"].rlike(pattern)
         return ok
 
-    scanned = F.transform(F.filter(cands, plausible), lambda c: F.struct(c["s"].alias("s"), _window(c["w"], window).alias("r")))
+    scanned = F.transform(F.filter("_cand", plausible), lambda c: F.struct(c["s"].alias("s"), _window(c["w"], window).alias("r")))
     found = F.transform(F.filter(scanned, lambda x: x["r"]["first"] >= 0), lambda x: F.struct((x["s"] + x["r"]["first"]).alias("s"), F.lit(3).alias("k"), (x["s"] + x["r"]["last"]).alias("e")))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     df = df.withColumn("_found", F.when(F.size("_cand") > 0, found).otherwise(none))
-    fresh = F.filter(F.col("_found"), lambda x: ~F.exists(F.col("_base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return df.withColumn("spans", F.array_sort(F.concat(F.col("_base"), fresh))).select("doc_id", *keep, "spans")
+
+    def fresh(starts):
+        # of the base spans that begin before a span ends, the one that reaches farthest must end before it begins
+        reach = _running(F.transform("_base", lambda b: b["e"]), 0, lambda p, x: F.greatest(p, x))
+        return let(reach, lambda ends: F.filter("_found", lambda x: F.coalesce(F.get(ends, _count_below(starts, x["e"]) - 1), F.lit(0)) <= x["s"]))
+
+    both = F.array_sort(F.concat("_base", let(F.transform("_base", lambda b: b["s"]), fresh)))
+    spans = F.when((F.size("_found") == 0) | (F.size("_base") == 0), F.concat("_base", "_found")).otherwise(both)
+    return df.withColumn("spans", spans).select("doc_id", *keep, "spans")
 
 
 def digest(spans: Column) -> Column:
@@ -133,17 +170,38 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(name, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones as one, replaced by ``mark``."""
-    kept = "array<struct<s:int,e:int>>"
+def redact(text: Column, spans: Column, mark: str = "[SECRET]", group: int = 256) -> Column:
+    """The text with every span, overlapping ones as one, replaced by ``mark``.
 
-    def merge(acc, x):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (x["s"] < F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1))["e"]))
-        longer = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when(joins, longer).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+    A place in a string is found from its beginning, so the text is first cut
+    into parts of ``group`` spans and these into the pieces that stay.
+    """
 
-    merged = F.aggregate(spans, F.array().cast(kept), merge)
-    bounds = F.concat(F.array(F.lit(0)), F.flatten(F.transform(merged, lambda x: F.array(x["s"], x["e"]))), F.array(F.length(text)))
-    pieces = let(bounds, lambda b: F.transform(F.sequence(F.lit(1), F.size(b), F.lit(2)), lambda i: F.substring(text, F.element_at(b, i) + 1, F.element_at(b, i + 1) - F.element_at(b, i))))
+    def cut(reach):
+        n = F.size(spans)
+        heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(spans, i)["s"] >= F.get(reach, i - 1)))
+        return let(heads, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda j: F.struct(F.get(spans, F.get(h, j))["s"].alias("s"), F.get(reach, F.coalesce(F.get(h, j + 1), n) - 1).alias("e"))))
+
+    def kept(merged):
+        n = F.size(merged)
+
+        def part(i):
+            own = F.slice(merged, i * group + 1, F.lit(group))
+            begin = F.when(i == 0, F.lit(0)).otherwise(F.get(merged, i * group - 1)["e"])
+            end = F.coalesce(F.get(merged, (i + 1) * group - 1)["s"], F.length(text))
+            last = F.when((i + 1) * group >= n, F.length(text)).otherwise(end)
+            return F.struct(begin.alias("begin"), F.substring(text, begin + 1, last - begin).alias("t"), own.alias("own"), ((i + 1) * group >= n).alias("last"))
+
+        def pieces(x):
+            n_own = F.size(x["own"])
+            count = F.when(x["last"], n_own + 1).otherwise(n_own)
+            at = lambda j: F.when(j == 0, x["begin"]).otherwise(F.get(x["own"], j - 1)["e"])
+            to = lambda j: F.coalesce(F.get(x["own"], j)["s"] - at(j), F.length(x["t"]))
+            return F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.substring(x["t"], at(j) - x["begin"] + 1, to(j)))
+
+        parts = F.transform(F.sequence(F.lit(0), F.shiftright(n - 1, group.bit_length() - 1)), part)
+        return F.flatten(F.transform(parts, pieces))
+
+    reach = _running(F.transform(spans, lambda x: x["e"]), 0, lambda p, x: F.greatest(p, x))
+    pieces = let(reach, lambda r: let(cut(r), kept))
     return F.when(F.size(spans) > 0, F.array_join(pieces, mark)).otherwise(text)
