@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def collect() -> tuple[dict, dict]:
     """(queries, SQL) of all catalogue modules."""
-    from . import events, graph, knowledge, tables
+    from . import clusters, events, graph, knowledge, language, levels, stores, tables
 
     queries, sql = {}, {}
-    for module in (graph, events, knowledge, tables):
+    for module in (graph, events, knowledge, tables, language, levels, clusters, stores):
         queries |= module.REGISTRY.queries
         sql |= module.REGISTRY.sql
     return queries, sql

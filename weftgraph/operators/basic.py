@@ -145,3 +145,22 @@ def merge_properties(mine: DataFrame, other: DataFrame, overwrite: bool = True)
     """Both long tables; where both have a key, the other's value wins if ``overwrite``."""
     first, second = (other, mine) if overwrite else (mine, other)
     return first.unionByName(second.join(first, ["id", "key"], "left_anti"))
+
+
+def properties_long(wide: DataFrame, id_column: str = "id") -> DataFrame:
+    """(id, key, value): the long table of a wide one; nulls are left out."""
+    keys = [c for c in wide.columns if c != id_column]
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])
+    return wide.select(F.col(id_column).alias("id"), F.explode(cells).alias("x")).select("id", "x.key", "x.value").where("value IS NOT NULL")
+
+
+def filter_by_property(inc: DataFrame, props: DataFrame, key: str, value=None, column: str = "node_id") -> DataFrame:
+    """The incidences whose node (or edge) has the property, with the given value if there is one."""
+    return inc.join(with_property(props, key, value).withColumnRenamed("id", column), column, "left_semi")
+
+
+def property_statistics(props: DataFrame) -> DataFrame:
+    """(key, entities, distinct_values, coverage): coverage is the share of all entities that have the property."""
+    n = F.broadcast(props.agg(F.countDistinct("id").alias("n")))
+    g = props.where("value IS NOT NULL").groupBy("key").agg(F.countDistinct("id").alias("entities"), F.countDistinct("value").alias("distinct_values")).join(n)
+    return g.select("key", "entities", "distinct_values", ratio(F.col("entities"), F.col("n")).alias("coverage"))

@@ -251,3 +251,35 @@ def comparison(measures: dict[str, DataFrame]) -> DataFrame:
     ranks = [F.rank().over(Window.orderBy(F.desc_nulls_last(n))).alias(f"_{n}") for n in names]
     ranked = out.select("*", *ranks)
     return ranked.select("node_id", *names, (sum(F.col(f"_{n}") for n in names) / len(names)).alias("mean_rank"))
+
+
+def load(inc: DataFrame, normalized: bool = True) -> DataFrame:
+    """(node_id, score): load centrality: every node sends a unit to every other, split evenly among the neighbours one step nearer.
+
+    State is one row for each (target, node); one join a level, from the farthest level back.
+    """
+    edges = cut(neighbor_edges(inc))
+    far = cut(bfs(edges, inc.select(F.col("node_id").alias("source")).distinct()))
+    near = far.select("source", F.col("node").alias("to"), F.col("depth").alias("d"))
+    steps = far.where("depth > 0").join(edges, far["node"] == edges["a"]).select("source", "node", "depth", F.col("b").alias("to")).join(near, ["source", "to"]).where("d = depth - 1")
+    steps = cut(steps.select("source", "node", "depth", "to").withColumn("share", 1 / F.count("*").over(Window.partitionBy("source", "node"))))
+    most = far.agg(F.max("depth")).first()[0] or 0
+    carried = far.select("source", "node", F.lit(1.0).alias("load"))
+    for depth in range(most, 0, -1):
+        sent = steps.where(F.col("depth") == depth).join(carried, ["source", "node"]).groupBy("source", F.col("to").alias("node")).agg(F.sum(F.col("load") * F.col("share")).alias("more"))
+        carried = cut(carried.join(sent, ["source", "node"], "left").select("source", "node", (F.col("load") + F.coalesce("more", F.lit(0.0))).alias("load")))
+    total = carried.where("source != node").groupBy(F.col("node").alias("node_id")).agg(F.sum(F.col("load") - 1).alias("score"))
+    every = inc.select("node_id").distinct().join(total, "node_id", "left").select("node_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    if not normalized:
+        return every
+    n = F.broadcast(every.agg(F.count("*").alias("n")))
+    return every.join(n).select("node_id", ratio(F.col("score"), (F.col("n") - 1) * (F.col("n") - 2)).alias("score"))
+
+
+def incremental_degree(degrees: DataFrame, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """(node_id, degree) after incidences come and go, from the degrees before and the changes alone."""
+    change = added.groupBy("node_id").agg(F.countDistinct("edge_id").alias("by"))
+    if removed is not None:
+        change = change.unionByName(removed.groupBy("node_id").agg((-F.countDistinct("edge_id")).alias("by"))).groupBy("node_id").agg(F.sum("by").alias("by"))
+    x = degrees.join(change, "node_id", "full").select("node_id", (F.coalesce("degree", F.lit(0)) + F.coalesce("by", F.lit(0))).alias("degree"))
+    return x.where("degree > 0")

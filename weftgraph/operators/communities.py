@@ -256,3 +256,116 @@ def contagion_summary(histories: list[DataFrame]) -> DataFrame:
         out = r if out is None else out.unionByName(r)
     return out.groupBy("step", "state").agg(F.avg("nodes").alias("mean"), F.stddev_pop("nodes").alias("std"), F.min("nodes").alias("min"), F.max("nodes").alias("max"))
 
+
+
+# clusterings of many kinds
+
+
+def similarity_components(pairs: DataFrame, ids: DataFrame, least: float, id_column: str = "node_id") -> DataFrame:
+    """(id, community): components of the pairs (a, b, similarity) that are at least so alike: single linkage cut at one height, any size."""
+    alike = pairs.where(F.col("similarity") >= least)
+    inc = alike.select(F.concat_ws("|", "a", "b").alias("edge_id"), F.explode(F.array("a", "b")).alias("node_id"))
+    comp = connected_components(inc).withColumnRenamed("node_id", id_column)
+    return ids.select(id_column).distinct().join(comp, id_column, "left").select(id_column, F.coalesce("component", id_column).alias("community"))
+
+
+def single_linkage(inc: DataFrame, least: float = 0.5) -> DataFrame:
+    """(node_id, community): nodes joined by chains of edge-set Jaccard of at least ``least``."""
+    from .patterns import node_similarity
+
+    return similarity_components(node_similarity(inc), inc.select("node_id"), least)
+
+
+def edge_communities(inc: DataFrame, least: float = 0.3) -> DataFrame:
+    """(edge_id, community): edges joined by chains of member-set Jaccard of at least ``least``."""
+    from .patterns import edge_jaccard
+
+    pairs = edge_jaccard(inc).select(F.col("e").alias("a"), F.col("f").alias("b"), F.col("jaccard").alias("similarity"))
+    return similarity_components(pairs, inc.select("edge_id"), least, "edge_id")
+
+
+def agglomerative(inc: DataFrame, k: int, linkage: str = "average", metric: str = "jaccard", most_nodes: int = 2000) -> DataFrame:
+    """(node_id, community): bottom-up merging of incidence rows to ``k`` clusters, named by their least node.
+
+    ``linkage`` is single, complete, average or ward; ``metric`` jaccard or euclidean (ward:
+    euclidean). All distances are held at once, so at most ``most_nodes`` nodes; for more,
+    ``single_linkage`` cuts the same tree at a height. Ties merge the least names first.
+    """
+    rows = inc.groupBy("node_id").agg(F.sort_array(F.collect_set("edge_id")).alias("e")).orderBy("node_id").limit(most_nodes + 1).collect()
+    if len(rows) > most_nodes:
+        raise ValueError(f"agglomerative clustering is for at most {most_nodes} nodes")
+    names = [r["node_id"] for r in rows]
+    column = {e: i for i, e in enumerate(sorted({e for r in rows for e in r["e"]}))}
+    x = np.zeros((len(rows), len(column)))
+    for i, r in enumerate(rows):
+        x[i, [column[e] for e in r["e"]]] = 1
+    both, own = x @ x.T, x.sum(1)
+    if metric == "euclidean" or linkage == "ward":
+        d = np.maximum(own[:, None] + own[None, :] - 2 * both, 0)
+        d = d if linkage == "ward" else np.sqrt(d)
+    else:
+        d = 1 - both / np.maximum(own[:, None] + own[None, :] - both, 1)
+    np.fill_diagonal(d, np.inf)
+    size, label = np.ones(len(rows)), np.arange(len(rows))
+    for _ in range(max(0, len(rows) - k)):
+        i, j = divmod(int(d.argmin()), len(rows))
+        i, j = min(i, j), max(i, j)
+        a, b = d[i], d[j]
+        if linkage == "single":
+            new = np.minimum(a, b)
+        elif linkage == "complete":
+            new = np.where(np.isinf(a) | np.isinf(b), np.inf, np.maximum(a, b))
+        elif linkage == "average":
+            new = (size[i] * a + size[j] * b) / (size[i] + size[j])
+        else:
+            with np.errstate(invalid="ignore"):
+                new = ((size[i] + size) * a + (size[j] + size) * b - size * d[i, j]) / (size[i] + size[j] + size)
+            new = np.where(np.isinf(a) | np.isinf(b), np.inf, new)
+        d[i], d[:, i] = new, new
+        d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        label[label == j] = i
+    return inc.sparkSession.createDataFrame([(n, names[label[i]]) for i, n in enumerate(names)], "node_id string, community string")
+
+
+def multi_resolution(inc: DataFrame, levels: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
+    """(resolution, node_id, community): single linkage cut at each height, from one table of similarities."""
+    from .patterns import node_similarity
+
+    pairs, nodes, out = cut(node_similarity(inc, least=min(levels))), cut(inc.select("node_id").distinct()), None
+    for level in levels:
+        part = similarity_components(pairs, nodes, level).select(F.lit(float(level)).alias("resolution"), "node_id", "community")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def adaptive_method(inc: DataFrame, most_dense: int = 2000) -> str:
+    """Which clustering suits: agglomerative for few nodes, label propagation for dense graphs, else components by similarity."""
+    s = inc.agg(F.countDistinct("node_id").alias("n"), F.countDistinct("edge_id").alias("m"), F.count("*").alias("k")).first()
+    if s["n"] <= min(most_dense, 200):
+        return "agglomerative"
+    return "label_propagation" if s["k"] / max(1, s["m"]) <= 10 and s["k"] / max(1, s["n"]) >= 3 else "single_linkage"
+
+
+def adaptive_communities(inc: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
+    """(method, node_id, community) by the method that ``adaptive_method`` names."""
+    method = adaptive_method(inc)
+    run = {"agglomerative": lambda: agglomerative(inc, k), "label_propagation": lambda: label_propagation(inc), "single_linkage": lambda: single_linkage(inc, least)}[method]
+    return run().select(F.lit(method).alias("method"), "node_id", "community")
+
+
+def clustering_analysis(inc: DataFrame, clusterings: dict) -> DataFrame:
+    """(algorithm, communities, coverage, conductance, size_mean, size_std, size_max, size_min, modularity) of each named function of the incidences."""
+    out = None
+    for name, run in clusterings.items():
+        found = cut(run(inc).select("node_id", "community"))
+        row = quality(inc, found).join(edge_modularity(inc, found)).select(F.lit(name).alias("algorithm"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def evaluate(inc: DataFrame, communities: DataFrame) -> DataFrame:
+    """(communities, coverage, conductance, sizes, modularity, newman) of one clustering."""
+    newman = newman_modularity(inc, communities).withColumnRenamed("modularity", "newman")
+    return quality(inc, communities).join(edge_modularity(inc, communities)).join(newman)

@@ -89,3 +89,50 @@ def cycles_by_spectrum(series: DataFrame, key: str, least: int = 2, confidence:
 
     kind = series.schema[key].dataType.simpleString()
     return series.groupBy(key).applyInPandas(run, f"{key} {kind}, period double, share double")
+
+
+def node_curvature(coordinates: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, curvature): the angle defect at each node of (id, vector): 2 pi less the angles between its neighbours in turn, over their number.
+
+    Neighbours go in id order and close to a ring; nodes with fewer than two have curvature 0.
+    """
+    from ..functions import scalars as S
+
+    minus = lambda x, y: F.zip_with(x, y, lambda p, q: p - q)
+    at = coordinates.select(F.col("id").alias("a"), F.col("vector").alias("va"))
+    to = coordinates.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
+    spokes = edges.select("a", "b").distinct().join(at, "a").join(to, "b").select("a", "b", minus(F.col("vb"), F.col("va")).alias("v"))
+    ring = Window.partitionBy("a").orderBy("b")
+    whole = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turned = spokes.withColumn("w", F.coalesce(F.lead("v").over(ring), F.first("v").over(whole)))
+    length = S.norm(F.col("v")) * S.norm(F.col("w")) + 1e-10
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), S.dot(F.col("v"), F.col("w")) / length)))
+    per = turned.select("a", angle.alias("t")).groupBy("a").agg(F.sum("t").alias("t"), F.count("*").alias("n"))
+    bent = per.select(F.col("a").alias("id"), F.when(F.col("n") >= 2, (2 * F.lit(np.pi) - F.col("t")) / F.col("n")).otherwise(0.0).alias("curvature"))
+    return coordinates.select("id").join(bent, "id", "left").select("id", F.coalesce("curvature", F.lit(0.0)).alias("curvature"))
+
+
+def curvature_outliers(curvatures: DataFrame, threshold: float = 2.0, how: str = "zscore") -> DataFrame:
+    """(id, curvature, z) of nodes whose curvature is an outlier by z-score, or by size with ``how`` absolute."""
+    stats = F.broadcast(curvatures.agg(F.avg("curvature").alias("m"), F.stddev_pop("curvature").alias("s")))
+    x = curvatures.join(stats).select("id", "curvature", ratio(F.col("curvature") - F.col("m"), F.col("s")).alias("z"))
+    return x.where((F.abs("z") if how == "zscore" else F.abs("curvature")) > threshold)
+
+
+def geodesic(coordinates: DataFrame, a: str, b: str) -> DataFrame:
+    """(distance) between two nodes of (id, vector), straight through the coordinates."""
+    from ..functions import scalars as S
+
+    x = coordinates.where(F.col("id") == a).select(F.col("vector").alias("va"))
+    return x.join(coordinates.where(F.col("id") == b).select(F.col("vector").alias("vb"))).select(S.euclidean(F.col("va"), F.col("vb")).alias("distance"))
+
+
+def geodesic_forecast(series: DataFrame, steps: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, value): the series (i, value) carried on along its last direction and half its last change of direction."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("i"))
+    last = series.withColumn("r", F.row_number().over(w)).where("r <= 3")
+    pick = lambda r: F.max(F.when(F.col("r") == r, F.col("value")))
+    ends = last.groupBy(*keys).agg(F.max("i").alias("top"), pick(1).alias("x"), pick(2).alias("y"), pick(3).alias("z"))
+    slope, bend = F.col("x") - F.col("y"), F.coalesce((F.col("x") - 2 * F.col("y") + F.col("z")) / 2, F.lit(0.0))
+    ahead = ends.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    return ahead.select(*keys, (F.col("top") + F.col("k")).alias("i"), (F.col("x") + F.coalesce(slope, F.lit(0.0)) * F.col("k") + bend * F.col("k")).alias("value"))

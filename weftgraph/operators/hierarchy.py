@@ -111,3 +111,44 @@ def lineage(links: DataFrame, entity: str, direction: str = "both", most_depth:
             r = bfs(e, start, most_depth).where("depth > 0").select(F.col("node").alias("entity"), F.lit(name).alias("direction"), "depth")
             out = r if out is None else out.unionByName(r)
     return out
+
+
+def subtree(tree: DataFrame, root: str) -> DataFrame:
+    """(child, parent): the links below an entity."""
+    below = descendants(tree, root).select(F.col("entity").alias("child"))
+    return tree.join(below, "child", "left_semi").select("child", "parent")
+
+
+def level_centrality(edges: DataFrame, levels: DataFrame) -> DataFrame:
+    """(entity, level, within, across, score): links inside and out of an entity's level; score is the share of its level's other entities it links to."""
+    x = level_links(edges, levels)
+    both = x.select(F.col("a").alias("entity"), F.col("level_a").alias("level"), "b", F.col("level_b").alias("other")).unionByName(x.select(F.col("b").alias("entity"), F.col("level_b").alias("level"), F.col("a").alias("b"), F.col("level_a").alias("other")))
+    g = both.groupBy("entity", "level").agg(F.countDistinct(F.when(F.col("level") == F.col("other"), F.col("b"))).alias("within"), F.countDistinct(F.when(F.col("level") != F.col("other"), F.col("b"))).alias("across"))
+    n = levels.groupBy("level").agg(F.countDistinct("entity").alias("n"))
+    every = levels.select("entity", "level").distinct().join(g, ["entity", "level"], "left").fillna(0, ["within", "across"]).join(F.broadcast(n), "level")
+    return every.select("entity", "level", "within", "across", ratio(F.col("within"), F.col("n") - 1).alias("score"))
+
+
+def level_communities(edges: DataFrame, levels: DataFrame) -> DataFrame:
+    """(entity, level, community): components of each level's own links."""
+    from .paths import connected_components
+
+    own = level_links(edges, levels).where("level_a = level_b")
+    inc = own.select(F.concat_ws("|", "a", "b").alias("edge_id"), F.explode(F.array("a", "b")).alias("node_id"))
+    comp = connected_components(inc).withColumnRenamed("node_id", "entity")
+    return levels.select("entity", "level").distinct().join(comp, "entity", "left").select("entity", "level", F.coalesce("component", "entity").alias("community"))
+
+
+def search_levels(entities: DataFrame, levels: DataFrame, text: str, filters: dict | None = None, only: list[str] | None = None) -> DataFrame:
+    """(id, name, level, score): the search of names, in chosen levels, of entities whose columns have the filters' values."""
+    from ..plans.knowledge import search
+
+    for column, value in (filters or {}).items():
+        entities = entities.where(F.col(column).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(column) == value)
+    hits = search(entities, text).join(levels.select(F.col("entity").alias("id"), "level"), "id")
+    return (hits if only is None else hits.where(F.col("level").isin(only))).select("id", "name", "level", "score")
+
+
+def search_summary(hits: DataFrame) -> DataFrame:
+    """(level, hits, best, mean) of ``search_levels``."""
+    return hits.groupBy("level").agg(F.count("*").alias("hits"), F.max("score").alias("best"), F.avg("score").alias("mean"))

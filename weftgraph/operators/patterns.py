@@ -190,3 +190,10 @@ def weighted_clustering(inc: DataFrame) -> DataFrame:
     per = closed.select(F.explode(F.array("u", "v1", "v2")).alias("node_id"), value.alias("t")).groupBy("node_id").agg(F.sum("t").alias("t"))
     nodes = inc.select("node_id").distinct().join(deg.withColumnRenamed("a", "node_id"), "node_id", "left").join(per, "node_id", "left")
     return nodes.select("node_id", ratio(2 * F.coalesce("t", F.lit(0.0)), F.col("d") * (F.col("d") - 1)).alias("coefficient"))
+
+
+def structural_summary(inc: DataFrame) -> DataFrame:
+    """(nodes, edges, pairs, pair_density): node pairs that share an edge, and their share of all pairs."""
+    counts = inc.agg(F.countDistinct("node_id").alias("nodes"), F.countDistinct("edge_id").alias("edges"))
+    pairs = co_nodes(inc).select("a", "b").distinct().agg(F.count("*").alias("pairs"))
+    return counts.join(pairs).select("nodes", "edges", "pairs", ratio(2 * F.col("pairs"), F.col("nodes") * (F.col("nodes") - 1)).alias("pair_density"))

@@ -301,3 +301,11 @@ def influence(triples: DataFrame, seeds: DataFrame, decay: float = 0.5, steps: i
         frontier = cut(frontier.join(e, frontier["node"] == e["a"]).groupBy(F.col("b").alias("node")).agg((decay * F.sum(ratio(F.col("activation"), F.col("d")))).alias("activation")))
         total = total.unionByName(frontier)
     return total.groupBy("node").agg(F.sum("activation").alias("activation"))
+
+
+def build_indexes(triples: DataFrame) -> DataFrame:
+    """(kind, key, entity): entities by type, by relation and by object, one table to partition by kind and look keys up in."""
+    types = triples.where(F.col("p") == TYPE).select(F.lit("type").alias("kind"), F.col("o").alias("key"), F.col("s").alias("entity"))
+    facts = triples.where(F.col("p") != TYPE)
+    cells = F.array(F.struct(F.lit("property").alias("kind"), F.col("p").alias("key")), F.struct(F.lit("object").alias("kind"), F.col("o").alias("key")))
+    return types.unionByName(facts.select(F.explode(cells).alias("x"), F.col("s").alias("entity")).select("x.kind", "x.key", "entity")).distinct()

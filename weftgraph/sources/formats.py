@@ -189,6 +189,51 @@ def from_gexf(spark: SparkSession, text: str) -> DataFrame:
     return from_graphml(spark, text)
 
 
+def node_link_rows(inc: DataFrame) -> DataFrame:
+    """(value): one JSON text for each node and each link of the bipartite graph, in the fields of the node-link form of graph libraries."""
+    node = lambda c, side: inc.select(F.col(c).alias("id"), F.lit(side).alias("bipartite")).distinct().select(F.to_json(F.struct("id", "bipartite")).alias("value"))
+    link = inc.select(F.to_json(F.struct(F.col("edge_id").alias("source"), F.col("node_id").alias("target"), "weight")).alias("value"))
+    return node("edge_id", 1).unionByName(node("node_id", 0)).unionByName(link)
+
+
+def from_node_link(rows: DataFrame) -> DataFrame:
+    """Incidences of the links among node-link texts (value)."""
+    x = rows.select(F.from_json("value", "source string, target string, weight double").alias("j")).where("j.source IS NOT NULL")
+    return x.select(F.col("j.source").alias("edge_id"), F.col("j.target").alias("node_id"), F.coalesce("j.weight", F.lit(1.0)).alias("weight"))
+
+
+def pair_list_rows(inc: DataFrame) -> DataFrame:
+    """(value): ``edge node weight`` lines, the plain edge list that graph libraries read; blanks in names become underscores."""
+    name = lambda c: F.regexp_replace(c, r"\s", "_")
+    return inc.select(F.concat_ws(" ", name("edge_id"), name("node_id"), F.col("weight").cast("string")).alias("value"))
+
+
+def from_pair_list(rows: DataFrame) -> DataFrame:
+    parts = F.split("value", " ")
+    return rows.select(F.get(parts, F.lit(0)).alias("edge_id"), F.get(parts, F.lit(1)).alias("node_id"), F.coalesce(F.get(parts, F.lit(2)).try_cast("double"), F.lit(1.0)).alias("weight"))
+
+
+def stream_parquet(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet folder as a stream, some files at a time."""
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).parquet(path)
+
+
+def in_batches(df: DataFrame, rows: int = 10_000):
+    """The rows of a table as Arrow batches, one partition on the driver at a time."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for r in df.toLocalIterator(prefetchPartitions=True):
+        held.append(r.asDict(recursive=True))
+        size += 1
+        if size == rows:
+            yield pa.RecordBatch.from_pylist(held)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held)
+
+
 # construction from tables
 
 

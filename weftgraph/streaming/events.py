@@ -150,3 +150,92 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     """(graph_id, version, ts, state): the newest snapshot of every graph."""
     w = Window.partitionBy("graph_id").orderBy(F.desc("ts"), F.desc("version"))
     return snapshots.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def subscribe(events: DataFrame, edge: str | None = None, node: str | None = None, types: list[str] | None = None) -> DataFrame:
+    """The events of one edge, of edges that hold one node, or of some types."""
+    out = events if edge is None else events.where(F.col("edge_id") == edge)
+    if node is not None:
+        out = out.where(F.array_contains("nodes", node))
+    return out if types is None else out.where(F.col("event_type").isin(types))
+
+
+def to_events(rows: DataFrame, event_id: str, event_type, ts: str, edge: str, nodes, weight=None, graph_id: str = "g", source: str = "table") -> DataFrame:
+    """Rows of a table as events; ``event_type``, ``nodes`` and ``weight`` are columns."""
+    return rows.select(
+        F.col(event_id).cast("string").alias("event_id"), event_type.alias("event_type"), F.col(ts).cast("timestamp").alias("ts"), F.lit(graph_id).alias("graph_id"),
+        F.col(edge).cast("string").alias("edge_id"), nodes.alias("nodes"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"), F.lit(source).alias("source"),
+    )
+
+
+def to_json(events: DataFrame) -> DataFrame:
+    """(value): one JSON text an event, as ``parse`` reads them."""
+    return events.select(F.to_json(F.struct(*[F.col(c) for c in events.columns]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
+
+
+def running_view(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Keep an edge view and the nodes' degrees up to date: one version of ``edges`` and ``degrees`` below ``path`` for each batch.
+
+    A batch touches only its own edges: their old and new members change the
+    degrees, which are not counted again. A batch that runs twice writes its
+    version again from the one before.
+    """
+    from ..operators.basic import node_degrees
+    from ..operators.centrality import incremental_degree
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        w = Window.partitionBy("edge_id").orderBy(F.desc("ts"), F.desc("event_id"))
+        last = batch.where(F.col("event_type").isin("add_edge", "modify_edge", "remove_edge")).withColumn("_r", F.row_number().over(w)).where("_r = 1")
+        last = last.select("edge_id", "nodes", F.coalesce("weight", F.lit(1.0)).alias("weight"), "ts", "event_id", (F.col("event_type") != "remove_edge").alias("live"))
+        members = lambda edges: edges.where("live").select("edge_id", F.explode("nodes").alias("node_id"))
+        if number == 0:
+            edges, degrees = last, node_degrees(members(last))
+        else:
+            old = spark.read.parquet(f"{path}/edges/v{number - 1}")
+            newer = last.join(old.select("edge_id", F.col("ts").alias("_t"), F.col("event_id").alias("_e")), "edge_id", "left").where("_t IS NULL OR struct(ts, event_id) > struct(_t, _e)").drop("_t", "_e")
+            gone = old.join(newer.select("edge_id"), "edge_id", "left_semi")
+            edges = old.join(newer.select("edge_id"), "edge_id", "left_anti").unionByName(newer)
+            degrees = incremental_degree(spark.read.parquet(f"{path}/degrees/v{number - 1}"), members(newer), members(gone))
+        edges.write.mode("overwrite").parquet(f"{path}/edges/v{number}")
+        degrees.write.mode("overwrite").parquet(f"{path}/degrees/v{number}")
+
+    return each_batch(stream, step, checkpoint, trigger=trigger)
+
+
+def running_components(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Keep components of added edges up to date: one version of (node_id, component) below ``path`` for each batch.
+
+    A batch's edges join the labels of their nodes, so only labels that it touches are worked on.
+    """
+    from ..operators.paths import connected_components
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.where(F.col("event_type") != "remove_edge").select("edge_id", F.explode("nodes").alias("node_id")).distinct()
+        if number == 0:
+            connected_components(rows).write.mode("overwrite").parquet(f"{path}/v0")
+            return
+        old = spark.read.parquet(f"{path}/v{number - 1}")
+        named = rows.join(old, "node_id", "left").select("edge_id", "node_id", F.coalesce("component", "node_id").alias("label"))
+        joined = connected_components(named.select("edge_id", F.col("label").alias("node_id"))).select(F.col("node_id").alias("label"), F.col("component").alias("to"))
+        fresh = named.select("node_id", F.col("label").alias("component")).distinct().join(old.select("node_id"), "node_id", "left_anti")
+        every = old.unionByName(fresh)
+        every = every.join(joined, every["component"] == joined["label"], "left").select("node_id", F.coalesce("to", "component").alias("component"))
+        every.write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    return each_batch(stream, step, checkpoint, trigger=trigger)
+
+
+def progress(query) -> dict:
+    """Batches, rows and rates of a streaming query so far."""
+    seen = query.recentProgress
+    return {"batches": len(seen), "rows": sum(p["numInputRows"] for p in seen), "rows_per_second": seen[-1]["processedRowsPerSecond"] if seen else 0.0}
+
+
+def analytics(view: DataFrame) -> DataFrame:
+    """(edges, nodes, incidences, avg_size, max_degree) of an edge view."""
+    sizes = view.groupBy("edge_id").agg(F.count("*").alias("size"))
+    degrees = view.groupBy("node_id").agg(F.countDistinct("edge_id").alias("degree"))
+    e = sizes.agg(F.count("*").alias("edges"), F.coalesce(F.sum("size"), F.lit(0)).alias("incidences"), F.avg("size").alias("avg_size"))
+    return e.join(degrees.agg(F.count("*").alias("nodes"), F.max("degree").alias("max_degree"))).select("edges", "nodes", "incidences", "avg_size", "max_degree")
