@@ -294,12 +294,12 @@ def test_passages_hold_every_shared_window(spark, awkward, empty):
             holders.setdefault(hash(tuple(words[i : i + 50])), set()).add(key)
     want = {k[0] for who in holders.values() if len(who) > 1 for k in who}
     out = paragraphs.passages(df).collect()
-    assert want <= {r["doc_id"] for r in out} and min(r["n_words"] for r in out) >= 34
-    spans = [(0, 60, 10**6 + 4), (0, 80, None), (80, 135, 10**6 + 4)]  # each is found but for 16 words at either end
+    assert want <= {r["doc_id"] for r in out} and min(r["n_words"] for r in out) >= 28
+    spans = [(0, 60, 10**6 + 4), (0, 80, None), (80, 135, 10**6 + 4)]  # each is found but for 22 words at either end
     found = [(r["at"], r["at"] + r["n_words"], r["first_doc"]) for r in out if r["doc_id"] == 10**6 + 5]
     assert len(found) == 3
     for s, e, first in found:
-        assert any(a <= s <= a + 16 and z - 16 <= e <= z and first in (o, 10**6 + 5) for a, z, o in spans)
+        assert any(a <= s <= a + 22 and z - 22 <= e <= z and first in (o, 10**6 + 5) for a, z, o in spans)
     assert paragraphs.passages(empty).count() == 0
     assert {r["doc_id"] for r in paragraphs.passages(awkward).collect()} <= {r[0] for r in AWKWARD}
 

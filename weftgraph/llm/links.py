@@ -79,15 +79,27 @@ def grouped(sigs: DataFrame) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig", "rank", "cls").mapInArrow(run, "sig long, hub long, cls long")
 
 
-def grouped_by_ends(sigs: DataFrame) -> DataFrame:
-    """(sig, hub, cls) as ``grouped``, for (sig, cls) rows that can be read twice; hub is the least class.
+def grouped_by_ends(rows: DataFrame) -> DataFrame:
+    """(sig, hub, cls) as ``grouped``, for rows (cls, keys array<long>) that can be read twice; hub is the least class.
 
     The groups' ends are found by partial aggregates, and only rows of shared
     signatures are shuffled, by a join that splits a very large group.
     """
-    ends = sigs.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("_hi")).where("hub != _hi").select("sig", "hub")
-    ends = cut(ends)
-    return IdFilter(ends, "sig", raw=True).rows_of(sigs, "sig").join(ends, "sig").select("sig", "hub", "cls")
+    ends = rows.select(F.explode("keys").alias("sig"), "cls").groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("_hi"))
+    ends = cut(ends.where("hub != _hi").select("sig", "hub"))
+    there = IdFilter(ends, "sig", raw=True)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = batch.column("keys")
+            sig = keys.flatten().to_numpy()
+            cls = np.repeat(batch.column("cls").to_numpy(), keys.value_lengths().fill_null(0).to_numpy())
+            at = np.flatnonzero(there.holds(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(cls[at])], names=["sig", "cls"])
+
+    return rows.select("cls", "keys").mapInArrow(run, "sig long, cls long").join(ends, "sig").select("sig", "hub", "cls")
 
 
 def hub_pairs(groups: DataFrame) -> DataFrame:
@@ -140,6 +152,20 @@ def least_apart(left: list[bytes], right: list[bytes], parts: int) -> np.ndarray
     return out
 
 
+def pairs_open(left: list[bytes], right: list[bytes], parts: int) -> np.ndarray:
+    """bool: whether sizes and sketches of each pair leave it open that ``parts`` * |A ^ B| <= |A| + |B|."""
+    out = np.zeros(len(left), bool)
+    kind = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64).reshape(len(left), 2)
+    for size_l, size_r in np.unique(kind, axis=0).tolist():
+        at = np.flatnonzero((kind == (size_l, size_r)).all(1))
+        x, y = (np.frombuffer(b"".join(side[i] for i in at.tolist()), np.uint8).reshape(len(at), size) for side, size in ((left, size_l), (right, size_r)))
+        m = min(size_l, size_r) - 8
+        n_l, n_r = (np.ascontiguousarray(v[:, :8]).view("<i8").ravel() for v in (x, y))
+        apart = np.bitwise_count(_folded(x[:, 8:], m) ^ _folded(y[:, 8:], m)).sum(1, dtype=np.int64)
+        out[at] = parts * np.maximum(apart, np.abs(n_l - n_r)) <= n_l + n_r
+    return out
+
+
 def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, parts: int, nearest: bool, block: int = 512, most_blocks: int = 32, largest: int = 8192) -> DataFrame:
     """(a, b), a < b: classes that share a group but no component yet, as far as their sketches leave a link open.
 
@@ -318,7 +344,7 @@ def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
     def rough(left, right):
-        return [least_apart([x], [y], parts)[0, 0] >= 0 for x, y in zip(left, right, strict=True)]
+        return pairs_open(left, right, parts)
 
     def linked(pairs):
         return freed(cut(verify(pairs, sets(nodes(pairs)), test).distinct()))

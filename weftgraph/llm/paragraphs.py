@@ -100,14 +100,15 @@ def _blocks(batches):
 
 
 def band_keys(values: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """int64[sets, bands]: the keys of each set's bands; no set is empty."""
+    """int64[sets, bands]: the keys of each set's bands; no set is empty. The MinHash values are of 32 bits."""
     keys = np.empty((len(first) - 1, bands), np.int64)
+    half = (values >> np.uint64(32)).astype(np.uint32)
     for band in range(bands):
         key = np.full(len(first) - 1, band, np.uint64)
         for r in range(rows):
             salt = mix64(np.array([band * rows + r + 1], np.uint64))[0]
-            least = np.minimum.reduceat((values ^ salt) * np.uint64(0xFF51AFD7ED558CCD), first[:-1])
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least)
+            turned = (half ^ np.uint32(salt & np.uint64(0xFFFFFFFF))) * np.uint32((salt >> np.uint64(32)) | np.uint64(1))
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(turned, first[:-1]))
         keys[:, band] = key.view(np.int64)
     return keys
 
@@ -195,8 +196,8 @@ def winnow(hashes: np.ndarray, first: np.ndarray, gram: int, window: int):
     return text[keep], word[keep], a[keep], b[keep]
 
 
-def _noted_rows(docs: DataFrame, gram: int, window: int, there: IdFilter | None = None) -> DataFrame:
-    """(g1, g2, doc_id, row, at): every noted sequence, or those in a filter; (doc_id, row) is a document, ``at`` its first word."""
+def _noted_rows(docs: DataFrame, gram: int, window: int) -> DataFrame:
+    """(g1, g2, doc_id, row, at): every noted sequence; (doc_id, row) is a document, ``at`` its first word."""
 
     def run(batches):
         import pyarrow as pa
@@ -204,8 +205,6 @@ def _noted_rows(docs: DataFrame, gram: int, window: int, there: IdFilter | None
         for part, texts in _blocks(batches):
             data, start, size, first = word_spans(texts)
             text, word, a, b = winnow(word_hashes(data, start, size), first, gram, window)
-            if there is not None:
-                text, word, a, b = (v[at] for at in [np.flatnonzero(there.holds(a))] for v in (text, word, a, b))
             own = [part.column(c).take(pa.array(text)) for c in ("doc_id", "row")]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *own, pa.array(word.astype(np.int32))], names=["g1", "g2", "doc_id", "row", "at"])
 
@@ -248,16 +247,16 @@ def _runs(found: DataFrame, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, at int, n_words int, first_doc long, removed boolean")
 
 
-def passages(docs: DataFrame, gram: int = 34, window: int = 17) -> DataFrame:
+def passages(docs: DataFrame, gram: int = 28, window: int = 23) -> DataFrame:
     """(doc_id, at, n_words, first_doc, removed): runs of sequences that other documents hold; ``at`` counts words from 0.
 
-    A first pass counts the sequences' documents, by partial aggregates, and a
-    second one takes up those that two documents hold.
+    The noted sequences' documents are counted by partial aggregates; then only
+    sequences that two documents hold are shuffled, by a join that splits a very common one.
     """
-    docs = small_batches(docs)
-    facts = _noted_rows(docs, gram, window).groupBy("g1", "g2").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("doc_id").alias("first_doc"))
+    noted = cut(_noted_rows(small_batches(docs), gram, window))
+    facts = noted.groupBy("g1", "g2").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("doc_id").alias("first_doc"))
     shared = cut(facts.where("lo != hi").select("g1", "g2", "first_doc"))
-    found = _noted_rows(docs, gram, window, IdFilter(shared, "g1", raw=True)).join(shared, ["g1", "g2"])
+    found = IdFilter(shared, "g1", raw=True).rows_of(noted, "g1").join(shared, ["g1", "g2"])
     return _runs(found.select("doc_id", "row", "at", "first_doc"), gram)
 
 
@@ -265,27 +264,28 @@ def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995) -> DataF
     """(doc_id, para, n_words, first_doc, first_para, cluster_size, removed): every paragraph (line) of a cluster of two or more.
 
     ``para`` counts the lines of the text from 0. A cluster is named by its
-    first paragraph, by doc_id and then line; all but that one are removed.
+    first paragraph, by doc_id (null last) and then line; all but that one are removed.
     """
     bands, rows = tune(recall=recall)
     docs = small_batches(docs)
     found, turn = exact_nodes(cut(paragraph_rows(docs, min_words, bands, rows)))
-    groups = freed(cut(grouped_by_ends(found.select(F.explode("keys").alias("sig"), "cls"))))
+    groups = freed(cut(grouped_by_ends(found.select("cls", "keys"))))
     found = found.drop("keys")
-    classes = cut(found.groupBy("cls").agg(F.min(F.struct("doc_id", "para")).alias("first"), F.count("*").alias("members")))
+    classes = cut(found.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("members")))
 
     def payloads(sketches):
         def make(nodes):
-            need = cut(classes.join(nodes, "cls", "left_semi").select("cls", F.col("first.doc_id").alias("id")))
+            need = cut(classes.join(nodes, "cls", "left_semi").select("cls", F.col("first_doc").alias("id")))
             return _payloads(docs, min_words, IdFilter(need), IdFilter(need, "cls", raw=True), turn, sketches)
 
         return make
 
     labels = resolve(groups, payloads(True), payloads(False), exact_test, 7)
-    several = classes.join(labels.select(F.col("node").alias("cls"), "comp"), "cls")
-    heads = several.groupBy("comp").agg(F.min("first").alias("head"), F.sum("members").alias("cluster_size"))
-    named = several.join(heads, "comp").select("cls", "head", "cluster_size")
-    alone = classes.where("members > 1").join(labels.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("first").alias("head"), F.col("members").alias("cluster_size"))
-    out = found.join(named.unionByName(alone), "cls")
+    # only paragraphs of classes with several members or several classes go on
+    comp = labels.select(F.col("node").alias("cls"), "comp")
+    alone = classes.where("members > 1").join(comp, "cls", "left_anti").select("cls", F.col("cls").alias("comp"), F.lit(False).alias("linked"))
+    out = found.join(comp.withColumn("linked", F.lit(True)).unionByName(alone), "cls")
+    clusters = out.groupBy("comp", "linked").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "para")).alias("head"), F.count("*").alias("cluster_size"))
+    out = out.join(clusters, ["comp", "linked"])
     once = out.select("doc_id", "para", "n_words", F.col("head.doc_id").alias("first_doc"), F.col("head.para").alias("first_para"), "cluster_size")
     return once.withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("para") == F.col("first_para"))))
