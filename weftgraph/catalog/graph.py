@@ -276,10 +276,10 @@ def _(spark, d):
     return setops.difference(*early_and_late(spark, d))
 
 
-@q("hg_difference_nodes", "SELECT edge_id, node_id, weight FROM late WHERE node_id NOT IN (SELECT node_id FROM early)")
+@q("hg_difference_nodes", "SELECT edge_id, node_id, weight FROM late WHERE node_id NOT IN (SELECT node_id FROM early WHERE CAST(node_id AS BIGINT) % 3 = 0)")
 def _(spark, d):
     a, b = early_and_late(spark, d)
-    return setops.difference(b, a, "nodes")
+    return setops.difference(b, a.where("cast(node_id AS bigint) % 3 = 0"), "nodes")
 
 
 @q("hg_difference_structure", """SELECT edge_id, node_id, weight FROM early WHERE edge_id NOT IN (SELECT edge_id FROM (SELECT edge_id, string_agg(node_id, ',' ORDER BY node_id) AS m FROM early GROUP BY 1)

@@ -83,9 +83,9 @@ def _(spark, d):
     return sparql.execute(triples(spark, d), "SELECT ?c ?b WHERE { ?c balance ?b . ?c segment ?g FILTER(?b > 5000 && (?g = \"BUILDING\" || CONTAINS(?g, \"AUTO\"))) FILTER(?g != 'X') }")
 
 
-@q("kg_filter_functions", "SELECT s AS n, o AS name FROM tr WHERE p = 'name' AND regexp_matches(lower(o), '^[a-m]') AND length(o) >= 5 AND NOT ends_with(o, 'A')")
+@q("kg_filter_functions", "SELECT s AS n, o AS name FROM tr WHERE p = 'name' AND regexp_matches(lower(o), '^[m-z]') AND length(o) >= 5 AND NOT ends_with(o, '1')")
 def _(spark, d):
-    return sparql.execute(triples(spark, d), "SELECT ?n ?name WHERE { ?n name ?name FILTER(REGEX(?name, \"^[a-m]\", \"i\") && STRLEN(?name) >= 5 && !STRENDS(?name, \"A\")) }")
+    return sparql.execute(triples(spark, d), "SELECT ?n ?name WHERE { ?n name ?name FILTER(REGEX(?name, \"^[m-z]\", \"i\") && STRLEN(?name) >= 5 && !STRENDS(?name, \"1\")) }")
 
 
 @q("kg_distinct_order_limit", "SELECT DISTINCT o AS seg FROM tr WHERE p = 'segment' ORDER BY seg DESC LIMIT 3 OFFSET 1")
@@ -93,10 +93,13 @@ def _(spark, d):
     return sparql.execute(triples(spark, d), "SELECT DISTINCT ?seg WHERE { ?c segment ?seg } ORDER BY DESC(?seg) LIMIT 3 OFFSET 1")
 
 
-@q("kg_path_3", """SELECT a || '>' || b || '>' || c AS path, CAST(2 AS BIGINT) AS hops FROM (SELECT x.s AS a, x.o AS b, y.s AS c FROM tr x JOIN tr y ON x.o = y.o WHERE x.p = 'in_nation' AND y.p = 'in_nation' AND x.s = 'customer:1' AND y.s = 'supplier:1')
-UNION ALL SELECT 'customer:1>' || a.o || '>' || r1.o || '>' || b.o || '>supplier:1', 4 FROM tr a JOIN tr r1 ON r1.s = a.o AND r1.p = 'in_region' JOIN tr r2 ON r2.o = r1.o AND r2.p = 'in_region' JOIN tr b ON b.o = r2.s WHERE a.s = 'customer:1' AND a.p = 'in_nation' AND b.s = 'supplier:1' AND b.p = 'in_nation' AND a.o <> b.o""")
+@q("kg_path_3", """SELECT 'nation:1>' || a.o || '>' || b.s AS path, CAST(2 AS BIGINT) AS hops FROM tr a JOIN tr b ON a.o = b.o AND b.p = 'in_region' WHERE a.s = 'nation:1' AND a.p = 'in_region'
+AND b.s = (SELECT max(s) FROM tr WHERE p = 'in_region' AND o = a.o AND s <> 'nation:1')""")
 def _(spark, d):
-    return knowledge.path_query(places(spark, d), "customer:1", "supplier:1", 4).select(F.array_join("path", ">").alias("path"), "hops")
+    near = places(spark, d).where("p = 'in_region'")
+    region = near.where("s = 'nation:1'").select("o")
+    end = near.join(region, "o", "left_semi").where("s != 'nation:1'").agg(F.max("s")).first()[0]
+    return knowledge.path_query(places(spark, d), "nation:1", end, 4).select(F.array_join("path", ">").alias("path"), "hops")
 
 
 @q("kg_neighborhood", "SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM (SELECT 'region:1' AS node, 0 AS depth UNION ALL SELECT s, 1 FROM tr WHERE p = 'in_region' AND o = 'region:1' UNION ALL SELECT a.s, 2 FROM tr a JOIN tr b ON a.o = b.s AND b.p = 'in_region' AND b.o = 'region:1' WHERE a.p = 'in_nation') GROUP BY 1")

@@ -33,10 +33,10 @@ def label_propagation(inc: DataFrame, rounds: int = 10, weighted: bool = True) -
     return state
 
 
-def greedy_jaccard(inc: DataFrame, threshold: float = 0.3, most_nodes: int = 20_000) -> DataFrame:
+def greedy_jaccard(inc: DataFrame, threshold: float = 0.3, most_nodes: int = 20_000, most_pairs: int = 2_000_000) -> DataFrame:
     """(node_id, community): in id order each unplaced node opens a community and takes the unplaced nodes of edge-set Jaccard over the threshold.
 
-    Sequential by definition: similar pairs come to the driver, for at most ``most_nodes`` nodes.
+    Sequential by definition: similar pairs come to the driver, at most ``most_pairs`` of at most ``most_nodes`` nodes.
     """
     from .patterns import node_similarity
 
@@ -44,7 +44,10 @@ def greedy_jaccard(inc: DataFrame, threshold: float = 0.3, most_nodes: int = 20_
     if len(nodes) > most_nodes:
         raise ValueError("too many nodes for a greedy order")
     near: dict[str, list] = {}
-    for r in node_similarity(inc).where(F.col("similarity") > threshold).collect():
+    pairs = node_similarity(inc).where(F.col("similarity") > threshold).limit(most_pairs + 1).collect()
+    if len(pairs) > most_pairs:
+        raise ValueError("too many similar pairs for a greedy order")
+    for r in pairs:
         near.setdefault(r["a"], []).append(r["b"])
         near.setdefault(r["b"], []).append(r["a"])
     placed: dict[str, str] = {}

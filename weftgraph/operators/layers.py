@@ -114,9 +114,12 @@ def property_coverage(states: DataFrame) -> DataFrame:
     return states.groupBy("layer", "key").agg(F.countDistinct("entity").alias("c")).join(n, "layer").select("layer", "key", ratio(F.col("c"), F.col("n")).alias("coverage"))
 
 
-def property_gaps(states: DataFrame) -> DataFrame:
-    """(layer, key) that never occur together: over the distinct layers and keys, both short catalogues."""
-    every = states.select("layer").distinct().join(F.broadcast(states.select("key").distinct()))
+def property_gaps(states: DataFrame, most_keys: int = 100_000) -> DataFrame:
+    """(layer, key) that never occur together: over the distinct layers and at most ``most_keys`` distinct keys."""
+    keys = states.select("key").distinct()
+    if keys.limit(most_keys + 1).count() > most_keys:
+        raise ValueError(f"more than {most_keys} keys")
+    every = states.select("layer").distinct().join(F.broadcast(keys))
     return every.join(states.select("layer", "key").distinct(), ["layer", "key"], "left_anti")
 
 

@@ -120,15 +120,14 @@ def homomorphism_possible(a: DataFrame, b: DataFrame, most_nodes: int = 6) -> bo
     """Whether an injective map of a's nodes sends every edge to an edge: by size histograms, and by search up to ``most_nodes`` nodes."""
     from itertools import permutations
 
-    mine = {r["size"]: r["edges"] for r in size_histogram(a).collect()}
-    theirs = {r["size"]: r["edges"] for r in size_histogram(b).collect()}
-    if any(theirs.get(s, 0) < n for s, n in mine.items()):
+    theirs = size_histogram(b).withColumnRenamed("edges", "theirs")
+    if not size_histogram(a).join(theirs, "size", "left").where("edges > coalesce(theirs, 0)").isEmpty():
         return False
     na = sorted(r[0] for r in a.select("node_id").distinct().limit(most_nodes + 1).collect())
     nb = sorted(r[0] for r in b.select("node_id").distinct().limit(most_nodes + 1).collect())
     if len(na) > most_nodes or len(nb) > most_nodes:
         return True
-    ea = [set(r["nodes"]) for r in edge_nodes(a).collect()]
-    eb = {frozenset(r["nodes"]) for r in edge_nodes(b).collect()}
+    ea = [set(r["nodes"]) for r in edge_nodes(a).select("nodes").distinct().collect()]  # 2**most_nodes sets at most
+    eb = {frozenset(r["nodes"]) for r in edge_nodes(b).select("nodes").distinct().collect()}
     return any(all(frozenset(m[n] for n in e) in eb for e in ea) for p in permutations(nb, len(na)) for m in [dict(zip(na, p, strict=True))])
 

@@ -294,12 +294,22 @@ def match(triples: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(v) for v, c in names.items()])
 
 
+#: Patterns without a common variable multiply; one side may have so many solutions.
+MOST_PRODUCT_ROWS = 10_000
+
+
 def _join(a: DataFrame | None, b: DataFrame, how: str = "inner") -> DataFrame:
+    """Solutions that agree on the common variables. Without any, all pairs, if one side has few (it is broadcast)."""
     if a is None:
         return b
     shared = [c for c in b.columns if c in a.columns]
     if not shared:
-        return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
+        few = lambda df: df.limit(MOST_PRODUCT_ROWS + 1).count() <= MOST_PRODUCT_ROWS
+        if few(b):
+            return a.join(F.broadcast(b), F.lit(True), how)
+        if how == "inner" and few(a):
+            return b.join(F.broadcast(a), F.lit(True)).select(*a.columns, *b.columns)
+        raise SparqlError(f"patterns without a common variable, of over {MOST_PRODUCT_ROWS} solutions each")
     return a.join(b, shared, how)
 
 
