@@ -128,12 +128,12 @@ def _(spark, d):
 
 
 _WALK = ", walk AS (SELECT '0' AS node, 0 AS depth, ['0'] AS path UNION ALL SELECT b, depth + 1, list_append(path, b) FROM walk JOIN thin ON node = a WHERE depth < 6 AND NOT list_contains(path, b)), best AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1)"
-_THIN = ", thin AS (SELECT a, b FROM nn WHERE abs(CAST(a AS INT) - CAST(b AS INT)) IN (1, 5))"
+_THIN = ", thin AS (SELECT a, b FROM nn WHERE abs(CAST(a AS INT) - CAST(b AS INT)) IN (7, 14))"
 
 
 def thin(spark: SparkSession, d: str) -> DataFrame:
-    """A sparse part of the nations' graph: neighbours whose keys differ by 1 or 5."""
-    return paths.neighbor_edges(segments_over_nations(spark, d)).where("abs(cast(a as int) - cast(b as int)) IN (1, 5)")
+    """A sparse part of the nations' graph: neighbours whose keys differ by 7 or 14."""
+    return paths.neighbor_edges(segments_over_nations(spark, d)).where("abs(cast(a as int) - cast(b as int)) IN (7, 14)")
 
 
 @q("all_shortest_paths", _THIN + _WALK + " SELECT node, CAST(depth AS BIGINT) AS depth, array_to_string(path, '>') AS path FROM walk JOIN best USING (node, depth)")
@@ -141,15 +141,15 @@ def _(spark, d):
     return paths.all_shortest_paths(thin(spark, d), "0", most_depth=6).select("node", "depth", F.array_join("path", ">").alias("path"))
 
 
-@q("shortest_path_pair", _THIN + _WALK + " SELECT node, CAST(depth AS BIGINT) AS depth, min(array_to_string(path, '>')) AS path FROM walk JOIN best USING (node, depth) WHERE node = '7' GROUP BY 1, 2")
+@q("shortest_path_pair", _THIN + _WALK + " SELECT node, CAST(depth AS BIGINT) AS depth, min(array_to_string(path, '>')) AS path FROM walk JOIN best USING (node, depth) WHERE node = '21' GROUP BY 1, 2")
 def _(spark, d):
-    p = paths.all_shortest_paths(thin(spark, d), "0", "7", 6)
+    p = paths.all_shortest_paths(thin(spark, d), "0", "21", 6)
     return p.groupBy("node", "depth").agg(F.min(F.array_join("path", ">")).alias("path"))
 
 
-@q("simple_paths", _THIN + ", walk AS (SELECT ['0'] AS path, '0' AS node UNION ALL SELECT list_append(path, b), b FROM walk JOIN thin ON node = a WHERE len(path) <= 4 AND node <> '6' AND NOT list_contains(path, b)) SELECT array_to_string(path, '>') AS path, len(path) - 1 AS hops FROM walk WHERE node = '6' AND len(path) > 1")
+@q("simple_paths", _THIN + ", walk AS (SELECT ['0'] AS path, '0' AS node UNION ALL SELECT list_append(path, b), b FROM walk JOIN thin ON node = a WHERE len(path) <= 4 AND node <> '21' AND NOT list_contains(path, b)) SELECT array_to_string(path, '>') AS path, len(path) - 1 AS hops FROM walk WHERE node = '21' AND len(path) > 1")
 def _(spark, d):
-    return paths.simple_paths(thin(spark, d), "0", "6", 4).select(F.array_join("path", ">").alias("path"), "hops")
+    return paths.simple_paths(thin(spark, d), "0", "21", 4).select(F.array_join("path", ">").alias("path"), "hops")
 
 
 @q("cycles_of_four", _THIN + """, w3 AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM thin x JOIN thin y ON y.a = x.b WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b)
@@ -158,9 +158,9 @@ def _(spark, d):
     return paths.cycles(thin(spark, d), 4).select(F.array_join("cycle", ">").alias("cycle"))
 
 
-@q("reachability", _THIN + ", rc AS (SELECT '0' AS n UNION SELECT b FROM rc JOIN thin ON a = n) SELECT CASE WHEN EXISTS (SELECT 1 FROM rc WHERE n = '9') THEN 1.0::DOUBLE ELSE 0.0 END AS connected")
+@q("reachability", _THIN + ", rc AS (SELECT '0' AS n UNION SELECT b FROM rc JOIN thin ON a = n) SELECT CASE WHEN EXISTS (SELECT 1 FROM rc WHERE n = '21') THEN 1.0::DOUBLE ELSE 0.0 END AS connected")
 def _(spark, d):
-    return paths.reachable(thin(spark, d), "0", "9")
+    return paths.reachable(thin(spark, d), "0", "21")
 
 
 @q("depth_first_nations")
@@ -179,7 +179,7 @@ def _(spark, d):
     return w.agg(F.countDistinct("walk").alias("walks")).join(bad.agg((F.count("*") == 0).alias("all_steps_are_links")))
 
 
-_COST = ", cst AS (SELECT a, b, CAST(1 + (CAST(a AS INT) + CAST(b AS INT)) % 5 AS DOUBLE) AS cost FROM nn WHERE abs(CAST(a AS INT) - CAST(b AS INT)) IN (1, 5))"
+_COST = ", cst AS (SELECT a, b, CAST(1 + (CAST(a AS INT) + CAST(b AS INT)) % 5 AS DOUBLE) AS cost FROM nn WHERE abs(CAST(a AS INT) - CAST(b AS INT)) IN (7, 14))"
 
 
 def costs(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +292,7 @@ def grid(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/nation.parquet").select(k.cast("string").alias("id"), at.alias("vector"))
 
 
-_GRID = """, pos AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(n_nationkey % 5 AS DOUBLE) AS x, CAST(n_nationkey // 5 AS DOUBLE) + (n_nationkey % 3) / 4.0 AS y FROM nation), spoke AS (SELECT a, b, t.x - f.x AS dx, t.y - f.y AS dy FROM nn JOIN pos f ON f.id = a JOIN pos t ON t.id = b WHERE abs(CAST(a AS INT) - CAST(b AS INT)) IN (1, 5)),
+_GRID = """, pos AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(n_nationkey % 5 AS DOUBLE) AS x, CAST(n_nationkey // 5 AS DOUBLE) + (n_nationkey % 3) / 4.0 AS y FROM nation), spoke AS (SELECT a, b, t.x - f.x AS dx, t.y - f.y AS dy FROM nn JOIN pos f ON f.id = a JOIN pos t ON t.id = b WHERE abs(CAST(a AS INT) - CAST(b AS INT)) IN (7, 14)),
 turn AS (SELECT a, dx, dy, coalesce(lead(dx) OVER w, first_value(dx) OVER w) AS ex, coalesce(lead(dy) OVER w, first_value(dy) OVER w) AS ey FROM spoke WINDOW w AS (PARTITION BY a ORDER BY b)),
 cv AS (SELECT id, coalesce(c, 0) AS curvature FROM pos LEFT JOIN (SELECT a, CASE WHEN count(*) >= 2 THEN (2 * pi() - sum(acos(greatest(-1.0, least(1.0, (dx * ex + dy * ey) / (sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey) + 1e-10)))))) / count(*) ELSE 0 END AS c FROM turn GROUP BY 1) ON a = id)"""
 
