@@ -202,7 +202,7 @@ def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, p
     def run(batches):
         import pyarrow as pa
 
-        def solve(key, held):
+        def solve(held):
             side, cls, comp, sat = (np.concatenate([h[i] for h in held]) for i in range(4))
             payload = [x for h in held for x in h[4]]
             l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -231,13 +231,13 @@ def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, p
             for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True):
                 k = tuple(keys[s].tolist())
                 if k != key and held:
-                    out = solve(key, held)
+                    out = solve(held)
                     if out is not None:
                         yield out
                     held = []
                 key = k
                 held.append([*(c[s:e] for c in columns), batch.column("payload").slice(s, e - s).to_pylist()])
-        out = solve(key, held) if held else None
+        out = solve(held) if held else None
         if out is not None:
             yield out
 
@@ -334,7 +334,8 @@ def verify(pairs: DataFrame, payloads: DataFrame, test) -> DataFrame:
 def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
     """(node, comp): the components of the classes that are linked, ``parts`` * |A ^ B| <= |A| + |B|, and share a group.
 
-    ``sketches`` and ``sets`` make (cls, payload) for the classes (cls); ``test``
+    ``sketches`` and ``sets`` make (cls, payload) for the classes (cls); without
+    ``sets`` the sketches come with the sets as a column ``members``. ``test``
     decides a pair of sets exactly. Three rounds of pairs: classes with their
     groups' hubs, satellites with the nearest class of a part of the hub's
     component, and all that is still open.
@@ -347,16 +348,18 @@ def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
         return pairs_open(left, right, parts)
 
     def linked(pairs):
-        return freed(cut(verify(pairs, sets(nodes(pairs)), test).distinct()))
+        found = drawn.select("cls", F.col("members").alias("payload")) if sets is None else sets(nodes(pairs))
+        return freed(cut(verify(pairs, found, test).distinct()))
 
     pairs = cut(hub_pairs(groups))
     drawn = cut(sketches(nodes(pairs)).dropDuplicates(["cls"]))
-    tested = cut(verify(pairs, drawn, rough))
+    sketched = drawn.select("cls", "payload")
+    tested = cut(verify(pairs, sketched, rough))
     edges = linked(tested)
     labels = components(edges)
     for nearest in (True, False):
-        open_pairs = satellite_pairs(groups, labels, drawn, parts, nearest)
-        open_pairs = cut(open_pairs if nearest else open_pairs.join(tested, ["a", "b"], "left_anti"))
+        open_pairs = satellite_pairs(groups, labels, sketched, parts, nearest)
+        open_pairs = freed(cut(open_pairs if nearest else open_pairs.join(tested, ["a", "b"], "left_anti")))
         if open_pairs.isEmpty():
             if nearest:
                 continue
@@ -372,7 +375,7 @@ def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of the edges (a, b); comp is the least node of its component.
 
-    Alternating large-star and small-star contraction; each round is checkpointed.
+    Alternating large-star and small-star contraction; each round is checkpointed, and its shuffle files go.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
@@ -383,7 +386,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct())
+        e = freed(cut(small.distinct()))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

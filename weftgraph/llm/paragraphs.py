@@ -137,8 +137,8 @@ def paragraph_rows(docs: DataFrame, min_words: int, bands: int, rows: int) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, para int, n_words int, c1 long, c2 long, keys array<long>")
 
 
-def _payloads(docs: DataFrame, min_words: int, in_docs: IdFilter, in_classes: IdFilter, turn: int, sketches: bool) -> DataFrame:
-    """(cls, payload): the sketches or the sets of the wanted classes."""
+def _payloads(docs: DataFrame, min_words: int, in_docs: IdFilter, in_classes: IdFilter, turn: int) -> DataFrame:
+    """(cls, payload, members): the sketches and the sets of the wanted classes."""
 
     def run(batches):
         import pyarrow as pa
@@ -153,10 +153,10 @@ def _payloads(docs: DataFrame, min_words: int, in_docs: IdFilter, in_classes: Id
             grams, first = line_grams(hashes, begin[at], size[at], SHINGLE)
             values, first = distinct(grams, owners(first), len(at))
             sets = [values[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            payload = [bit_sketch(x, max(6, int(len(x) * 4).bit_length())) if sketches else x.tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(payload, pa.binary())], names=["cls", "payload"])
+            drawn = [bit_sketch(x, max(6, int(len(x) * 4).bit_length())) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(drawn, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cls", "payload", "members"])
 
-    return in_docs.passing(docs, "doc_id", ("text",)).mapInArrow(run, "cls long, payload binary")
+    return in_docs.passing(docs, "doc_id", ("text",)).mapInArrow(run, "cls long, payload binary, members binary")
 
 
 def winnow(hashes: np.ndarray, first: np.ndarray, gram: int, window: int):
@@ -273,14 +273,11 @@ def dedup(docs: DataFrame, min_words: int = 16, recall: float = 0.9995) -> DataF
     found = found.drop("keys")
     classes = cut(found.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("members")))
 
-    def payloads(sketches):
-        def make(nodes):
-            need = cut(classes.join(nodes, "cls", "left_semi").select("cls", F.col("first_doc").alias("id")))
-            return _payloads(docs, min_words, IdFilter(need), IdFilter(need, "cls", raw=True), turn, sketches)
+    def payloads(nodes):
+        need = cut(classes.join(nodes, "cls", "left_semi").select("cls", F.col("first_doc").alias("id")))
+        return _payloads(docs, min_words, IdFilter(need), IdFilter(need, "cls", raw=True), turn)
 
-        return make
-
-    labels = resolve(groups, payloads(True), payloads(False), exact_test, 7)
+    labels = resolve(groups, payloads, None, exact_test, 7)
     # only paragraphs of classes with several members or several classes go on
     comp = labels.select(F.col("node").alias("cls"), "comp")
     alone = classes.where("members > 1").join(comp, "cls", "left_anti").select("cls", F.col("cls").alias("comp"), F.lit(False).alias("linked"))
