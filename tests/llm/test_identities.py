@@ -82,7 +82,15 @@ def test_grouping_by_ends_and_by_sort(spark):
         want.setdefault(s, set()).add(c)
     want = sorted((s, min(v), c) for s, v in want.items() if len(v) > 1 for c in v)
     assert sorted(set(map(tuple, links.grouped_by_ends(lists).collect()))) == want
-    assert sorted(map(tuple, links.grouped(df.selectExpr("sig", "cast(0 AS byte) AS rank", "cls")).collect())) == want
+    for size in (3, 50, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        got = links.grouped(df.selectExpr("sig", "cast(cls % 5 AS byte) AS rank", "cls")).collect()
+        hubs = {}
+        for r in got:
+            hubs.setdefault(r["sig"], set()).add(r["hub"])
+        assert {(r["sig"], r["cls"]) for r in got} == {(s, c) for s, _, c in want}
+        assert all(len(v) == 1 for v in hubs.values()) and {(s, h) for s, v in hubs.items() for h in v} <= {(s, c) for s, _, c in want}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_near_duplicate_stage_with_repeated_ids(spark):

@@ -38,45 +38,46 @@ def exact_nodes(rows: DataFrame, a: str = "c1", b: str = "c2", most_turns: int =
 
 
 def grouped(sigs: DataFrame) -> DataFrame:
-    """(sig, hub, cls): the rows of signatures that two or more classes share, each once; hub is the first by rank and class.
+    """(sig, hub, cls): the rows of signatures that two or more classes share; hub is the first by rank and class that the pass meets.
 
-    The sort spills to disk; the pass after it holds one batch and the last row.
+    A sort by the signature alone, which spills to disk; the pass after it holds
+    one batch and the last group's hub. A group's hub is chosen where the group begins.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        last = None  # (sig, cls, hub) of the last row, which waits for its successor
-        shared = False  # whether that row's group already has two classes
-
+        last = None  # (sig, hub, whether the group already has two classes) of the last row's group
         for batch in batches:
-            sig = batch.column("sig").to_numpy()
-            cls = batch.column("cls").to_numpy()
+            sig, rank, cls = (batch.column(c).to_numpy() for c in ("sig", "rank", "cls"))
             if not len(sig):
                 continue
             if last is not None:
-                sig, cls = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], cls))
-            keep = np.ones(len(sig), bool)
-            keep[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-            sig, cls = sig[keep], cls[keep]
-            start = np.ones(len(sig), bool)
-            start[1:] = sig[1:] != sig[:-1]
-            at = np.flatnonzero(start)
-            hub = np.repeat(cls[at], np.diff([*at, len(sig)]))
-            if last is not None:
-                hub[: at[1] if len(at) > 1 else len(hub)] = last[2]
-            multi = ~start
-            multi[:-1] |= ~start[1:]
-            if last is not None and shared:
-                multi[0] = True
-            last, shared = (sig[-1], cls[-1], hub[-1]), bool(multi[-1])
-            out = np.flatnonzero(multi[:-1])
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(hub[out]), pa.array(cls[out])], names=["sig", "hub", "cls"])
-        if last is not None and shared:
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (last[0], last[2], last[1])], names=["sig", "hub", "cls"])
-
-    return sigs.repartition("sig").sortWithinPartitions("sig", "rank", "cls").mapInArrow(run, "sig long, hub long, cls long")
+                sig, rank, cls = np.concatenate(([last[0]], sig)), np.concatenate(([-1], rank)), np.concatenate(([last[1]], cls))
+            start = np.concatenate(([True], sig[1:] != sig[:-1]))
+            group = np.cumsum(start) - 1
+            size = np.diff(np.append(np.flatnonzero(start), len(sig)))
+            some = np.flatnonzero(size[group] > 1)
+            some = some[np.lexsort((cls[some], rank[some], group[some]))]
+            g, c = group[some], cls[some]
+            head = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
+            hub = c[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(g) else c
+            fresh = head | ((c != hub) & np.concatenate(([True], (c[1:] != c[:-1]) | (g[1:] != g[:-1])))) if len(g) else head
+            classes = np.bincount(g[fresh], minlength=len(size))
+            shared = classes > 1
+            done = last is not None and last[2]
+            shared[0] |= done and classes[0] > 0
+            out = fresh & shared[g]
+            if done and len(some) and some[0] == 0:
+                out[0] = False  # this hub's row has gone out
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(sig[some][out]), pa.array(hub[out]), pa.array(c[out])], names=["sig", "hub", "cls"])
+            end = len(size) - 1
+            at = np.flatnonzero(g == end)
+            carried = done and end == 0
+            last = (sig[-1], hub[at[0]] if len(at) else cls[-1], bool(classes[end] > 1) or carried)
+
+    return sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, hub long, cls long")
 
 
 def grouped_by_ends(rows: DataFrame) -> DataFrame:

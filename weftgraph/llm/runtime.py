@@ -18,11 +18,11 @@ cloudpickle.register_pickle_by_value(sys.modules["weftgraph"])
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, with Arrow batches of at most ``rows`` rows from here on: texts are long, and workers have little memory."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """``df``, with Arrow batches of about ``size`` bytes from here on: texts are long, and workers have little memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("bB")) > size:
+        conf.set(key, f"{size}b")
     return df
 
 
