@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .links import IdFilter, bit_sketch, exact_nodes, grouped, resolve
+from .links import IdFilter, bit_sketch, exact_nodes, grouped, ranked, resolve
 from .runtime import claim, cut, freed, small_batches
 from .textnp import Repeats, blocks, mix64, node_of, set_ids, shingle_sets, text_bytes
 
@@ -154,7 +154,7 @@ def own_members(first: np.ndarray, rare: np.ndarray) -> np.ndarray:
 
 
 def _signature_rows(docs: DataFrame, k: int, frequent: IdFilter, turn: int) -> DataFrame:
-    """(sig, rank, cls) of every class, once in each task."""
+    """(sig, cls) of every class, once in each task; a signature's last bits are the class's rank."""
 
     def run(batches):
         import pyarrow as pa
@@ -171,9 +171,9 @@ def _signature_rows(docs: DataFrame, k: int, frequent: IdFilter, turn: int) -> D
             cls, rank = node_of(a, b, turn), own_members(first, rare)
             for i in range(0, len(sigs), 200_000):
                 part = of[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[i : i + 200_000]), pa.array(rank[part]), pa.array(cls[part])], names=["sig", "rank", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(ranked(sigs[i : i + 200_000], rank[part])), pa.array(cls[part])], names=["sig", "cls"])
 
-    return docs.select("text").mapInArrow(run, "sig long, rank byte, cls long")
+    return docs.select("text").mapInArrow(run, "sig long, cls long")
 
 
 def exact_test(left: list[bytes], right: list[bytes]) -> list[bool]:

@@ -1,9 +1,9 @@
 """From shared signatures to connected components, without all pairs of a group.
 
 Nodes are classes (64-bit integers) that stand for groups of equal items.
-Signature rows (sig, rank, cls) are grouped by a sort; within a group every
-class is first compared with one hub. Classes that are not in the hub's
-component after that, satellites, are compared with a part of that component,
+Signature rows (sig, cls) are grouped by a sort; within a group every class is
+first compared with one hub, and tried with the nearest of its groups' hubs.
+Classes that are not in a hub's component after that, satellites, are compared with a part of that component,
 and those that stay satellites with the whole of it and with each other, by
 sketches, in blocks.
 """
@@ -37,11 +37,19 @@ def exact_nodes(rows: DataFrame, a: str = "c1", b: str = "c2", most_turns: int =
     raise RuntimeError("identities did not come apart")
 
 
+RANK_BITS = 7
+
+
+def ranked(sig: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Signatures whose last bits are the rank of their class: rows of one signature then sort by rank."""
+    return ((sig.view(np.uint64) >> np.uint64(RANK_BITS) << np.uint64(RANK_BITS)) | rank.astype(np.uint64)).view(np.int64)
+
+
 def grouped(sigs: DataFrame) -> DataFrame:
-    """(sig, hub, cls): the rows of signatures that two or more classes share; hub is the first by rank and class that the pass meets.
+    """(sig, hub, cls): the rows of signatures (see ``ranked``) that two or more classes share; hub is the first by rank that the pass meets.
 
-    A sort by the signature alone, which spills to disk; the pass after it holds
-    one batch and the last group's hub. A group's hub is chosen where the group begins.
+    A sort by one column, which spills to disk; the pass after it holds one batch
+    and the last group's hub.
     """
 
     def run(batches):
@@ -49,35 +57,31 @@ def grouped(sigs: DataFrame) -> DataFrame:
 
         last = None  # (sig, hub, whether the group already has two classes) of the last row's group
         for batch in batches:
-            sig, rank, cls = (batch.column(c).to_numpy() for c in ("sig", "rank", "cls"))
+            sig, cls = batch.column("sig").to_numpy() >> RANK_BITS, batch.column("cls").to_numpy()
             if not len(sig):
                 continue
             if last is not None:
-                sig, rank, cls = np.concatenate(([last[0]], sig)), np.concatenate(([-1], rank)), np.concatenate(([last[1]], cls))
+                sig, cls = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], cls))
             start = np.concatenate(([True], sig[1:] != sig[:-1]))
             group = np.cumsum(start) - 1
             size = np.diff(np.append(np.flatnonzero(start), len(sig)))
-            some = np.flatnonzero(size[group] > 1)
-            some = some[np.lexsort((cls[some], rank[some], group[some]))]
+            hub = np.repeat(cls[start], size)  # the first row of a group is its hub
+            some = np.flatnonzero((size[group] > 1) & (start | (cls != hub)))
+            some = some[np.lexsort((cls[some], ~start[some], group[some]))]
             g, c = group[some], cls[some]
-            head = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
-            hub = c[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(g) else c
-            fresh = head | ((c != hub) & np.concatenate(([True], (c[1:] != c[:-1]) | (g[1:] != g[:-1])))) if len(g) else head
+            fresh = start[some] | np.concatenate(([True], (c[1:] != c[:-1]) | (g[1:] != g[:-1])))[: len(some)]
             classes = np.bincount(g[fresh], minlength=len(size))
-            shared = classes > 1
             done = last is not None and last[2]
-            shared[0] |= done and classes[0] > 0
-            out = fresh & shared[g]
+            out = fresh & ((classes > 1) | (done & (np.arange(len(size)) == 0)))[g]
             if done and len(some) and some[0] == 0:
                 out[0] = False  # this hub's row has gone out
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[some][out]), pa.array(hub[out]), pa.array(c[out])], names=["sig", "hub", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[some][out]), pa.array(hub[some][out]), pa.array(c[out])], names=["sig", "hub", "cls"])
             end = len(size) - 1
-            at = np.flatnonzero(g == end)
-            carried = done and end == 0
-            last = (sig[-1], hub[at[0]] if len(at) else cls[-1], bool(classes[end] > 1) or carried)
+            last = (sig[-1], hub[-1], bool(classes[end] > 1) or (done and end == 0))
 
-    return sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, hub long, cls long")
+    rows = sigs.repartition(F.shiftright("sig", RANK_BITS)).sortWithinPartitions("sig")
+    return rows.mapInArrow(run, "sig long, hub long, cls long")
 
 
 def grouped_by_ends(rows: DataFrame) -> DataFrame:
@@ -103,11 +107,6 @@ def grouped_by_ends(rows: DataFrame) -> DataFrame:
     return rows.select("cls", "keys").mapInArrow(run, "sig long, cls long").join(ends, "sig").select("sig", "hub", "cls")
 
 
-def hub_pairs(groups: DataFrame) -> DataFrame:
-    """(a, b), a < b: every class with its groups' hubs."""
-    return groups.where("cls != hub").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
-
-
 def bit_sketch(values: np.ndarray, bits: int) -> bytes:
     """A set's size and a parity sketch of 2**bits bits: each bit is the parity of the number of members that hash to it.
 
@@ -153,9 +152,9 @@ def least_apart(left: list[bytes], right: list[bytes], parts: int) -> np.ndarray
     return out
 
 
-def pairs_open(left: list[bytes], right: list[bytes], parts: int) -> np.ndarray:
-    """bool: whether sizes and sketches of each pair leave it open that ``parts`` * |A ^ B| <= |A| + |B|."""
-    out = np.zeros(len(left), bool)
+def pairs_apart(left: list[bytes], right: list[bytes], parts: int) -> np.ndarray:
+    """int64: the least difference of each pair, as ``least_apart``."""
+    out = np.full(len(left), -1)
     kind = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64).reshape(len(left), 2)
     for size_l, size_r in np.unique(kind, axis=0).tolist():
         at = np.flatnonzero((kind == (size_l, size_r)).all(1))
@@ -163,7 +162,8 @@ def pairs_open(left: list[bytes], right: list[bytes], parts: int) -> np.ndarray:
         m = min(size_l, size_r) - 8
         n_l, n_r = (np.ascontiguousarray(v[:, :8]).view("<i8").ravel() for v in (x, y))
         apart = np.bitwise_count(_folded(x[:, 8:], m) ^ _folded(y[:, 8:], m)).sum(1, dtype=np.int64)
-        out[at] = parts * np.maximum(apart, np.abs(n_l - n_r)) <= n_l + n_r
+        least = np.maximum(apart, np.abs(n_l - n_r))
+        out[at] = np.where(parts * least <= n_l + n_r, least, -1)
     return out
 
 
@@ -310,12 +310,34 @@ class IdFilter:
         return joined.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("_bit", "_w", "_v")
 
 
-def verify(pairs: DataFrame, payloads: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) whose payloads pass ``test(list of bytes, list of bytes) -> list of bool``.
+def with_payloads(pairs: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(a, b, pa, pb) of pairs (a, b) and (cls, payload).
 
-    ``payloads`` is (cls, payload binary). A class with many partners makes a
-    large join partition, which adaptive execution splits.
+    A class with many partners makes a large join partition, which adaptive execution splits.
     """
+    left = payloads.select(F.col("cls").alias("a"), F.col("payload").alias("pa"))
+    right = payloads.select(F.col("cls").alias("b"), F.col("payload").alias("pb"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb")
+
+
+def nearest_hubs(groups: DataFrame, sketches: DataFrame, parts: int) -> DataFrame:
+    """(a, b), a < b: each class with the nearest of its groups' hubs, as far as their sketches leave a link open."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            apart = pairs_apart(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), parts)
+            at = pa.array(np.flatnonzero(apart >= 0))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("a", "b")), pa.array(apart).take(at)], names=["a", "b", "d"])
+
+    pairs = groups.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+    near = with_payloads(pairs, sketches).mapInArrow(run, "a long, b long, d long").groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verify(pairs: DataFrame, payloads: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) whose payloads (cls, payload binary) pass ``test(list of bytes, list of bytes) -> list of bool``."""
 
     def run(batches):
         import pyarrow as pa
@@ -327,9 +349,7 @@ def verify(pairs: DataFrame, payloads: DataFrame, test) -> DataFrame:
                 if len(keep):
                     yield pa.RecordBatch.from_arrays([part.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
 
-    left = payloads.select(F.col("cls").alias("a"), F.col("payload").alias("pa"))
-    right = payloads.select(F.col("cls").alias("b"), F.col("payload").alias("pb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+    return with_payloads(pairs, payloads).mapInArrow(run, "a long, b long")
 
 
 def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
@@ -337,25 +357,21 @@ def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
 
     ``sketches`` and ``sets`` make (cls, payload) for the classes (cls); without
     ``sets`` the sketches come with the sets as a column ``members``. ``test``
-    decides a pair of sets exactly. Three rounds of pairs: classes with their
-    groups' hubs, satellites with the nearest class of a part of the hub's
-    component, and all that is still open.
+    decides a pair of sets exactly. Three rounds of pairs: each class with the
+    nearest of its groups' hubs, satellites with the nearest class of a part of
+    a hub's component, and all that is still open.
     """
 
     def nodes(pairs):
         return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
-    def rough(left, right):
-        return pairs_open(left, right, parts)
-
     def linked(pairs):
         found = drawn.select("cls", F.col("members").alias("payload")) if sets is None else sets(nodes(pairs))
         return freed(cut(verify(pairs, found, test).distinct()))
 
-    pairs = cut(hub_pairs(groups))
-    drawn = cut(sketches(nodes(pairs)).dropDuplicates(["cls"]))
+    drawn = cut(sketches(groups.select("cls").distinct()).dropDuplicates(["cls"]))
     sketched = drawn.select("cls", "payload")
-    tested = cut(verify(pairs, sketched, rough))
+    tested = cut(nearest_hubs(groups, sketched, parts))
     edges = linked(tested)
     labels = components(edges)
     for nearest in (True, False):
