@@ -193,8 +193,9 @@ def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, p
     own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
     other = lambda n: F.pmod(F.xxhash64("cls", F.lit(1)), n).cast("int")
     if nearest:
-        left = full.where("sat").withColumn("lb", F.lit(0)).withColumn("rb", other(nr)).withColumn("side", F.lit(0))
-        right = full.withColumn("rb", own(nr)).withColumn("lb", F.lit(0)).withColumn("side", F.lit(1))
+        # as many of the component's blocks take part as its satellites fill
+        left = full.where("sat").withColumn("lb", F.lit(0)).withColumn("rb", other(F.least(nl, nr))).withColumn("side", F.lit(0))
+        right = full.withColumn("rb", own(nr)).where(F.col("rb") < F.least(nl, nr)).withColumn("lb", F.lit(0)).withColumn("side", F.lit(1))
     else:
         left = full.where("sat").withColumn("lb", own(nl)).withColumn("rb", F.explode(F.sequence(F.lit(0), nr - 1))).withColumn("side", F.lit(0))
         right = full.withColumn("rb", own(nr)).withColumn("lb", F.explode(F.sequence(F.lit(0), nl - 1))).withColumn("side", F.lit(1))
