@@ -93,6 +93,24 @@ def test_grouping_by_ends_and_by_sort(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_links_with_hubs_that_are_not_the_nearest(spark):
+    """A class links with each hub it meets: with one beside its nearest, and with one where the nearest fails the exact test."""
+    sets = {
+        1: range(100), 2: range(101), 3: [*range(100), *range(200, 210)],  # 1 links with both
+        11: range(1000, 1100), 12: [*range(1000, 1085), *range(1300, 1315)], 13: range(1000, 1110),  # 11 links with 13 only
+    }
+    groups = spark.createDataFrame([(s, h, c) for s, (h, c) in enumerate([(2, 1), (3, 1), (12, 11), (13, 11)]) for c in (h, c)], "sig long, hub long, cls long")
+    values = {c: np.array(list(v), np.uint64) for c, v in sets.items()}
+    rows = lambda payload: spark.createDataFrame([(c, bytearray(payload(c, v))) for c, v in values.items()], "cls long, payload binary")
+    # a sketch is a lower bound: 12's collides with that of 11, so 12 looks nearest
+    sketch = lambda c, v: links.bit_sketch(values[11] if c == 12 else v, 9)
+    labels = links.resolve(groups, lambda nodes: rows(sketch), lambda nodes: rows(lambda c, v: v.tobytes()).join(nodes, "cls", "left_semi"), jaccard_join.exact_test, 7)
+    found = {}
+    for r in labels.collect():
+        found.setdefault(r["comp"], set()).add(r["node"])
+    assert sorted(map(sorted, found.values())) == [[1, 2, 3], [11, 13]]
+
+
 def test_near_duplicate_stage_with_repeated_ids(spark):
     """Rows with one id and unlike texts are two documents; of equal ones the first stays, once."""
     one, two = "a b c d e f g h i j", "q r s t u v w x y z"

@@ -176,7 +176,8 @@ def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, p
     a worker holds one pair of blocks. With ``nearest`` each satellite meets one
     block and gives only its nearest class there, so this takes time in
     proportion to the classes. Without it each meets every block, and every
-    open pair is given. ``sketches`` is (cls, payload).
+    open pair is given. A lone hub with one satellite is left to ``hub_pairs``.
+    ``sketches`` is (cls, payload).
     """
     hubs = labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
     labelled = groups.where("cls != hub").join(labels.select(F.col("node").alias("cls"), "comp"), "cls", "left").join(hubs, "hub", "left")
@@ -186,7 +187,7 @@ def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, p
     alone = sats.select("c").distinct().join(known.select("c").distinct(), "c", "left_anti").select("c", F.col("c").alias("cls"))
     inner = known.unionByName(alone).withColumn("comp", F.col("c"))
     every = inner.withColumn("sat", F.lit(False)).unionByName(sats.withColumn("sat", F.lit(True)))
-    counts = every.groupBy("c").agg(F.count("*").alias("n"), F.count_if("sat").alias("n_sat")).where("n > 2")  # one satellite of one hub has been compared
+    counts = every.groupBy("c").agg(F.count("*").alias("n"), F.count_if("sat").alias("n_sat")).where("n > 2")  # one satellite of one hub is a pair of ``hub_pairs``
     full = every.join(counts, "c").join(sketches, "cls")
     size = F.least(F.greatest(F.lit(block), F.ceil(F.col("n") / most_blocks)), F.lit(largest))
     nl, nr = F.ceil(F.col("n_sat") / size).cast("int"), F.ceil(F.col("n") / size).cast("int")
@@ -321,8 +322,8 @@ def with_payloads(pairs: DataFrame, payloads: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb")
 
 
-def nearest_hubs(groups: DataFrame, sketches: DataFrame, parts: int) -> DataFrame:
-    """(a, b), a < b: each class with the nearest of its groups' hubs, as far as their sketches leave a link open."""
+def hub_pairs(groups: DataFrame, sketches: DataFrame, parts: int) -> DataFrame:
+    """(a, b, d): every class b with each hub a of its groups and the least difference d, where their sketches leave a link open."""
 
     def run(batches):
         import pyarrow as pa
@@ -333,8 +334,23 @@ def nearest_hubs(groups: DataFrame, sketches: DataFrame, parts: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("a", "b")), pa.array(apart).take(at)], names=["a", "b", "d"])
 
     pairs = groups.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    near = with_payloads(pairs, sketches).mapInArrow(run, "a long, b long, d long").groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a"))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return with_payloads(pairs, sketches).mapInArrow(run, "a long, b long, d long")
+
+
+def nearest_hubs(pairs: DataFrame) -> DataFrame:
+    """(a, b), a < b: each class with the nearest of its hubs in ``pairs`` (see ``hub_pairs``)."""
+    return ordered(pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b), a < b, once each."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def apart_still(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose classes are in no common component of the labels (node, comp)."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("_a IS NULL OR _b IS NULL OR _a != _b").select("a", "b")
 
 
 def verify(pairs: DataFrame, payloads: DataFrame, test) -> DataFrame:
@@ -360,7 +376,7 @@ def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
     ``sets`` the sketches come with the sets as a column ``members``. ``test``
     decides a pair of sets exactly. Three rounds of pairs: each class with the
     nearest of its groups' hubs, satellites with the nearest class of a part of
-    a hub's component, and all that is still open.
+    a hub's component, and all that is still open, other hubs included.
     """
 
     def nodes(pairs):
@@ -372,12 +388,15 @@ def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
 
     drawn = cut(sketches(groups.select("cls").distinct()).dropDuplicates(["cls"]))
     sketched = drawn.select("cls", "payload")
-    tested = cut(nearest_hubs(groups, sketched, parts))
+    with_hubs = cut(hub_pairs(groups, sketched, parts))
+    tested = cut(nearest_hubs(with_hubs))
     edges = linked(tested)
     labels = components(edges)
     for nearest in (True, False):
         open_pairs = satellite_pairs(groups, labels, sketched, parts, nearest)
-        open_pairs = freed(cut(open_pairs if nearest else open_pairs.join(tested, ["a", "b"], "left_anti")))
+        if not nearest:
+            open_pairs = open_pairs.unionByName(apart_still(ordered(with_hubs), labels)).distinct().join(tested, ["a", "b"], "left_anti")
+        open_pairs = freed(cut(open_pairs))
         if open_pairs.isEmpty():
             if nearest:
                 continue
