@@ -111,6 +111,34 @@ def test_links_with_hubs_that_are_not_the_nearest(spark):
     assert sorted(map(sorted, found.values())) == [[1, 2, 3], [11, 13]]
 
 
+@pytest.mark.parametrize("options", [{}, {"most_open": 0}, {"block": 4, "largest": 4}])
+def test_links_of_groups_by_brute_force(spark, monkeypatch, options):
+    """Components are those of all links inside groups, whether a component is compared at once, again, or in several blocks; whole ones only once."""
+    rng = random.Random(11)
+    plain, turns = links.satellite_pairs, []
+    monkeypatch.setattr(links, "satellite_pairs", lambda *a: turns.append(a[4]) or plain(*a, **options))
+    base = [rng.sample(range(10**6), 60) for _ in range(3)]
+    values = {c: np.unique(np.array([rng.randrange(10**6) if rng.random() < 0.13 else x for x in base[c % 3]], np.uint64)) for c in range(60)}
+    groups = [(s, m[0], c) for s in range(12) for m in [rng.sample(range(60), 14)] for c in m]
+    df = spark.createDataFrame(groups, "sig long, hub long, cls long")
+    rows = lambda f: spark.createDataFrame([(c, bytearray(f(v))) for c, v in values.items()], "cls long, payload binary")
+    labels = links.resolve(df, lambda nodes: rows(lambda v: links.bit_sketch(v, 7)), lambda nodes: rows(lambda v: v.tobytes()).join(nodes, "cls", "left_semi"), jaccard_join.exact_test, 7)
+    found = {}
+    for r in labels.collect():
+        found.setdefault(r["comp"], set()).add(r["node"])
+    root = list(range(60))
+    top = lambda c: c if root[c] == c else top(root[c])
+    for s, _, a in groups:
+        for z, _, b in groups:
+            if s == z and a < b and jaccard_join.exact_test([values[a].tobytes()], [values[b].tobytes()])[0]:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    want = {}
+    for c in range(60):
+        want.setdefault(top(c), set()).add(c)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    assert turns == ([True, False] if options else [True])
+
+
 def test_near_duplicate_stage_with_repeated_ids(spark):
     """Rows with one id and unlike texts are two documents; of equal ones the first stays, once."""
     one, two = "a b c d e f g h i j", "q r s t u v w x y z"

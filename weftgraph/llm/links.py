@@ -3,9 +3,9 @@
 Nodes are classes (64-bit integers) that stand for groups of equal items.
 Signature rows (sig, cls) are grouped by a sort; within a group every class is
 first compared with one hub, and tried with the nearest of its groups' hubs.
-Classes that are not in a hub's component after that, satellites, are compared with a part of that component,
-and those that stay satellites with the whole of it and with each other, by
-sketches, in blocks.
+Classes that are not in a hub's component after that, satellites, are compared with that component
+and with each other, by sketches: at once where all fit one block, else with a part of it first,
+and those that stay satellites with the whole of it, in blocks.
 """
 
 from __future__ import annotations
@@ -167,16 +167,22 @@ def pairs_apart(left: list[bytes], right: list[bytes], parts: int) -> np.ndarray
     return out
 
 
-def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, parts: int, nearest: bool, block: int = 512, most_blocks: int = 32, largest: int = 8192) -> DataFrame:
-    """(a, b), a < b: classes that share a group but no component yet, as far as their sketches leave a link open.
+NEAR, OPEN, REST = 1, 0, 2  # kinds of rows of ``satellite_pairs``
+
+
+def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, parts: int, nearest: bool, block: int = 512, most_blocks: int = 32, largest: int = 8192, most_open: int = 8) -> DataFrame:
+    """(a, b, kind): classes that share a group but no component yet, as far as their sketches leave a link open; kind is ``NEAR`` or ``OPEN``.
 
     In every group a class is in the hub's component or a satellite of it. A
     component and its satellites are dealt into blocks of ``block`` sketches, or
     larger ones where that makes over ``most_blocks``, but not over ``largest``;
     a worker holds one pair of blocks. With ``nearest`` each satellite meets one
-    block and gives only its nearest class there, so this takes time in
-    proportion to the classes. Without it each meets every block, and every
-    open pair is given. A lone hub with one satellite is left to ``hub_pairs``.
+    block and gives its nearest class there, so this takes time in proportion to
+    the classes. What fits one block is compared as a whole then: its other open
+    pairs are given too, and need no second comparison. A component that takes
+    several blocks, or has over ``most_open`` open pairs for each satellite, gives
+    a row (c, c, ``REST``) in place of them. Without ``nearest`` each meets every block, and
+    every open pair is given. A lone hub with one satellite is left to ``hub_pairs``.
     ``sketches`` is (cls, payload).
     """
     hubs = labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
@@ -200,29 +206,37 @@ def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, p
     else:
         left = full.where("sat").withColumn("lb", own(nl)).withColumn("rb", F.explode(F.sequence(F.lit(0), nr - 1))).withColumn("side", F.lit(0))
         right = full.withColumn("rb", own(nr)).withColumn("lb", F.explode(F.sequence(F.lit(0), nl - 1))).withColumn("side", F.lit(1))
-    cols = ["c", "lb", "rb", "side", "cls", "comp", "sat", "payload"]
+    cols = ["c", "lb", "rb", "side", "cls", "comp", "sat", (nr == 1).alias("whole"), "payload"]
 
     def run(batches):
         import pyarrow as pa
 
-        def solve(held):
-            side, cls, comp, sat = (np.concatenate([h[i] for h in held]) for i in range(4))
-            payload = [x for h in held for x in h[4]]
+        def rows(a, b, kind):
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), kind, np.int32))], names=["a", "b", "kind"])
+
+        def solve(c, held):
+            side, cls, comp, sat, whole = (np.concatenate([h[i] for h in held]) for i in range(5))
+            payload = [x for h in held for x in h[5]]
+            rest = nearest and not whole[0]
             l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(l) or not len(r):
-                return None
-            a, b = cls[l], cls[r]
-            apart = least_apart([payload[i] for i in l.tolist()], [payload[i] for i in r.tolist()], parts)
-            apart[comp[l][:, None] == comp[r][None, :]] = -1
-            if nearest:
-                apart[apart < 0] = np.iinfo(np.int64).max
-                j = apart.argmin(1)
-                i = np.flatnonzero(apart[np.arange(len(j)), j] < np.iinfo(np.int64).max)
-                j = j[i]
-            else:
-                apart[sat[r][None, :] & (a[:, None] >= b[None, :])] = -1
-                i, j = np.nonzero(apart >= 0)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], names=["a", "b"]) if len(i) else None
+            if len(l) and len(r):
+                a, b = cls[l], cls[r]
+                apart = least_apart([payload[i] for i in l.tolist()], [payload[i] for i in r.tolist()], parts)
+                apart[comp[l][:, None] == comp[r][None, :]] = -1
+                if nearest:
+                    far = np.where(apart < 0, np.iinfo(np.int64).max, apart)
+                    j = far.argmin(1)
+                    i = np.flatnonzero(far[np.arange(len(j)), j] < np.iinfo(np.int64).max)
+                    yield rows(a[i], b[j[i]], NEAR)
+                    apart[i, j[i]] = -1
+                if not rest:
+                    apart[sat[r][None, :] & (a[:, None] >= b[None, :])] = -1
+                    i, j = np.nonzero(apart >= 0)
+                    rest = nearest and len(i) > most_open * len(l)
+                    if not rest:
+                        yield rows(a[i], b[j], OPEN)
+            if rest:
+                yield rows(np.array([c]), np.array([c]), REST)
 
         key, held = None, []
         for batch in batches:
@@ -230,22 +244,19 @@ def satellite_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, p
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in ("c", "lb", "rb")], axis=1)
             begin = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "cls", "comp", "sat")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "cls", "comp", "sat", "whole")]
             for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True):
                 k = tuple(keys[s].tolist())
                 if k != key and held:
-                    out = solve(held)
-                    if out is not None:
-                        yield out
+                    yield from solve(key[0], held)
                     held = []
                 key = k
                 held.append([*(c[s:e] for c in columns), batch.column("payload").slice(s, e - s).to_pylist()])
-        out = solve(held) if held else None
-        if out is not None:
-            yield out
+        if held:
+            yield from solve(key[0], held)
 
-    rows = left.select(*cols).unionByName(right.select(*cols)).repartition("c", "lb", "rb").sortWithinPartitions("c", "lb", "rb")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    dealt = left.select(*cols).unionByName(right.select(*cols)).repartition("c", "lb", "rb").sortWithinPartitions("c", "lb", "rb")
+    return dealt.mapInArrow(run, "a long, b long, kind int").distinct()
 
 
 class IdFilter:
@@ -374,9 +385,10 @@ def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
 
     ``sketches`` and ``sets`` make (cls, payload) for the classes (cls); without
     ``sets`` the sketches come with the sets as a column ``members``. ``test``
-    decides a pair of sets exactly. Three rounds of pairs: each class with the
-    nearest of its groups' hubs, satellites with the nearest class of a part of
-    a hub's component, and all that is still open, other hubs included.
+    decides a pair of sets exactly. Four rounds of pairs: each class with the
+    nearest of its groups' hubs; satellites with the nearest class of a part of
+    a hub's component; what is still open with other hubs and in components of
+    one block; and what is open in the components that were not compared as a whole.
     """
 
     def nodes(pairs):
@@ -392,20 +404,27 @@ def resolve(groups: DataFrame, sketches, sets, test, parts: int) -> DataFrame:
     tested = cut(nearest_hubs(with_hubs))
     edges = linked(tested)
     labels = components(edges)
-    for nearest in (True, False):
-        open_pairs = satellite_pairs(groups, labels, sketched, parts, nearest)
-        if not nearest:
-            open_pairs = open_pairs.unionByName(apart_still(ordered(with_hubs), labels)).distinct().join(tested, ["a", "b"], "left_anti")
-        open_pairs = freed(cut(open_pairs))
-        if open_pairs.isEmpty():
-            if nearest:
-                continue
-            break
-        more = linked(open_pairs)
+    seen, hub_labels = freed(cut(satellite_pairs(groups, labels, sketched, parts, True))), labels
+
+    def joined(pairs):
+        nonlocal edges, labels, tested
+        pairs = freed(cut(pairs.join(tested, ["a", "b"], "left_anti")))
+        if pairs.isEmpty():
+            return
+        more = linked(pairs)
         if not more.isEmpty():
             edges = edges.unionByName(more)
             labels = components(edges)
-        tested = tested.unionByName(open_pairs)
+        tested = tested.unionByName(pairs)
+
+    joined(seen.where(F.col("kind") == NEAR).select("a", "b"))
+    joined(apart_still(ordered(with_hubs).unionByName(seen.where(F.col("kind") == OPEN).select("a", "b")).distinct(), labels))
+    rest = seen.where(F.col("kind") == REST).select(F.col("a").alias("comp"))
+    if not rest.isEmpty():
+        # the groups whose hub is in such a component, or is one alone
+        hubs = hub_labels.join(rest, "comp", "left_semi").select(F.col("node").alias("hub")).unionByName(rest.select(F.col("comp").alias("hub")))
+        again = IdFilter(cut(hubs), "hub", raw=True).rows_of(groups, "hub")
+        joined(satellite_pairs(again, labels, sketched, parts, False).select("a", "b"))
     return labels
 
 
