@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from ..session import ratio
+from ..session import cut, ratio
 
 
 @dataclass(frozen=True)
@@ -133,14 +133,35 @@ def fill_missing(df: DataFrame, value=None) -> DataFrame:
 
 
 def interpolate(df: DataFrame, column: str, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Linear interpolation by row number within the keys; ends stay null."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    r = df.withColumn("_i", F.row_number().over(w))
-    known = F.when(F.col(column).isNotNull(), F.struct("_i", F.col(column).cast("double").alias("v")))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    r = r.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn("_n", F.first(known, ignorenulls=True).over(ahead))
+    """Linear interpolation by row number within the keys; ends stay null.
+
+    Rows are dealt into ranges of (keys, order), one task each; every range
+    takes the rows before it and the known values around it from a table of
+    ranges, which has one row for each range and key in it.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    dealt = df.select("*", *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).repartitionByRange(*names, order).withColumn("_b", F.spark_partition_id())
+    rows = cut(dealt)  # the ranges are drawn from a sample: not twice
+    w = Window.partitionBy("_b", *names).orderBy(order)
+    value = F.when(F.col(column).isNotNull(), F.struct("_i", F.col(column).cast("double").alias("v")))
+    r = cut(rows.withColumn("_i", F.row_number().over(w).cast("long")).withColumn("_x", value))
+    ranges = r.groupBy("_b", *names).agg(F.count("*").alias("_rows"), F.min("_x").alias("_first"), F.max("_x").alias("_last"))
+    of = Window.partitionBy(*names).orderBy("_b")
+    backward = Window.partitionBy(*names).orderBy(F.desc("_b"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda x: F.when(x.isNotNull(), F.struct((x["_i"] + F.col("_o")).alias("_i"), x["v"].alias("v")))
+    ranges = ranges.withColumn("_o", F.coalesce(F.sum("_rows").over(before(of)), F.lit(0)))
+    ranges = ranges.withColumn("_p0", F.last(at(F.col("_last")), ignorenulls=True).over(before(of))).withColumn("_n0", F.last(at(F.col("_first")), ignorenulls=True).over(before(backward)))
+    keyed = ranges.select(F.col("_b").alias("_rb"), *[F.col(n).alias(f"_r{n}") for n in names], "_o", "_p0", "_n0")
+    same = F.col("_b") == F.col("_rb")
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"_r{n}"))
+    # both ways from the frame's open end: a frame that is open ahead is read anew for each row
+    up_to = lambda i: Window.partitionBy("_b", *names).orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("_pl", F.last("_x", ignorenulls=True).over(up_to("_i"))).withColumn("_nl", F.last("_x", ignorenulls=True).over(up_to(F.desc("_i"))))
+    r = r.join(keyed, same).withColumn("_p", F.coalesce(at(F.col("_pl")), "_p0")).withColumn("_n", F.coalesce(at(F.col("_nl")), "_n0"))
     step = F.try_divide(F.col("_n.v") - F.col("_p.v"), F.col("_n._i") - F.col("_p._i"))
-    return r.withColumn(column, F.coalesce(F.col(column).cast("double"), F.col("_p.v") + step * (F.col("_i") - F.col("_p._i")))).drop("_i", "_p", "_n")
+    return r.withColumn(column, F.coalesce(F.col(column).cast("double"), F.col("_p.v") + step * (F.col("_i") + F.col("_o") - F.col("_p._i")))).select(*df.columns)
 
 
 def clean_text(df: DataFrame) -> DataFrame:
