@@ -239,3 +239,17 @@ def test_interpolate_in_ranges(spark):
         assert close(got) == close(want) and out.columns == df.columns
         assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_parquet_stream_of_many_files(spark, tmp_path):
+    """All rows come in a bounded number of triggers, and in some files each where the files are few."""
+    from weftgraph.sources import formats
+    from weftgraph.streaming import events
+
+    spark.range(40).repartition(40).write.parquet(f"{tmp_path}/in")
+    files = len(list((tmp_path / "in").glob("*.parquet")))
+    for most, each in ((5, -(-files // 5)), (64, 2)):
+        query = events.to_table(formats.stream_parquet(spark, f"{tmp_path}/in", 2, most), f"{tmp_path}/out{most}", f"{tmp_path}/marks{most}")
+        query.awaitTermination()
+        assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out{most}").collect()) == list(range(40))
+        assert len(list((tmp_path / f"marks{most}" / "commits").glob("[0-9]*"))) == -(-files // each)

@@ -213,10 +213,17 @@ def from_pair_list(rows: DataFrame) -> DataFrame:
     return rows.select(F.get(parts, F.lit(0)).alias("edge_id"), F.get(parts, F.lit(1)).alias("node_id"), F.coalesce(F.get(parts, F.lit(2)).try_cast("double"), F.lit(1.0)).alias("weight"))
 
 
-def stream_parquet(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet folder as a stream, some files at a time."""
-    r = spark.readStream.schema(spark.read.parquet(path).schema)
-    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).parquet(path)
+def stream_parquet(spark: SparkSession, path: str, files_per_trigger: int | None = None, most_triggers: int = 64) -> DataFrame:
+    """A parquet folder as a stream, some files at a time.
+
+    ``files_per_trigger`` files, or more where the files that are there would take over ``most_triggers``
+    triggers: each costs about the same, however few rows it brings.
+    """
+    there = spark.read.parquet(path)
+    r = spark.readStream.schema(there.schema)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max(files_per_trigger, -(-len(there.inputFiles()) // most_triggers)))
+    return r.parquet(path)
 
 
 def in_batches(df: DataFrame, rows: int = 10_000):
