@@ -71,8 +71,9 @@ def edge_jaccard(inc: DataFrame, least: float = 0.0, most_paired: int = 32) -> D
 
 def _edge_jaccard_least(inc: DataFrame, least: float, most_paired: int) -> DataFrame:
     # ids keep their type up to the end: numbers take less in shuffles than their strings
-    sets = inc.select("edge_id", "node_id").where("edge_id IS NOT NULL").repartition("edge_id").groupBy("edge_id").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))
-    size = F.size("nodes")
+    sets = inc.select("edge_id", "node_id").where("edge_id IS NOT NULL").repartition("edge_id").groupBy("edge_id")
+    sets = sets.agg(F.array_sort(F.collect_set("node_id")).alias("nodes"), F.max(F.col("node_id").isNull().cast("int")).alias("null"))
+    size = F.size("nodes") + F.col("null")  # a null node is a member that is shared with nobody
     paired = F.when(size <= most_paired, F.col("nodes")).otherwise(F.slice("nodes", 1, F.lit(0)))
     single = (F.lit(1) / F.col("size") >= least) | (F.col("size") + 1 >= least * most_paired)
     rows = sets.select("edge_id", size.alias("size"), paired.alias("paired"), F.posexplode("nodes").alias("at", "a"))
